@@ -178,3 +178,42 @@ def with_views(sql: str, *names: str, extra: dict | None = None) -> str:
     defs.update(extra or {})
     ctes = ",\n".join(f"{n} AS ({defs[n]})" for n in names)
     return f"WITH {ctes}\n{sql}" if names else sql
+
+
+def catalog(t: Tables) -> DataFrame:
+    """Product catalogue for search and explanations (from ``part``)."""
+    p = t.part
+    out = p.select(
+        F.col("p_partkey").alias("product_id"),
+        F.col("p_name").alias("name"),
+        F.col("p_type").alias("category"),
+        F.col("p_retailprice").alias("price"),
+        F.concat_ws(" ", "p_brand", "p_name").alias("description"),
+        F.array(F.lower("p_type"), F.col("p_brand")).alias("tags"),
+        F.col("p_brand").alias("aisle"),
+    )
+    return out.withColumn("search_text", F.concat_ws(" ", "name", "description",
+                                                     F.array_join("tags", " ")))
+
+
+def model_replies(t: Tables) -> DataFrame:
+    """Model-style JSON replies: plain, fenced in Markdown, or truncated."""
+    e = t.events
+    k = F.col("event_id") % 3
+    reply = (F.when(k == 0, F.col("props"))
+             .when(k == 1, F.concat(F.lit("```json\n"), F.col("props"), F.lit("\n```")))
+             .otherwise(F.expr("substring(props, 1, length(props) - 1)")))
+    return e.select("event_id", reply.alias("reply"))
+
+
+VIEW_SQL["catalog"] = """
+    SELECT product_id, name, category, price, description, tags, aisle,
+           concat_ws(' ', name, description, array_to_string(tags, ' ')) AS search_text
+    FROM (SELECT p_partkey AS product_id, p_name AS name, p_type AS category, p_retailprice AS price,
+                 concat_ws(' ', p_brand, p_name) AS description, [lower(p_type), p_brand] AS tags,
+                 p_brand AS aisle FROM part)"""
+VIEW_SQL["model_replies"] = """
+    SELECT event_id, CASE event_id % 3 WHEN 0 THEN props
+                          WHEN 1 THEN '```json' || chr(10) || props || chr(10) || '```'
+                          ELSE substring(props, 1, length(props) - 1) END AS reply
+    FROM events"""
