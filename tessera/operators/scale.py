@@ -68,22 +68,45 @@ def session_table(events: DataFrame, key: str, ts: str, gap_seconds: int,
                         - F.unix_micros(F.col("session_start").cast("timestamp"))))
 
 
-def ordered_positions(df: DataFrame, ts: str, tiebreak: str,
-                      bucket: str = "minute") -> DataFrame:
-    """Exact global 0-based position of every row in (ts, tiebreak) order.
-
-    Counts per time bucket (a small table) give each bucket its starting
-    offset; rows are numbered only inside their bucket. Equivalent to a global
-    ``row_number()`` without moving all rows into one partition.
+def ordered_positions(df: DataFrame, ts: str, tiebreak: str, bucket: str = "minute",
+                      key: str | None = None) -> DataFrame:
+    """Exact 0-based position of every row in (ts, tiebreak) order — over the
+    whole table, or within ``key`` when given.
+
+    Counts per (key, time bucket) — a small table — give each bucket its
+    starting offset; rows are numbered only inside their bucket. Equivalent
+    to ``row_number()`` over the whole table / whole key without moving all
+    of its rows into one partition.
     """
     b = "_pbucket"
+    keys = [key] if key else []
     d = df.withColumn(b, _bucket(F.col(ts), bucket))
-    counts = d.groupBy(b).agg(F.count(F.lit(1)).alias("_n"))
-    # the bucket table is tiny (one row per minute of data): a single ordered
-    # pass over it is cheap.
-    w_all = Window.orderBy(b).rowsBetween(Window.unboundedPreceding, -1)
+    counts = d.groupBy(*keys, b).agg(F.count(F.lit(1)).alias("_n"))
+    # one row per (key, bucket): ordering it is cheap (bounded by the calendar)
+    w_all = (Window.partitionBy(*keys) if keys else Window).orderBy(b) \
+        .rowsBetween(Window.unboundedPreceding, -1)
     counts = counts.withColumn("_start", F.coalesce(F.sum("_n").over(w_all), F.lit(0)))
-    d = d.join(counts.select(b, "_start"), b, "inner")
-    w_in = Window.partitionBy(b).orderBy(ts, tiebreak)
+    d = d.join(counts.select(*keys, b, "_start"), [*keys, b], "inner")
+    w_in = Window.partitionBy(*keys, b).orderBy(ts, tiebreak)
     d = d.withColumn("position", (F.col("_start") + F.row_number().over(w_in) - 1).cast("long"))
     return d.drop(b, "_start")
+
+
+def dense_ids(df: DataFrame, col: str, n_buckets: int = 4096, name: str | None = None) -> DataFrame:
+    """Dense 0-based integer id per distinct value of a numeric ``col``, in
+    value order, without a global window: distinct values are bucketed into
+    ``n_buckets`` equal value ranges (each bucket holds at most its width of
+    distinct values), bucket sizes are cumulated on the small bucket table and
+    values are numbered inside their bucket."""
+    name = name or f"{col}_idx"
+    vals = df.select(col).where(F.col(col).isNotNull()).distinct()
+    lo = vals.agg(F.min(col)).scalar()
+    hi = vals.agg(F.max(col)).scalar()
+    width = F.greatest(F.lit(1), F.ceil((hi - lo + 1) / n_buckets))
+    vals = vals.withColumn("_b", F.floor((F.col(col) - lo) / width))
+    counts = vals.groupBy("_b").agg(F.count(F.lit(1)).alias("_n"))
+    w_all = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.withColumn("_start", F.coalesce(F.sum("_n").over(w_all), F.lit(0)))
+    vals = vals.join(counts.select("_b", "_start"), "_b")
+    w_in = Window.partitionBy("_b").orderBy(col)
+    return vals.select(col, (F.col("_start") + F.row_number().over(w_in) - 1).cast("long").alias(name))
