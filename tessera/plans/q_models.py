@@ -1 +1,315 @@
-"""Queries (see catalog)."""
+"""Models, forecasts and evaluation queries."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from tessera.functions import lexicons as L
+from tessera.operators import evaluation as EV
+from tessera.operators import features as FE
+from tessera.operators import forecast as FC
+from tessera.operators import models as MD
+from tessera.plans.catalog import query
+from tessera.plans.q_marts import M1_SQL, TYPE_SERIES_SQL, q_m1, q_m2, type_series
+from tessera.sources import Tables
+from tessera.sources.views import with_views
+
+CHURN_COLS = ["order_count", "total_spend", "avg_order_value", "days_since_last_purchase",
+              "support_tickets", "avg_review_rating", "discount_code_usage_ratio",
+              "session_count_30d", "avg_session_duration_s"]
+RFM_COLS = ["recency", "frequency", "monetary", "avg_basket_size", "category_breadth"]
+SCALE_COLS = ["avg_review_rating", "avg_session_duration_s", "total_spend"]
+RULE_DAYS = 90          # transparent churn rule: no purchase for more than 90 days
+
+
+# ---- M4 / M5 ----------------------------------------------------------------------
+
+@query("m4_stratified_split", sql=f"""
+    SELECT customer_id, churned,
+           CASE WHEN row_number() OVER (PARTITION BY churned ORDER BY h, customer_id) - 1
+                     < floor(COUNT(*) OVER (PARTITION BY churned) * 0.2 + 0.5) THEN 'test' ELSE 'train' END AS split
+    FROM (SELECT customer_id, churned, (customer_id * 2654435761 + 42) % 4294967296 AS h FROM ({M1_SQL}))""")
+def q_m4(spark, sf):
+    return MD.stratified_split(q_m1(spark, sf).select("customer_id", "churned"), "customer_id", "churned")
+
+
+@query("m5_impute_scale", sql=f"""
+    WITH f AS ({M1_SQL}),
+    m AS (SELECT {", ".join(f"median({c}) AS med_{c}" for c in SCALE_COLS)} FROM f),
+    i AS (SELECT customer_id, {", ".join(f"COALESCE(CAST({c} AS DOUBLE), m.med_{c}) AS {c}" for c in SCALE_COLS)} FROM f, m),
+    s AS (SELECT {", ".join(f"avg({c}) AS mu_{c}, stddev_pop({c}) AS sd_{c}" for c in SCALE_COLS)} FROM i)
+    SELECT customer_id, {", ".join(f"{c}, round(CASE WHEN sd_{c} > 0 THEN ({c} - mu_{c}) / sd_{c} ELSE 0 END, 9) AS {c}_z" for c in SCALE_COLS)}
+    FROM i, s""")
+def q_m5(spark, sf):
+    return EV.impute_scale(q_m1(spark, sf).select("customer_id", *SCALE_COLS), SCALE_COLS) \
+             .select("customer_id", *[x for c in SCALE_COLS for x in (c, f"{c}_z")])
+
+
+# ---- M7 / M8 on the transparent churn rule --------------------------------------------
+
+@query("m7_binary_metrics", sql=f"""
+    SELECT (tp + tn) / (tp + fp + fn + tn) AS accuracy, precision, recall,
+           CASE WHEN precision + recall > 0 THEN 2 * precision * recall / (precision + recall) ELSE 0 END AS f1,
+           tp, fp, fn, tn
+    FROM (SELECT *, CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 0 END AS precision,
+                    CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 0 END AS recall
+          FROM (SELECT COUNT(*) FILTER (WHERE churned = 1 AND p = 1) AS tp, COUNT(*) FILTER (WHERE churned <> 1 AND p = 1) AS fp,
+                       COUNT(*) FILTER (WHERE churned = 1 AND p <> 1) AS fn, COUNT(*) FILTER (WHERE churned <> 1 AND p <> 1) AS tn
+                FROM (SELECT churned, CASE WHEN days_since_last_purchase > {RULE_DAYS} THEN 1 ELSE 0 END AS p FROM ({M1_SQL}))))""")
+def q_m7(spark, sf):
+    f = q_m1(spark, sf).withColumn("prediction", (F.col("days_since_last_purchase") > RULE_DAYS).cast("int"))
+    return EV.binary_metrics(f, "churned", "prediction")
+
+
+AUC_SQL = f"""
+    SELECT round(SUM(pos * (below + neg * 0.5)) / (max(P) * max(N)), 9) AS auc FROM (
+      SELECT s, pos, neg, SUM(neg) OVER (ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS below0,
+             COALESCE(SUM(neg) OVER (ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below,
+             SUM(pos) OVER () AS P, SUM(neg) OVER () AS N
+      FROM (SELECT CAST(days_since_last_purchase AS DOUBLE) AS s, COUNT(*) FILTER (WHERE churned = 1) AS pos,
+                   COUNT(*) FILTER (WHERE churned <> 1) AS neg FROM ({M1_SQL}) GROUP BY 1))"""
+
+
+@query("m8_auc", sql=AUC_SQL)
+def q_m8(spark, sf):
+    return EV.auc(q_m1(spark, sf), "days_since_last_purchase", "churned")
+
+
+# ---- M6 / K5: boosted trees (rows-only) -----------------------------------------------
+
+def _churn_model(spark, sf):
+    f = q_m1(spark, sf)
+    split = MD.stratified_split(f, "customer_id", "churned")
+    filled = EV.impute_scale(split, ["avg_review_rating", "avg_session_duration_s"])  # median impute (D11)
+    filled = filled.fillna(0, subset=CHURN_COLS)
+    train, test = filled.where(F.col("split") == "train"), filled.where(F.col("split") == "test")
+    model = MD.fit_churn(train, CHURN_COLS)
+    return model, MD.churn_scores(model, test)
+
+
+@query("m6_churn_gbt_metrics")
+def q_m6(spark, sf):
+    """Held-out accuracy / precision / recall / F1 / AUC of the GBT model."""
+    _, pred = _churn_model(spark, sf)
+    m = EV.binary_metrics(pred.withColumn("prediction", F.col("prediction").cast("int")), "churned", "prediction")
+    return m.withColumn("auc", EV.auc(pred, "p_churn", "churned").scalar())
+
+
+@query("k5_top_importances")
+def q_k5(spark, sf):
+    model, _ = _churn_model(spark, sf)
+    return MD.top_importances(model, CHURN_COLS, 5)
+
+
+# ---- M9 / M12 (W5, J3, A7): segmentation ----------------------------------------------
+
+def _segments(spark, sf):
+    rfm = q_m2(spark, sf).fillna(0, subset=RFM_COLS)
+    model, scaler, data = MD.fit_segments(rfm, RFM_COLS, k=5, restarts=10)
+    names = MD.name_segments(model, scaler, RFM_COLS)
+    return MD.attach_segment(rfm, model, data, names, "customer_id"), names
+
+
+@query("m9_kmeans_segments")
+def q_m9(spark, sf):
+    labelled, _ = _segments(spark, sf)
+    return labelled.groupBy("cluster", "segment").agg(F.count(F.lit(1)).alias("customers"))
+
+
+@query("m12_segment_stats")
+def q_m12(spark, sf):
+    labelled, _ = _segments(spark, sf)
+    return MD.segment_stats(labelled)
+
+
+# ---- M10 / M11 on labelled vectors --------------------------------------------------------
+
+def _vecs(spark, sf):
+    return Tables(spark, sf).embeddings.select("vec_id", "embedding", "label")
+
+
+DV = "list_transform(embedding, lambda x: CAST(x AS DOUBLE))"
+
+
+@query("m10_silhouette", sql=f"""
+    WITH v AS (SELECT vec_id, label, {DV} AS e FROM embeddings),
+    d AS (SELECT a.vec_id AS i, a.label AS li, b.label AS lj, sqrt(greatest(list_dot_product(a.e, a.e) + list_dot_product(b.e, b.e)
+                 - 2 * list_dot_product(a.e, b.e), 0)) AS dist
+          FROM v a, v b),
+    per AS (SELECT i, li, lj, SUM(dist) AS s, COUNT(*) AS n FROM d GROUP BY ALL),
+    ab AS (SELECT i, max(CASE WHEN li = lj THEN CASE WHEN n > 1 THEN s / (n - 1) END END) AS a,
+                  min(CASE WHEN li <> lj THEN s / n END) AS b,
+                  max(CASE WHEN li = lj THEN n END) AS own_n FROM per GROUP BY i)
+    SELECT round(avg(CASE WHEN own_n <= 1 THEN 0 ELSE (b - a) / greatest(a, b) END), 6) AS silhouette FROM ab""")
+def q_m10(spark, sf):
+    return EV.silhouette(_vecs(spark, sf), "vec_id", "embedding", "label", 5000)
+
+
+@query("m11_davies_bouldin", sql=f"""
+    WITH v AS (SELECT vec_id, label, {DV} AS e FROM embeddings),
+    ex AS (SELECT label, unnest(range(len(e))) AS d, unnest(e) AS x FROM v),
+    c AS (SELECT label, list(m ORDER BY d) AS cen FROM (SELECT label, d, avg(x) AS m FROM ex GROUP BY ALL) GROUP BY label),
+    sp AS (SELECT v.label, avg(sqrt(list_sum(list_transform(list_zip(v.e, c.cen), lambda z: (z[1] - z[2]) * (z[1] - z[2]))))) AS S
+           FROM v JOIN c USING (label) GROUP BY v.label),
+    cs AS (SELECT c.label, c.cen, sp.S FROM c JOIN sp USING (label))
+    SELECT round(avg(R), 6) AS davies_bouldin FROM (
+      SELECT a.label, max((a.S + b.S) / sqrt(list_sum(list_transform(list_zip(a.cen, b.cen), lambda z: (z[1] - z[2]) * (z[1] - z[2]))))) AS R
+      FROM cs a, cs b WHERE a.label <> b.label GROUP BY a.label)""")
+def q_m11(spark, sf):
+    return EV.davies_bouldin(_vecs(spark, sf), "embedding", "label")
+
+
+# ---- forecasts (M13 / M14 / M15 / A9) --------------------------------------------------------
+
+DENSE_SQL = """
+    SELECT c.product_type, CAST(c.t_dat AS DATE) AS t_dat, COALESCE(s.units, 0) AS units
+    FROM (SELECT product_type, unnest(generate_series(min(t_dat), max(t_dat), INTERVAL 1 DAY)) AS t_dat
+          FROM type_series GROUP BY product_type) c
+    LEFT JOIN type_series s ON c.product_type = s.product_type AND CAST(c.t_dat AS DATE) = s.t_dat"""
+_TS = {"type_series": TYPE_SERIES_SQL, "dense": DENSE_SQL}
+_TSV = ("transactions", "articles", "type_series", "dense")
+
+
+def dense_series(spark, sf):
+    return FE.densify_days(type_series(spark, sf), "product_type", "t_dat", ["units"])
+
+
+@query("m13_naive_forecast", sql=with_views("""
+    SELECT product_type, step, CAST(last_d + step * INTERVAL 1 DAY AS DATE) AS date,
+           round(mean, 6) AS forecast, round(mean * 0.85, 6) AS lower, round(mean * 1.15, 6) AS upper, training_days
+    FROM (SELECT product_type, CAST(SUM(units) FILTER (WHERE rn <= 7) AS DOUBLE) / COUNT(*) FILTER (WHERE rn <= 7) AS mean,
+                 COUNT(*) AS training_days, max(t_dat) AS last_d
+          FROM (SELECT *, row_number() OVER (PARTITION BY product_type ORDER BY t_dat DESC) AS rn FROM type_series)
+          GROUP BY product_type HAVING COUNT(*) >= 14), range(1, 31) r(step)""",
+    "transactions", "articles", "type_series", extra=_TS))
+def q_m13(spark, sf):
+    return FC.naive_forecast(type_series(spark, sf), "product_type", "t_dat", "units", 30)
+
+
+FIT = {
+    "s0": """SELECT d.*, CAST(d.t_dat - m.d0 AS DOUBLE) AS t, m.d0 FROM dense d
+             JOIN (SELECT product_type, min(t_dat) AS d0 FROM dense GROUP BY 1) m USING (product_type)""",
+    "lin": """SELECT product_type, regr_slope(units, t) AS slope, regr_intercept(units, t) AS icpt,
+                     COUNT(*) AS training_days, max(t_dat) AS last_d, min(d0) AS d0 FROM s0 GROUP BY 1""",
+    "s1": """SELECT s0.*, lin.slope, lin.icpt, CAST(isodow(s0.t_dat) - 1 AS INTEGER) AS wd,
+                    lin.icpt + lin.slope * s0.t AS trend FROM s0 JOIN lin USING (product_type)""",
+    "wk": "SELECT product_type, wd, avg(units - trend) AS wd_eff FROM s1 GROUP BY 1, 2",
+    "s2": "SELECT s1.*, trend + wk.wd_eff AS fitted FROM s1 JOIN wk USING (product_type, wd)",
+    "sd": "SELECT product_type, stddev_pop(units - fitted) AS resid_sd FROM s2 GROUP BY 1",
+}
+_FX = dict(_TS, **FIT)
+_FV = (*_TSV, "s0", "lin", "s1", "wk", "s2", "sd")
+
+
+@query("m14_trend_forecast", sql=with_views("""
+    SELECT f.product_type, f.step, f.date, round(f.fc, 6) AS forecast, round(f.fc - 1.96 * f.resid_sd, 6) AS lower,
+           round(f.fc + 1.96 * f.resid_sd, 6) AS upper, f.training_days
+    FROM (SELECT l.product_type, r.step, CAST(l.last_d + r.step * INTERVAL 1 DAY AS DATE) AS date, l.training_days, sd.resid_sd,
+                 l.icpt + l.slope * CAST(CAST(l.last_d + r.step * INTERVAL 1 DAY AS DATE) - l.d0 AS DOUBLE)
+                 + COALESCE(wk.wd_eff, 0) AS fc
+          FROM lin l JOIN sd USING (product_type) CROSS JOIN range(1, 31) r(step)
+          LEFT JOIN wk ON wk.product_type = l.product_type
+                      AND wk.wd = CAST(isodow(CAST(l.last_d + r.step * INTERVAL 1 DAY AS DATE)) - 1 AS INTEGER)
+          WHERE l.training_days >= 14) f""", *_FV, extra=_FX))
+def q_m14(spark, sf):
+    return FC.trend_forecast(dense_series(spark, sf), "product_type", "t_dat", "units", 30)
+
+
+MAPE_SQL = """
+    SELECT s2.product_type, round(avg(CASE WHEN units > 0 THEN abs((units - fitted) / units) END) * 100, 2) AS mape_pct,
+           COUNT(*) AS training_days
+    FROM s2 JOIN lin USING (product_type) WHERE lin.training_days >= 14 GROUP BY s2.product_type"""
+
+
+@query("m15_mape", sql=with_views(MAPE_SQL, *_FV, extra=_FX))
+def q_m15(spark, sf):
+    return FC.mape(dense_series(spark, sf), "product_type", "t_dat", "units")
+
+
+@query("a9_mean_mape", sql=with_views("SELECT avg(mape_pct) AS avg_mape_pct FROM (" + MAPE_SQL + ")",
+                                       *_FV, extra=_FX))
+def q_a9(spark, sf):
+    return FC.mape(dense_series(spark, sf), "product_type", "t_dat", "units") \
+             .agg(F.avg("mape_pct").alias("avg_mape_pct"))
+
+
+# ---- M16: quality gates ---------------------------------------------------------------------
+
+def _metric_table(spark, sf):
+    m7 = q_m7(spark, sf).select(F.lit("churn_f1").alias("metric"), F.col("f1").alias("value"))
+    m8 = q_m8(spark, sf).select(F.lit("churn_auc_roc").alias("metric"), F.col("auc").alias("value"))
+    m10 = q_m10(spark, sf).select(F.lit("segmentation_silhouette").alias("metric"), F.col("silhouette").alias("value"))
+    a9 = q_a9(spark, sf).select(F.lit("demand_mape").alias("metric"), F.col("avg_mape_pct").alias("value"))
+    return m7.unionByName(m8).unionByName(m10).unionByName(a9)
+
+
+@query("m16_quality_report")
+def q_m16(spark, sf):
+    """Gate table over the rule-based churn metrics, vector silhouette and
+    mean MAPE (rows-only: mixes several sub-results)."""
+    return EV.quality_report(_metric_table(spark, sf))
+
+
+# ---- M17 / M18 / T10: multi-label text model ------------------------------------------------------
+
+def _tagged(spark, sf):
+    t = Tables(spark, sf)
+    lab = t.labels
+    d = t.documents.join(lab, "doc_id")
+    labels = F.filter(F.array(F.concat(F.lit("lang:"), F.col("lang")),
+                              F.when(F.col("quality") == 1, F.lit("quality:1")),
+                              F.when(F.col("toxic") == 1, F.lit("toxic:1"))), lambda x: x.isNotNull())
+    return d.select("doc_id", "text", "lang", "n_chars", labels.alias("labels"))
+
+
+LABEL_SET = ("lang:en", "lang:de", "lang:fr", "lang:es", "quality:1", "toxic:1")
+
+
+def _multilabel(spark, sf):
+    d = _tagged(spark, sf).withColumn("_h", MD.split_hash("doc_id"))
+    train = d.where(F.col("_h") % 5 != 0)
+    test = d.where(F.col("_h") % 5 == 0)
+    cv, models = MD.fit_multilabel(train, "text", LABEL_SET)
+    pred = MD.predict_multilabel(cv, models, test, "text", "doc_id")
+    return pred.join(test.select("doc_id", "labels"), "doc_id")
+
+
+@query("m17_multilabel_predictions")
+def q_m17(spark, sf):
+    p = _multilabel(spark, sf)
+    predicted = F.map_keys(F.map_filter("probs", lambda k, v: v >= 0.35))
+    return p.select("doc_id", "labels", F.array_sort(predicted).alias("predicted"))
+
+
+@query("m18_micro_prf_model")
+def q_m18_model(spark, sf):
+    return EV.micro_prf(q_m17(spark, sf), "labels", "predicted")
+
+
+@query("m18_micro_prf", sql="""
+    WITH d AS (SELECT l.doc_id,
+                      list_filter(['lang:' || lang, CASE WHEN quality = 1 THEN 'quality:1' END,
+                                   CASE WHEN toxic = 1 THEN 'toxic:1' END], lambda x: x IS NOT NULL) AS truth,
+                      list_filter(['lang:' || lang, CASE WHEN n_chars >= 1000 THEN 'quality:1' END], lambda x: x IS NOT NULL) AS pred
+               FROM documents JOIN labels l USING (doc_id)),
+    s AS (SELECT SUM(len(list_intersect(truth, pred))) AS tp,
+                 SUM(len(list_filter(pred, lambda x: NOT list_contains(truth, x)))) AS fp,
+                 SUM(len(list_filter(truth, lambda x: NOT list_contains(pred, x)))) AS fn FROM d)
+    SELECT tp, fp, fn, tp / (tp + fp + 1e-9) AS precision, tp / (tp + fn + 1e-9) AS recall,
+           2 * (tp / (tp + fp + 1e-9)) * (tp / (tp + fn + 1e-9)) / ((tp / (tp + fp + 1e-9)) + (tp / (tp + fn + 1e-9)) + 1e-9) AS f1
+    FROM s""")
+def q_m18(spark, sf):
+    """Micro P/R/F1 of a transparent rule (language tag + 'long text is
+    quality') against the label table."""
+    d = _tagged(spark, sf)
+    pred = F.filter(F.array(F.concat(F.lit("lang:"), F.col("lang")),
+                            F.when(F.col("n_chars") >= 1000, F.lit("quality:1"))), lambda x: x.isNotNull())
+    return EV.micro_prf(d.withColumn("pred", pred), "labels", "pred")
+
+
+@query("t10_decode_labels")
+def q_t10(spark, sf):
+    p = _multilabel(spark, sf)
+    dec = MD.decode_labels(F.col("probs"))
+    return p.select("doc_id", dec["sentiment"].alias("sentiment"), dec["confidence"].alias("confidence"),
+                    dec["urgency"].alias("urgency"), F.size(dec["aspects"]).alias("n_aspects"))
