@@ -1 +1,126 @@
-"""Queries (see catalog)."""
+"""Streaming queries: each runs its stream to completion over the driver
+files (Trigger.AvailableNow) and returns what the sink holds; outputs that
+are deterministic in complete mode carry a SQL twin."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F, types as T
+
+from tessera.functions import text as TX
+from tessera.plans.catalog import query
+from tessera.plans.q_text import EVENT_NEG, EVENT_POS
+from tessera.sources.views import DRIFT_SPLIT
+from tessera.streaming import jobs as S
+
+LINE_SCHEMA = T.StructType([
+    T.StructField("l_orderkey", T.LongType()), T.StructField("l_partkey", T.LongType()),
+    T.StructField("l_suppkey", T.LongType()), T.StructField("l_linenumber", T.IntegerType()),
+    T.StructField("l_quantity", T.DoubleType()), T.StructField("l_extendedprice", T.DoubleType()),
+    T.StructField("l_discount", T.DoubleType()), T.StructField("l_tax", T.DoubleType()),
+    T.StructField("l_returnflag", T.StringType()), T.StructField("l_linestatus", T.StringType()),
+    T.StructField("l_shipdate", T.TimestampNTZType()),
+])
+
+
+def _events(spark, sf):
+    return S.table_stream(spark, sf, "events", S.EVENT_SCHEMA)
+
+
+def _run(spark, stream, name, mode):
+    out, ckpt = S.scratch(spark, name), S.scratch(spark, name + "-ckpt")
+    return spark.read.parquet(S.run_available(stream, out, ckpt, mode))
+
+
+@query("x1_ingest_stream", sql="SELECT event_type, COUNT(*) AS n, SUM(event_id) AS id_sum FROM events GROUP BY 1")
+def q_x1(spark, sf):
+    out, ckpt = S.scratch(spark, "x1"), S.scratch(spark, "x1-ckpt")
+    got = S.ingest_stream(spark, sf, "events", S.EVENT_SCHEMA, out, ckpt)
+    return got.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("event_id").alias("id_sum"))
+
+
+@query("x2_trend_stream", sql=f"""
+    SELECT CAST(date_trunc('day', ts) AS DATE) AS day,
+           COUNT(*) FILTER (WHERE l = 'POSITIVE') AS positive, COUNT(*) FILTER (WHERE l = 'NEGATIVE') AS negative,
+           COUNT(*) FILTER (WHERE l = 'NEUTRAL') AS neutral, COUNT(*) FILTER (WHERE l = 'MIXED') AS mixed,
+           COUNT(*) AS n
+    FROM (SELECT ts, CASE WHEN event_type IN {EVENT_POS} THEN 'POSITIVE'
+                          WHEN event_type IN ('{EVENT_NEG[0]}') THEN 'NEGATIVE' ELSE 'NEUTRAL' END AS l FROM events)
+    GROUP BY 1""")
+def q_x2(spark, sf):
+    ev = _events(spark, sf)
+    summary = F.format_string("[%s] value=%.2f", F.col("event_type"), F.col("value"))
+    s = TX.sentiment_label(summary, EVENT_POS, EVENT_NEG)
+    scored = ev.select("ts", s["label"].alias("label"),
+                       TX.lexicon_score(summary, EVENT_POS, EVENT_NEG).alias("score"))
+    res = _run(spark, S.trend_stream(scored, "label", "score"), "x2", "complete")
+    return res.select(F.to_date(F.col("window.start")).alias("day"), "positive", "negative", "neutral",
+                      "mixed", "n")
+
+
+@query("x3_sliding_demand", sql="""
+    SELECT p_type AS product_type, CAST(d - (k * INTERVAL 1 DAY) AS DATE) AS window_start, COUNT(*) AS units
+    FROM (SELECT p.p_type, CAST(date_trunc('day', o.o_orderdate) AS DATE) AS d
+          FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey JOIN part p ON l.l_partkey = p.p_partkey),
+         range(0, 7) r(k)
+    GROUP BY 1, 2""")
+def q_x3(spark, sf):
+    from tessera.sources import Tables
+    t = Tables(spark, sf)
+    lines = S.table_stream(spark, sf, "lineitem", LINE_SCHEMA)
+    # stream–static joins: the fact streams, the dimensions are read as tables
+    j = (lines.join(t.orders.select("o_orderkey", "o_orderdate"), F.col("l_orderkey") == F.col("o_orderkey"))
+              .join(t.part.select("p_partkey", F.col("p_type").alias("product_type")),
+                    F.col("l_partkey") == F.col("p_partkey")))
+    res = _run(spark, S.sliding_demand(j, "product_type", "o_orderdate", "7 days"), "x3", "complete")
+    return res.select("product_type", F.to_date(F.col("window.start")).alias("window_start"), "units")
+
+
+@query("x4_dedup_stream", sql="""
+    SELECT DISTINCT CAST(l_orderkey AS VARCHAR) || '-' || CAST(l_linenumber AS VARCHAR) AS transaction_id
+    FROM lineitem JOIN orders ON l_orderkey = o_orderkey""")
+def q_x4(spark, sf):
+    from tessera.sources import Tables
+    t = Tables(spark, sf)
+    lines = S.table_stream(spark, sf, "lineitem", LINE_SCHEMA)
+    j = lines.join(t.orders.select("o_orderkey", "o_orderdate"), F.col("l_orderkey") == F.col("o_orderkey"))
+    j = j.withColumn("transaction_id", F.concat_ws("-", F.col("l_orderkey").cast("string"),
+                                                   F.col("l_linenumber").cast("string")))
+    res = _run(spark, S.dedup_stream(j.select("transaction_id", "o_orderdate"), "transaction_id",
+                                     "o_orderdate", "1 day"), "x4", "append")
+    return res.select("transaction_id")
+
+
+@query("x5_drift_stream")
+def q_x5(spark, sf):
+    """Per-micro-batch drift of the current window against the baseline."""
+    from tessera.sources import Tables
+    from tessera.sources import views as V
+    base, _ = V.drift_pair(Tables(spark, sf))
+    cur = _events(spark, sf).where(F.col("ts") >= F.lit(DRIFT_SPLIT).cast("timestamp_ntz")) \
+        .select("event_id", "ts", "value", F.hour("ts").cast("double").alias("hour"))
+    audit, ckpt = S.scratch(spark, "x5-audit"), S.scratch(spark, "x5-ckpt")
+    S.drift_stream(spark, cur, base, ["value", "hour"], audit, ckpt)
+    return spark.read.json(audit)
+
+
+@query("x6_session_stream", sql="""
+    SELECT user_id, COUNT(*) AS sessions, SUM(n) AS events FROM (
+      SELECT user_id, SUM(new_s) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS sid, 1 AS n
+      FROM (SELECT user_id, ts, event_id,
+                   CASE WHEN lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) IS NULL
+                          OR ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) >= INTERVAL 30 MINUTE
+                        THEN 1 ELSE 0 END AS new_s FROM events))
+    GROUP BY user_id, sid""".replace("SELECT user_id, COUNT(*) AS sessions, SUM(n) AS events FROM (",
+                                     "SELECT user_id, COUNT(*) AS sessions, SUM(events) AS events FROM (SELECT user_id, sid, SUM(n) AS events FROM (", 1)
+    + ") GROUP BY user_id")
+def q_x6(spark, sf):
+    ev = _events(spark, sf).select("user_id", "ts")
+    res = _run(spark, S.session_stream(ev, "user_id", "ts", "30 minutes", "1 hour"), "x6", "complete")
+    return res.groupBy("user_id").agg(F.count(F.lit(1)).alias("sessions"), F.sum("n_events").alias("events"))
+
+
+@query("x7_counter_stream", sql=f"""
+    SELECT user_id, COUNT(*) AS new_interactions FROM events WHERE ts >= TIMESTAMP '{DRIFT_SPLIT}' GROUP BY 1""")
+def q_x7(spark, sf):
+    ev = _events(spark, sf).where(F.col("ts") >= F.lit(DRIFT_SPLIT).cast("timestamp_ntz"))
+    return _run(spark, S.counter_stream(ev, "user_id"), "x7", "complete")
