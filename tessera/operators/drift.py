@@ -38,14 +38,16 @@ def psi(base: DataFrame, cur: DataFrame, cols: Sequence[str], bins: int = 10,
                                     F.count_if(F.col("side") == "c").alias("nc"))
     width = (F.col("mx") - F.col("mn")) / bins
     binned = rows.join(stats, keys).withColumn(
-        "bin", F.least(F.floor((F.col("value") - F.col("mn")) / width), F.lit(bins - 1)).cast("int"))
+        "bin", F.when(F.col("mx") > F.col("mn"),
+                      F.least(F.floor((F.col("value") - F.col("mn")) / width), F.lit(bins - 1)))
+                .otherwise(0).cast("int"))
     counts = binned.groupBy(*keys, "bin").agg(F.count_if(F.col("side") == "b").alias("cb"),
                                               F.count_if(F.col("side") == "c").alias("cc"))
     grid = stats.select(*keys, "nb", "nc", "mn", "mx",
                         F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"))
     full = grid.join(counts, keys + ["bin"], "left").fillna({"cb": 0, "cc": 0})
-    pb = F.col("cb") / F.col("nb") + EPS
-    pc = F.col("cc") / F.col("nc") + EPS
+    pb = F.try_divide(F.col("cb"), F.col("nb")) + EPS
+    pc = F.try_divide(F.col("cc"), F.col("nc")) + EPS
     term = (pc - pb) * F.log(pc / pb)
     out = full.groupBy(*keys).agg(F.sum(term).alias("_psi"), F.first("nb").alias("nb"),
                                   F.first("nc").alias("nc"), F.first("mn").alias("mn"),

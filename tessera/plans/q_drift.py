@@ -18,8 +18,8 @@ BASE_VIEWS = ("drift_base", "drift_cur")
 
 def conversion(df):
     """Business metric: purchases per click-or-view event."""
-    return (F.count_if(F.col("event_type") == "purchase")
-            / F.count_if(F.col("event_type").isin("click", "view")))
+    return F.try_divide(F.count_if(F.col("event_type") == "purchase"),
+                        F.count_if(F.col("event_type").isin("click", "view")))
 
 
 # ---- DuckDB generators ------------------------------------------------------------
