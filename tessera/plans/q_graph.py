@@ -233,3 +233,9 @@ def q_t17(spark, sf):
     HAVING COUNT(DISTINCT a.product_name) = 2""", "transactions", "articles"))
 def q_u5(spark, sf):
     return G.bought_all(name_baskets(spark, sf), "customer_id", "product_name", NAME_PAIR)
+
+
+@query("g3_product_graph_nodes", sql=pg_sql("SELECT id, label, type, category, price, aisle FROM pg_nodes"))
+def q_g3_nodes(spark, sf):
+    """Product ∪ category ∪ aisle nodes."""
+    return part_graph(spark, sf)[0].select("id", "label", "type", "category", "price", "aisle")

@@ -294,3 +294,11 @@ def q_sessions(spark, sf):
     from tessera.operators.scale import session_table
     s = session_table(Tables(spark, sf).events, "user_id", "ts", 1800, "event_id")
     return s.select("user_id", "session_id", "session_start", "session_end", "duration_us")
+
+
+@query("k4_sorted_series", sql=with_views("""
+    SELECT article_id, t_dat, daily_units_sold FROM demand_mart ORDER BY article_id, t_dat""",
+    "transactions", "articles", "demand_mart", extra=_DEMAND))
+def q_k4(spark, sf):
+    """ORDER BY article, date: a range-partitioned sort (no single partition)."""
+    return demand_mart(spark, sf).select("article_id", "t_dat", "daily_units_sold").orderBy("article_id", "t_dat")

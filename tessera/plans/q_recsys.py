@@ -290,3 +290,20 @@ def q_v1(spark, sf):
     e = VX.embed_text(d, "text", 1 << 12)
     return e.select("doc_id", F.size(F.filter("embedding", lambda x: x != 0)).alias("nonzero"),
                     F.round(VX.norm("embedding"), 6).alias("norm"))
+
+
+@query("j8_score_all_items", sql="""
+    WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings),
+    s AS (SELECT a.vec_id AS user_id, b.vec_id AS item_id, round(list_dot_product(a.e, b.e), 6) AS score
+          FROM v a, v b WHERE a.vec_id <> b.vec_id)
+    SELECT user_id, item_id, score, rank FROM (
+      SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, item_id) AS rank FROM s)
+    WHERE rank <= 5""")
+def q_j8(spark, sf):
+    """Every vector scored against every item (blocked broadcast + Arrow
+    batches, no pair rows); each vector's own id is excluded (J7)."""
+    v = vectors(spark, sf)
+    users = v.select(F.col("item_id").alias("user_id"), F.col("vec").alias("features"))
+    items = v.select("item_id", F.col("vec").alias("features"))
+    seen = v.select(F.col("item_id").alias("user_id"), "item_id")
+    return VX.score_all(users, items, 5, seen=seen).select("user_id", "item_id", "score", "rank")

@@ -336,3 +336,11 @@ def q_a10(spark, sf):
     scored = i.select("date", s["label"].alias("label"),
                       TX.lexicon_score("summary", EVENT_POS, EVENT_NEG).alias("score"))
     return TO.daily_trend(scored, "date", "score")
+
+
+@query("k6_top_tokens", sql=f"""
+    SELECT token, COUNT(*) AS freq FROM (SELECT unnest({sql_tokens('text')}) AS token FROM documents)
+    GROUP BY token ORDER BY freq DESC, token LIMIT 20""")
+def q_k6(spark, sf):
+    """Top-20 tokens by (−frequency, token): a top-k sort (each task keeps 20)."""
+    return TO.build_vocab(Tables(spark, sf).documents, "text", 20).select("token", "freq")
