@@ -57,9 +57,17 @@ def substring_count(lower_text: Column, words: Sequence[str]) -> Column:
     return acc
 
 
-def sentiment_label(col, positive=L.RULE_POSITIVE, negative=L.RULE_NEGATIVE) -> Column:
-    """struct(label, confidence, pos_count, neg_count) by substring rules."""
-    low = F.lower(_c(col))
+def _low(col, lowered: bool) -> Column:
+    return _c(col) if lowered else F.lower(_c(col))
+
+
+def sentiment_label(col, positive=L.RULE_POSITIVE, negative=L.RULE_NEGATIVE,
+                    lowered: bool = False) -> Column:
+    """struct(label, confidence, pos_count, neg_count) by substring rules.
+
+    ``lowered=True`` when ``col`` is already lower case (callers materialise
+    ``lower(text)`` once per row and share it between rules)."""
+    low = _low(col, lowered)
     pos, neg = substring_count(low, positive), substring_count(low, negative)
     conf_pos = F.least(F.lit(0.95).cast("decimal(4,2)"),
                        (F.lit(0.65).cast("decimal(4,2)") + pos * F.lit(0.1).cast("decimal(4,2)")))
@@ -74,14 +82,14 @@ def sentiment_label(col, positive=L.RULE_POSITIVE, negative=L.RULE_NEGATIVE) ->
 
 
 def aspects(col, groups=L.ASPECT_GROUPS, positive=L.RULE_POSITIVE,
-            negative=L.RULE_NEGATIVE) -> Column:
+            negative=L.RULE_NEGATIVE, lowered: bool = False) -> Column:
     """array<struct<aspect, sentiment, score>> in group order.
 
     Positive-only text: min(.95, base + .05); negative-only: max(.15, base − .30);
     otherwise MIXED at base. No group matched → one 'overall experience' entry
     carrying the T2 label and its confidence (2 decimals).
     """
-    low = F.lower(_c(col))
+    low = _low(col, lowered)
     any_pos = substring_count(low, positive) > 0
     any_neg = substring_count(low, negative) > 0
     label = (F.when(any_pos & ~any_neg, "POSITIVE")
@@ -98,22 +106,22 @@ def aspects(col, groups=L.ASPECT_GROUPS, positive=L.RULE_POSITIVE,
                                             label.alias("sentiment"),
                                             F.round(score, 2).cast("double").alias("score"))))
     found = F.filter(F.array(*entries), lambda x: x.isNotNull())
-    overall = sentiment_label(col, positive, negative)
+    overall = sentiment_label(low, positive, negative, lowered=True)
     fallback = F.array(F.struct(F.lit("overall experience").alias("aspect"),
                                 overall["label"].alias("sentiment"),
                                 F.round(overall["confidence"], 2).alias("score")))
     return F.when(F.size(found) > 0, found).otherwise(fallback)
 
 
-def entities(col, names: Sequence[str] = L.PRODUCT_ENTITIES) -> Column:
+def entities(col, names: Sequence[str] = L.PRODUCT_ENTITIES, lowered: bool = False) -> Column:
     """T4: dictionary names found case-insensitively (all typed PRODUCT)."""
-    low = F.lower(_c(col))
+    low = _low(col, lowered)
     return F.filter(_arr(names), lambda n: low.contains(F.lower(n)))
 
 
-def urgency(col, negative=L.RULE_NEGATIVE) -> Column:
+def urgency(col, negative=L.RULE_NEGATIVE, lowered: bool = False) -> Column:
     """T5: CRITICAL / HIGH / MEDIUM / LOW from negative hits and escalation terms."""
-    low = F.lower(_c(col))
+    low = _low(col, lowered)
     neg = substring_count(low, negative)
     crit = F.lit(False)
     for t in L.CRITICAL_TERMS:
@@ -127,13 +135,16 @@ def urgency(col, negative=L.RULE_NEGATIVE) -> Column:
 
 def whitespace_words(col) -> Column:
     """Python ``str.split()`` semantics: runs of whitespace, no empty items."""
-    return F.filter(F.split(_c(col), r"\s+"), lambda w: F.length(w) > 0)
+    return F.array_remove(F.split(_c(col), r"\s+"), "")
 
 
-def key_phrases(col, strip: str = L.PHRASE_STRIP) -> Column:
+def key_phrases(col, strip: str = L.PHRASE_STRIP, words: Column | None = None) -> Column:
     """3-word shingles at word 0, 2, 4 (start < min(n−2, 6)), end
-    punctuation stripped, kept when longer than 5 characters (≤ 5 phrases)."""
-    words = whitespace_words(col)
+    punctuation stripped, kept when longer than 5 characters (≤ 5 phrases).
+
+    Pass ``words`` (a materialised ``whitespace_words`` column) to split each
+    document once instead of once per use inside the array lambdas."""
+    words = whitespace_words(col) if words is None else words
     n = F.size(words)
     cls = "[" + "".join("\\" + ch for ch in strip) + "]+"
     strip_re = f"^{cls}|{cls}$"

@@ -14,21 +14,67 @@ LABELS = ("POSITIVE", "NEGATIVE", "NEUTRAL", "MIXED")
 URGENCIES = ("LOW", "MEDIUM", "HIGH", "CRITICAL")
 
 
+def with_aspect_flags(df: DataFrame, low: str, groups=L.ASPECT_GROUPS,
+                      positive=L.RULE_POSITIVE, negative=L.RULE_NEGATIVE) -> DataFrame:
+    """Positive / negative hit counts and one hit flag per aspect group,
+    computed once per row from the lower-cased text (``low``)."""
+    low_c = F.col(low)
+    out = (df.withColumn("_pc", TX.substring_count(low_c, positive))
+             .withColumn("_nc", TX.substring_count(low_c, negative)))
+    for i, (_, keywords, _) in enumerate(groups):
+        hit = F.lit(False)
+        for kw in keywords:
+            hit = hit | low_c.contains(kw)
+        out = out.withColumn(f"_h{i}", hit)
+    return out
+
+
+def aspects_from_flags(groups=L.ASPECT_GROUPS) -> Column:
+    """T3 from the flags of ``with_aspect_flags`` (same rules as ``TX.aspects``)."""
+    pc, nc = F.col("_pc"), F.col("_nc")
+    any_pos, any_neg = pc > 0, nc > 0
+    label = F.when(any_pos & ~any_neg, "POSITIVE").when(any_neg & ~any_pos, "NEGATIVE").otherwise("MIXED")
+    entries = []
+    for i, (name, _, base) in enumerate(groups):
+        score = (F.when(any_pos & ~any_neg, min(0.95, round(base + 0.05, 2)))
+                 .when(any_neg & ~any_pos, max(0.15, round(base - 0.30, 2))).otherwise(base))
+        entries.append(F.when(F.col(f"_h{i}"), F.struct(F.lit(name).alias("aspect"), label.alias("sentiment"),
+                                                        F.round(score, 2).cast("double").alias("score"))))
+    found = F.filter(F.array(*entries), lambda x: x.isNotNull())
+    o_label = F.when(pc > nc, "POSITIVE").when(nc > pc, "NEGATIVE").when(any_pos & any_neg, "MIXED") \
+               .otherwise("NEUTRAL")
+    o_conf = (F.when(pc > nc, F.least(F.lit(0.95), F.lit(0.65) + pc * 0.1))
+              .when(nc > pc, F.least(F.lit(0.95), F.lit(0.65) + nc * 0.1))
+              .when(any_pos & any_neg, F.lit(0.72)).otherwise(F.lit(0.60)))
+    fallback = F.array(F.struct(F.lit("overall experience").alias("aspect"), o_label.alias("sentiment"),
+                                F.round(o_conf, 2).cast("double").alias("score")))
+    return F.when(F.size(found) > 0, found).otherwise(fallback)
+
+
+def drop_flags(df: DataFrame, groups=L.ASPECT_GROUPS) -> DataFrame:
+    return df.drop("_pc", "_nc", *[f"_h{i}" for i in range(len(groups))])
+
+
 def score_texts(df: DataFrame, col: str, positive=L.RULE_POSITIVE,
                 negative=L.RULE_NEGATIVE, groups=L.ASPECT_GROUPS) -> DataFrame:
-    """T2–T6 + T16 in one projection: label, confidence, aspects, entities,
+    """T2–T6 + T16 in one pass: label, confidence, aspects, entities,
     urgency, key phrases, summary, stored source text."""
-    s = TX.sentiment_label(col, positive, negative)
-    out = (df.withColumn("_s", s)
-             .withColumn("label", F.col("_s.label"))
-             .withColumn("confidence", F.col("_s.confidence"))
-             .withColumn("aspects", TX.aspects(col, groups, positive, negative))
-             .withColumn("entities", TX.entities(col))
-             .withColumn("urgency", TX.urgency(col, negative))
-             .withColumn("key_phrases", TX.key_phrases(col)))
+    # lower(text), the word array and the keyword flags are materialised once
+    # per row and shared by every rule (array lambdas would re-evaluate them)
+    base = df.withColumn("_low", F.lower(col)).withColumn("_words", TX.whitespace_words(col))
+    base = with_aspect_flags(base, "_low", groups, positive, negative)
+    s = TX.sentiment_label("_low", positive, negative, lowered=True)
+    out = (base.withColumn("_s", s)
+               .withColumn("label", F.col("_s.label"))
+               .withColumn("confidence", F.col("_s.confidence"))
+               .withColumn("aspects", aspects_from_flags(groups))
+               .withColumn("entities", TX.entities("_low", lowered=True))
+               .withColumn("urgency", TX.urgency("_low", negative, lowered=True))
+               .withColumn("key_phrases", TX.key_phrases(col, words=F.col("_words"))))
     out = out.withColumn("summary", TX.summary_text(F.col("label"), F.col("confidence"),
                                                     F.size("aspects")))
-    return out.withColumn("source_text", TX.source_text(col)).drop("_s")
+    out = out.withColumn("source_text", TX.source_text(col)).drop("_s", "_low", "_words")
+    return drop_flags(out, groups)
 
 
 def _round_mean_int(total: Column, n: Column, unit: int, digits: int) -> Column:
@@ -52,7 +98,7 @@ def sentiment_stats(scored: DataFrame, by: Sequence[str]) -> DataFrame:
 def aspect_stats(scored: DataFrame, by: Sequence[str]) -> DataFrame:
     """Per aspect — mean score (2 dp), mentions and dominant
     sentiment (mode; ties go to the alphabetically first label)."""
-    ex = scored.select(*by, F.explode("aspects").alias("a")).select(
+    ex = scored.select(*by, F.explode_outer("aspects").alias("a")).where(F.col("a").isNotNull()).select(
         *by, F.lower(F.col("a.aspect")).alias("aspect"), F.col("a.sentiment").alias("sentiment"),
         F.round(F.col("a.score") * 100).cast("long").alias("score_h"))
     per = ex.groupBy(*by, "aspect", "sentiment").agg(F.count(F.lit(1)).alias("c"),
@@ -83,7 +129,9 @@ def build_vocab(df: DataFrame, col: str, n: int = 5000) -> DataFrame:
 
     Counting is a distributed aggregate; only the ``n`` winners are ordered.
     """
-    counts = (df.select(F.explode(TX.tokenize(col)).alias("token"))
+    # explode_outer + null filter: a plain explode makes Catalyst add a
+    # size(array) > 0 filter below the projection, re-tokenising every text
+    counts = (df.select(F.explode_outer(TX.tokenize(col)).alias("token")).where(F.col("token").isNotNull())
               .groupBy("token").agg(F.count(F.lit(1)).alias("freq")))
     top = counts.orderBy(F.col("freq").desc(), F.col("token")).limit(n)
     w = Window.orderBy(F.col("freq").desc(), F.col("token"))  # over ≤ n rows
@@ -94,14 +142,20 @@ def encode(df: DataFrame, key: str, col: str, vocab: DataFrame) -> DataFrame:
     """Token ids in text order, out-of-vocabulary → 0.
 
     The vocabulary has at most ``n`` rows (a proven bound), so it is
-    broadcast; each document is rebuilt from its own tokens only.
+    broadcast as a dictionary and every document is encoded in place, in
+    Arrow batches — tokens are never exploded or shuffled.
     """
-    toks = df.select(key, F.posexplode(TX.tokenize(col)).alias("pos", "token"))
-    j = toks.join(F.broadcast(vocab.select("token", "idx")), "token", "left")
-    return (j.groupBy(key)
-            .agg(F.sort_array(F.collect_list(F.struct("pos", F.coalesce("idx", F.lit(0)).alias("id"))))
-                 .alias("_p"))
-            .select(key, F.col("_p.id").alias("ids")))
+    import pandas as pd
+    lookup = {r["token"]: int(r["idx"]) for r in vocab.select("token", "idx").collect()}  # ≤ n rows
+    bc = df.sparkSession.sparkContext.broadcast(lookup)
+
+    def enc(batches):
+        table = bc.value
+        for pdf in batches:
+            yield pd.DataFrame({key: pdf[key], "ids": [[table.get(t, 0) for t in toks] for toks in pdf["_tk"]]})
+
+    toks = df.select(key, TX.tokenize(col).alias("_tk"))
+    return toks.mapInPandas(enc, f"{key} {df.schema[key].dataType.simpleString()}, ids array<bigint>")
 
 
 # ---- model replies ---------------------------------------------------------------
@@ -157,11 +211,13 @@ def keyword_search(catalog: DataFrame, queries: DataFrame, k: int = 5,
     (no whitespace) is inside the text iff it is a substring of one text
     token, so product-token substrings are equi-joined with query words.
     """
-    prod_sub = (catalog.select(id_col, F.explode(F.array_distinct(
-        TX.whitespace_words(F.lower(text_col)))).alias("tok"))
-        .select(id_col, F.explode(_substrings(F.col("tok"))).alias("w")).distinct())
+    prod_sub = (catalog.select(id_col, F.explode_outer(F.array_distinct(
+        TX.whitespace_words(F.lower(text_col)))).alias("tok")).where(F.col("tok").isNotNull())
+        .select(id_col, F.explode_outer(_substrings(F.col("tok"))).alias("w")).where(F.col("w").isNotNull())
+        .distinct())
     words = queries.select(qid, TX.whitespace_words(F.lower(qtext)).alias("ws"))
-    qw = (words.select(qid, F.size("ws").alias("n_words"), F.explode("ws").alias("w"))
+    qw = (words.select(qid, F.size("ws").alias("n_words"), F.explode_outer("ws").alias("w"))
+          .where(F.col("w").isNotNull())
           .groupBy(qid, "n_words", "w").agg(F.count(F.lit(1)).alias("mult")))
     hits = qw.join(prod_sub, "w", "inner")
     scored = (hits.groupBy(qid, id_col, "n_words").agg(F.sum("mult").alias("found"))

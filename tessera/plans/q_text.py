@@ -157,8 +157,9 @@ def q_t16(spark, sf):
     SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY ord) AS pos, aspect, sentiment, score
     FROM ({_ASPECT_SQL})""")
 def q_t3(spark, sf):
-    d = Tables(spark, sf).documents.select("doc_id", TX.aspects("text", L.ASPECT_GROUPS, POS, NEG).alias("a"))
-    ex = d.select("doc_id", F.posexplode("a").alias("pos", "x"))
+    d = Tables(spark, sf).documents.select("doc_id", F.lower("text").alias("low"))
+    d = TO.with_aspect_flags(d, "low", L.ASPECT_GROUPS, POS, NEG).select("doc_id", TO.aspects_from_flags().alias("a"))
+    ex = d.select("doc_id", F.posexplode_outer("a").alias("pos", "x")).where(F.col("x").isNotNull())
     return ex.select("doc_id", (F.col("pos") + 1).alias("pos"), F.col("x.aspect").alias("aspect"),
                      F.col("x.sentiment").alias("sentiment"), F.col("x.score").alias("score"))
 
@@ -168,7 +169,7 @@ def q_t3(spark, sf):
     for n in L.PRODUCT_ENTITIES))
 def q_t4(spark, sf):
     d = Tables(spark, sf).documents
-    return (d.select("doc_id", F.explode(TX.entities("text")).alias("name"))
+    return (d.select("doc_id", F.explode_outer(TX.entities("text")).alias("name")).where(F.col("name").isNotNull())
              .withColumn("type", F.lit("PRODUCT")))
 
 
@@ -184,8 +185,9 @@ _PHRASE = ("regexp_replace(array_to_string(w[{i} + 1:{i} + 3], ' '), "
             for i in (0, 2, 4))})
       WHERE n > 3 AND i < least(n - 2, 6) AND length(phrase) > 5)""")
 def q_t6(spark, sf):
-    d = Tables(spark, sf).documents.select("doc_id", TX.key_phrases("text").alias("kp"))
-    ex = d.select("doc_id", F.posexplode("kp").alias("pos", "phrase"))
+    d = (Tables(spark, sf).documents.select("doc_id", TX.whitespace_words("text").alias("w"))
+         .select("doc_id", TX.key_phrases(None, words=F.col("w")).alias("kp")))
+    ex = d.select("doc_id", F.posexplode_outer("kp").alias("pos", "phrase")).where(F.col("phrase").isNotNull())
     return ex.withColumn("pos", F.col("pos") + 1)
 
 
@@ -195,9 +197,8 @@ def q_t6(spark, sf):
     SELECT doc_id, len(tk) AS n_tokens, len(list_distinct(tk)) AS n_distinct
     FROM (SELECT doc_id, {sql_tokens('text')} AS tk FROM documents)""")
 def q_t7(spark, sf):
-    tk = TX.tokenize("text")
-    return Tables(spark, sf).documents.select(
-        "doc_id", F.size(tk).alias("n_tokens"), F.size(F.array_distinct(tk)).alias("n_distinct"))
+    d = Tables(spark, sf).documents.select("doc_id", TX.tokenize("text").alias("tk"))
+    return d.select("doc_id", F.size("tk").alias("n_tokens"), F.size(F.array_distinct("tk")).alias("n_distinct"))
 
 
 VOCAB_SQL = f"""
