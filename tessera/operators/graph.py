@@ -180,6 +180,8 @@ def edge_search(nodes: DataFrame, edges: DataFrame, query: str,
     relation name; when nothing matches, the first ``fallback`` edges."""
     words = [w for w in query.lower().split() if w not in set(stopwords)]
     e = edges_with_nodes(edges, nodes).where(F.col("src_price").isNotNull() & F.col("tgt_price").isNotNull())
+    # used three times below (hits, fallback, hit count): materialise once
+    e = e.checkpoint(eager=True)
     st = F.lower(F.concat_ws(" ", "src_label", "src_category", "src_aisle"))
     tt = F.lower(F.concat_ws(" ", "tgt_label", "tgt_category", "tgt_aisle"))
     rel = F.lower("relation")

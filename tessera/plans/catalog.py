@@ -36,6 +36,23 @@ def query(name: str, sql: str | None = None, bench: bool = False):
     return deco
 
 
+_MEMO: dict = {}
+
+
+def memo(fn):
+    """Reuse one fitted model / intermediate per (Spark application, data
+    folder) across the queries that report on it (e.g. one k-means fit for
+    both the segment counts and the segment statistics)."""
+    def wrapped(spark: SparkSession, sf: str):
+        key = (fn.__module__, fn.__name__, spark.sparkContext.applicationId, sf)
+        if key not in _MEMO:
+            _MEMO[key] = fn(spark, sf)
+        return _MEMO[key]
+    wrapped.__name__ = fn.__name__
+    wrapped.__doc__ = fn.__doc__
+    return wrapped
+
+
 def load_all() -> dict[str, Entry]:
     # importing the modules registers their queries
     from tessera.plans import (q_marts, q_quality, q_text, q_graph, q_c360,  # noqa: F401

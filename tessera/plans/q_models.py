@@ -9,7 +9,7 @@ from tessera.operators import evaluation as EV
 from tessera.operators import features as FE
 from tessera.operators import forecast as FC
 from tessera.operators import models as MD
-from tessera.plans.catalog import query
+from tessera.plans.catalog import memo, query
 from tessera.plans.q_marts import M1_SQL, TYPE_SERIES_SQL, q_m1, q_m2, type_series
 from tessera.sources import Tables
 from tessera.sources.views import with_views
@@ -77,6 +77,7 @@ def q_m8(spark, sf):
 
 # ---- M6 / K5: boosted trees (rows-only) -----------------------------------------------
 
+@memo
 def _churn_model(spark, sf):
     f = q_m1(spark, sf)
     split = MD.stratified_split(f, "customer_id", "churned")
@@ -103,6 +104,7 @@ def q_k5(spark, sf):
 
 # ---- M9 / M12 (W5, J3, A7): segmentation ----------------------------------------------
 
+@memo
 def _segments(spark, sf):
     rfm = q_m2(spark, sf).fillna(0, subset=RFM_COLS)
     model, scaler, data = MD.fit_segments(rfm, RFM_COLS, k=5, restarts=10)
@@ -265,6 +267,7 @@ def _tagged(spark, sf):
 LABEL_SET = ("lang:en", "lang:de", "lang:fr", "lang:es", "quality:1", "toxic:1")
 
 
+@memo
 def _multilabel(spark, sf):
     d = _tagged(spark, sf).withColumn("_h", MD.split_hash("doc_id"))
     train = d.where(F.col("_h") % 5 != 0)
