@@ -52,7 +52,7 @@ def key_interactions(retrieved_df: DataFrame, n: int = 5) -> DataFrame:
     date cut to 10 characters and summary to 100."""
     top = latest_per_key(retrieved_df, "customer_id", "date", "interaction_id", n)
     w = Window.partitionBy("customer_id").orderBy(F.col("date").desc(), F.col("interaction_id").desc())
-    return top.select("customer_id", F.row_number().over(w).alias("pos"),
+    return top.select("customer_id", F.row_number().over(w).cast("long").alias("pos"),
                       F.substring(F.col("date").cast("string"), 1, 10).alias("date"),
                       F.col("type"), F.substring("summary", 1, 100).alias("summary"))
 

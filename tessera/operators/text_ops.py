@@ -187,7 +187,7 @@ def prompt_table(interactions: DataFrame, key: str = "customer_id", n: int = 10)
     rows = last.select(key, F.struct(F.col("date"), F.col("interaction_id"), line.alias("line")).alias("r"))
     agg = rows.groupBy(key).agg(F.sort_array(F.collect_list("r"), asc=False).alias("rs"))
     return agg.select(key, F.array_join(F.col("rs.line"), "\n").alias("interactions_text"),
-                      F.size("rs").alias("n_lines"))
+                      F.size("rs").cast("long").alias("n_lines"))
 
 
 # ---- keyword search --------------------------------------------------------
@@ -223,5 +223,5 @@ def keyword_search(catalog: DataFrame, queries: DataFrame, k: int = 5,
     scored = (hits.groupBy(qid, id_col, "n_words").agg(F.sum("mult").alias("found"))
               .withColumn("score", F.col("found") / F.greatest(F.col("n_words"), F.lit(1))))
     w = Window.partitionBy(qid).orderBy(F.col("score").desc(), F.col(id_col))
-    top = scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    top = scored.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= k)
     return top.select(qid, id_col, "rank", F.round("score", 3).alias("similarity_score"))

@@ -112,7 +112,7 @@ def cosine_topk(items: DataFrame, queries: DataFrame, k: int, item_id: str = "it
     for p in parts[1:]:
         cand = cand.unionByName(p)
     w = Window.partitionBy(query_id).orderBy(F.col("similarity").desc(), F.col(item_id))
-    return cand.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return cand.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= k)
 
 
 def score_all(users: DataFrame, items: DataFrame, k: int, user_id: str = "user_id",
@@ -173,7 +173,7 @@ def score_all(users: DataFrame, items: DataFrame, k: int, user_id: str = "user_i
     for p in parts[1:]:
         cand = cand.unionByName(p)
     w = Window.partitionBy(user_id).orderBy(F.col("score").desc(), F.col(item_id))
-    return cand.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return cand.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= k)
 
 
 def target_rank(rows: DataFrame, users: DataFrame, items: DataFrame, user_id: str = "user_id",
@@ -249,4 +249,4 @@ def ann_topk(items: DataFrame, queries: DataFrame, k: int, item_id: str = "item_
     res = j.select(F.col("datasetA._id").alias(query_id), F.col("datasetB._id").alias(item_id),
                    F.round(1 - F.col("_d") * F.col("_d") / 2, 6).alias("similarity"))
     w = Window.partitionBy(query_id).orderBy(F.col("similarity").desc(), F.col(item_id))
-    return res.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return res.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= k)

@@ -166,7 +166,7 @@ DAY_METRICS_SQL = f"""
 SIGNALS_SQL = f"""
     SELECT r.*, v.new_interactions, CAST(r.day - DATE '{TRAINED_ON}' AS INTEGER) AS days_since_training
     FROM ({report_sql(psi_sql('base_d', 'cur_d', 'day'), ks_sql('base_d', 'cur_d', 'day'), DAY_METRICS_SQL, 'day')}) r
-    JOIN (SELECT day, SUM(COUNT(*)) OVER (ORDER BY day ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS new_interactions
+    JOIN (SELECT day, CAST(SUM(COUNT(*)) OVER (ORDER BY day ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS new_interactions
           FROM ev_d WHERE ts >= TIMESTAMP '{DRIFT_SPLIT}' GROUP BY day) v USING (day)"""
 _DAY_X = dict(_EV, **DAY_SQL, signals=SIGNALS_SQL)
 _DAY_V = (*BASE_VIEWS, "drift_base_e", "drift_cur_e", "cur_d", "base_d", "ev_d", "signals")

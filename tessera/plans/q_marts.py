@@ -288,7 +288,7 @@ def q_m2(spark, sf):
 
 
 @query("x6_session_table_batch", sql=with_views(
-    "SELECT user_id, sid AS session_id, s_start AS session_start, s_end AS session_end, duration_us FROM sessions",
+    "SELECT user_id, CAST(sid AS BIGINT) AS session_id, s_start AS session_start, s_end AS session_end, duration_us FROM sessions",
     "sessions", extra={"sessions": SESSIONS_SQL}))
 def q_sessions(spark, sf):
     from tessera.operators.scale import session_table

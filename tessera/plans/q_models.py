@@ -298,7 +298,7 @@ def q_m18_model(spark, sf):
     s AS (SELECT SUM(len(list_intersect(truth, pred))) AS tp,
                  SUM(len(list_filter(pred, lambda x: NOT list_contains(truth, x)))) AS fp,
                  SUM(len(list_filter(truth, lambda x: NOT list_contains(pred, x)))) AS fn FROM d)
-    SELECT tp, fp, fn, tp / (tp + fp + 1e-9) AS precision, tp / (tp + fn + 1e-9) AS recall,
+    SELECT CAST(tp AS BIGINT) AS tp, CAST(fp AS BIGINT) AS fp, CAST(fn AS BIGINT) AS fn, tp / (tp + fp + 1e-9) AS precision, tp / (tp + fn + 1e-9) AS recall,
            2 * (tp / (tp + fp + 1e-9)) * (tp / (tp + fn + 1e-9)) / ((tp / (tp + fp + 1e-9)) + (tp / (tp + fn + 1e-9)) + 1e-9) AS f1
     FROM s""")
 def q_m18(spark, sf):

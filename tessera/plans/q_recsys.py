@@ -157,7 +157,7 @@ def q_v3(spark, sf):
     s = j.select("query_id", "item_id", F.round(VX.cosine("qvec", "vec"), 6).alias("similarity"))
     from pyspark.sql import Window
     w = Window.partitionBy("query_id").orderBy(F.col("similarity").desc(), F.col("item_id"))
-    return s.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= K)
+    return s.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= K)
 
 
 @query("j7_drop_excluded", sql=f"""

@@ -31,7 +31,7 @@ def _run(spark, stream, name, mode):
     return spark.read.parquet(S.run_available(stream, out, ckpt, mode))
 
 
-@query("x1_ingest_stream", sql="SELECT event_type, COUNT(*) AS n, SUM(event_id) AS id_sum FROM events GROUP BY 1")
+@query("x1_ingest_stream", sql="SELECT event_type, COUNT(*) AS n, CAST(SUM(event_id) AS BIGINT) AS id_sum FROM events GROUP BY 1")
 def q_x1(spark, sf):
     out, ckpt = S.scratch(spark, "x1"), S.scratch(spark, "x1-ckpt")
     got = S.ingest_stream(spark, sf, "events", S.EVENT_SCHEMA, out, ckpt)
@@ -111,7 +111,7 @@ def q_x5(spark, sf):
                           OR ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) >= INTERVAL 30 MINUTE
                         THEN 1 ELSE 0 END AS new_s FROM events))
     GROUP BY user_id, sid""".replace("SELECT user_id, COUNT(*) AS sessions, SUM(n) AS events FROM (",
-                                     "SELECT user_id, COUNT(*) AS sessions, SUM(events) AS events FROM (SELECT user_id, sid, SUM(n) AS events FROM (", 1)
+                                     "SELECT user_id, COUNT(*) AS sessions, CAST(SUM(events) AS BIGINT) AS events FROM (SELECT user_id, sid, SUM(n) AS events FROM (", 1)
     + ") GROUP BY user_id")
 def q_x6(spark, sf):
     ev = _events(spark, sf).select("user_id", "ts")

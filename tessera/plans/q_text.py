@@ -105,8 +105,8 @@ def q_t1(spark, sf):
     toks = TX.word_tokens("body")
     return r.select("review_id",
                     TX.lexicon_score("body", POS, NEG).cast("double").alias("sentiment_score"),
-                    TX.lexicon_hits(toks, POS).alias("pos_words"),
-                    TX.lexicon_hits(toks, NEG).alias("neg_words"))
+                    TX.lexicon_hits(toks, POS).cast("long").alias("pos_words"),
+                    TX.lexicon_hits(toks, NEG).cast("long").alias("neg_words"))
 
 
 # ---- T2 / T5 / T13 / T16 -------------------------------------------------------
@@ -160,7 +160,7 @@ def q_t3(spark, sf):
     d = Tables(spark, sf).documents.select("doc_id", F.lower("text").alias("low"))
     d = TO.with_aspect_flags(d, "low", L.ASPECT_GROUPS, POS, NEG).select("doc_id", TO.aspects_from_flags().alias("a"))
     ex = d.select("doc_id", F.posexplode_outer("a").alias("pos", "x")).where(F.col("x").isNotNull())
-    return ex.select("doc_id", (F.col("pos") + 1).alias("pos"), F.col("x.aspect").alias("aspect"),
+    return ex.select("doc_id", (F.col("pos") + 1).cast("long").alias("pos"), F.col("x.aspect").alias("aspect"),
                      F.col("x.sentiment").alias("sentiment"), F.col("x.score").alias("score"))
 
 
@@ -188,7 +188,7 @@ def q_t6(spark, sf):
     d = (Tables(spark, sf).documents.select("doc_id", TX.whitespace_words("text").alias("w"))
          .select("doc_id", TX.key_phrases(None, words=F.col("w")).alias("kp")))
     ex = d.select("doc_id", F.posexplode_outer("kp").alias("pos", "phrase")).where(F.col("phrase").isNotNull())
-    return ex.withColumn("pos", F.col("pos") + 1)
+    return ex.withColumn("pos", (F.col("pos") + 1).cast("long"))
 
 
 # ---- T7 / T8 / K6 / T9 -------------------------------------------------------
@@ -198,7 +198,8 @@ def q_t6(spark, sf):
     FROM (SELECT doc_id, {sql_tokens('text')} AS tk FROM documents)""")
 def q_t7(spark, sf):
     d = Tables(spark, sf).documents.select("doc_id", TX.tokenize("text").alias("tk"))
-    return d.select("doc_id", F.size("tk").alias("n_tokens"), F.size(F.array_distinct("tk")).alias("n_distinct"))
+    return d.select("doc_id", F.size("tk").cast("long").alias("n_tokens"),
+                    F.size(F.array_distinct("tk")).cast("long").alias("n_distinct"))
 
 
 VOCAB_SQL = f"""
@@ -306,7 +307,7 @@ def q_a4(spark, sf):
 @query("a4_aspect_stats", sql=f"""
     SELECT source, aspect,
            CAST(floor((SUM(s) * 200 + SUM(c) * 100) / (SUM(c) * 200)) / 100 AS DOUBLE) AS avg_score,
-           SUM(c) AS mentions,
+           CAST(SUM(c) AS BIGINT) AS mentions,
            arg_min(sentiment, (-c, sentiment)) AS dominant_sentiment
     FROM (SELECT d.source, a.aspect, a.sentiment, COUNT(*) AS c, SUM(CAST(round(a.score * 100) AS BIGINT)) AS s
           FROM ({_ASPECT_SQL}) a JOIN documents d ON a.doc_id = d.doc_id
