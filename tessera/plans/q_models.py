@@ -245,10 +245,27 @@ def _metric_table(spark, sf):
     return m7.unionByName(m8).unionByName(m10).unionByName(a9)
 
 
-@query("m16_quality_report")
+def _m16_sql() -> str:
+    from tessera.plans.catalog import REGISTRY
+    sql = {n: REGISTRY[n].sql for n in ("m7_binary_metrics", "m8_auc", "m10_silhouette", "a9_mean_mape")}
+    gates = ", ".join(f"('{n}', '{op}', CAST({float(t)} AS DOUBLE))" for n, op, t in L.QUALITY_GATES)
+    return f"""
+    WITH m AS (SELECT 'churn_f1' AS metric, f1 AS value FROM ({sql['m7_binary_metrics']})
+               UNION ALL SELECT 'churn_auc_roc', auc FROM ({sql['m8_auc']})
+               UNION ALL SELECT 'segmentation_silhouette', silhouette FROM ({sql['m10_silhouette']})
+               UNION ALL SELECT 'demand_mape', avg_mape_pct FROM ({sql['a9_mean_mape']})),
+    j AS (SELECT g.gate, g.op, g.threshold, m.value,
+                 COALESCE(CASE WHEN g.op = '>=' THEN m.value >= g.threshold ELSE m.value <= g.threshold END, false) AS passed
+          FROM (VALUES {gates}) g(gate, op, threshold) LEFT JOIN m ON m.metric = g.gate)
+    SELECT *, CASE WHEN passed THEN 'PASS' ELSE 'FAIL' END AS status,
+           CASE WHEN (SELECT bool_and(passed) FROM j) THEN 'PROMOTE' ELSE 'HOLD' END AS recommendation
+    FROM j"""
+
+
+@query("m16_quality_report", sql=_m16_sql())
 def q_m16(spark, sf):
     """Gate table over the rule-based churn metrics, vector silhouette and
-    mean MAPE (rows-only: mixes several sub-results)."""
+    mean MAPE, with the PROMOTE / HOLD decision."""
     return EV.quality_report(_metric_table(spark, sf))
 
 

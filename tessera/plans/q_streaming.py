@@ -90,7 +90,17 @@ def q_x4(spark, sf):
     return res.select("transaction_id")
 
 
-@query("x5_drift_stream")
+def _x5_sql() -> str:
+    from tessera.plans.q_drift import ks_sql, psi_sql
+    from tessera.sources.views import with_views
+    return with_views(f"""
+    SELECT p.fi, p.feature, p.psi, k.ks, CAST(0 AS BIGINT) AS batch_id,
+           (SELECT COUNT(*) FROM drift_cur) AS n_rows
+    FROM ({psi_sql("drift_base", "drift_cur")}) p, ({ks_sql("drift_base", "drift_cur")}) k""",
+                      "drift_base", "drift_cur")
+
+
+@query("x5_drift_stream", sql=_x5_sql())
 def q_x5(spark, sf):
     """Per-micro-batch drift of the current window against the baseline."""
     from tessera.sources import Tables
