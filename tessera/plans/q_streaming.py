@@ -94,7 +94,7 @@ def _x5_sql() -> str:
     from tessera.plans.q_drift import ks_sql, psi_sql
     from tessera.sources.views import with_views
     return with_views(f"""
-    SELECT p.fi, p.feature, p.psi, k.ks, CAST(0 AS BIGINT) AS batch_id,
+    SELECT CAST(p.fi AS BIGINT) AS fi, p.feature, p.psi, k.ks, CAST(0 AS BIGINT) AS batch_id,
            (SELECT COUNT(*) FROM drift_cur) AS n_rows
     FROM ({psi_sql("drift_base", "drift_cur")}) p, ({ks_sql("drift_base", "drift_cur")}) k""",
                       "drift_base", "drift_cur")
@@ -110,7 +110,7 @@ def q_x5(spark, sf):
         .select("event_id", "ts", "value", F.hour("ts").cast("double").alias("hour"))
     audit, ckpt = S.scratch(spark, "x5-audit"), S.scratch(spark, "x5-ckpt")
     S.drift_stream(spark, cur, base, ["value", "hour"], audit, ckpt)
-    return spark.read.json(audit)
+    return spark.read.json(audit).withColumn("batch_id", F.col("batch_id").cast("long"))
 
 
 @query("x6_session_stream", sql="""
