@@ -13,6 +13,7 @@ from typing import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tessera.functions import lexicons as L
+from tessera.session import materialize
 
 FBW = "FREQUENTLY_BOUGHT_WITH"
 
@@ -181,7 +182,7 @@ def edge_search(nodes: DataFrame, edges: DataFrame, query: str,
     words = [w for w in query.lower().split() if w not in set(stopwords)]
     e = edges_with_nodes(edges, nodes).where(F.col("src_price").isNotNull() & F.col("tgt_price").isNotNull())
     # used three times below (hits, fallback, hit count): materialise once
-    e = e.checkpoint(eager=True)
+    e = materialize(e)
     st = F.lower(F.concat_ws(" ", "src_label", "src_category", "src_aisle"))
     tt = F.lower(F.concat_ws(" ", "tgt_label", "tgt_category", "tgt_aisle"))
     rel = F.lower("relation")

@@ -58,3 +58,10 @@ def checkpoint_dir(spark: SparkSession) -> str:
         spark.conf.set("spark.checkpoint.dir", configured)
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured
+
+
+def materialize(df):
+    """Cut lineage: reliable ``checkpoint()`` into the shared checkpoint folder
+    (never ``localCheckpoint``: it does not survive a lost executor)."""
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
