@@ -55,7 +55,7 @@ QUALITY_GATES = (
     ("demand_mape", "<=", 30.0),
 )
 
-# ---- FIXED VALUES: graph search stop words (G6) ----------------------------
+# ---- Our default stop words for keyword edge search (G6; a parameter) -------
 GRAPH_STOPWORDS = ("a", "an", "and", "are", "as", "at", "be", "by", "for", "from",
                    "in", "is", "it", "of", "on", "or", "that", "the", "to",
                    "what", "which", "with", "show", "me", "find", "products")

@@ -25,7 +25,7 @@ def sessionize(df: DataFrame, key: str, ts: str, gap_seconds: int,
     """Add ``is_new_session`` (0/1) and ``session_id`` (1-based per key).
 
     A session starts when the time since the previous event of the same key
-    exceeds ``gap_seconds``. Rows are ordered within (key, bucket) pieces; the
+    is at least ``gap_seconds`` (the same rule as ``session_window``). Rows are ordered within (key, bucket) pieces; the
     link between consecutive pieces comes from a per-(key, bucket) summary,
     so no task ever holds all events of one key.
     """
@@ -43,7 +43,7 @@ def sessionize(df: DataFrame, key: str, ts: str, gap_seconds: int,
     prev = F.coalesce(F.col("_prev"), F.col("_prev_last"))
     gap = F.unix_micros(F.col(ts).cast("timestamp")) - F.unix_micros(prev.cast("timestamp"))
     d = d.withColumn("is_new_session",
-                     F.when(prev.isNull() | (gap > gap_seconds * 1_000_000), 1).otherwise(0))
+                     F.when(prev.isNull() | (gap >= gap_seconds * 1_000_000), 1).otherwise(0))
     d = d.withColumn("_cum", F.sum("is_new_session").over(
         w_piece.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
 

@@ -243,7 +243,7 @@ SESSIONS_SQL = """
                  ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS sid
           FROM (SELECT user_id, ts, event_id,
                        CASE WHEN lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) IS NULL
-                              OR epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id)) > 1800000000
+                              OR epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id)) >= 1800000000
                             THEN 1 ELSE 0 END AS new_s
                 FROM events))
     GROUP BY user_id, sid"""

@@ -32,7 +32,7 @@ def test_sessionize_matches_brute_force(spark):
     for u in range(3):
         t = t0
         for i in range(80):
-            t += timedelta(minutes=rnd.choice([1, 5, 29, 31, 90, 600]))
+            t += timedelta(minutes=rnd.choice([1, 5, 29, 30, 31, 90, 600]))
             rows.append((u * 1000 + i, u, t))
     df = spark.createDataFrame(rows, "event_id long, user_id long, ts timestamp_ntz")
     got = {r["event_id"]: r["session_id"] for r in S.sessionize(df, "user_id", "ts", 1800, "event_id").collect()}
@@ -40,7 +40,7 @@ def test_sessionize_matches_brute_force(spark):
         ev = sorted([r for r in rows if r[1] == u], key=lambda r: (r[2], r[0]))
         sid, prev = 0, None
         for e in ev:
-            if prev is None or (e[2] - prev).total_seconds() > 1800:
+            if prev is None or (e[2] - prev).total_seconds() >= 1800:
                 sid += 1
             prev = e[2]
             assert got[e[0]] == sid
