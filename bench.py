@@ -41,6 +41,16 @@ def main() -> None:
             failed[n] = str(ex)[:200]
     out = {"metric": "headline_queries_total_wall", "value": round(sum(timings.values()), 3),
            "unit": "sec", "queries": timings, "sf": sf, "cpus": int(cpus)}
+    # model-quality figures comparable with the published ranking metrics
+    # (computed after timing; small result: one row per model)
+    try:
+        q = {}
+        for r in entries["v7_rank_metrics_als"].fn(spark, sf_dir).collect():
+            for k in ("mrr", "hit_rate_at_10", "ndcg_at_10", "hit_rate_at_50", "hit_rate_at_100"):
+                q[f"{r['model']}_{k}"] = round(r[k], 4)
+        out["quality"] = q
+    except Exception as ex:  # noqa: BLE001
+        out["quality_error"] = str(ex)[:200]
     if failed:
         out["failed"] = failed
     print(json.dumps(out))
