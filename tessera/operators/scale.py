@@ -80,16 +80,23 @@ def ordered_positions(df: DataFrame, ts: str, tiebreak: str, bucket: str = "minu
     """
     b = "_pbucket"
     keys = [key] if key else []
-    d = df.withColumn(b, _bucket(F.col(ts), bucket))
-    counts = d.groupBy(*keys, b).agg(F.count(F.lit(1)).alias("_n"))
-    # one row per (key, bucket): ordering it is cheap (bounded by the calendar)
-    w_all = (Window.partitionBy(*keys) if keys else Window).orderBy(b) \
+    d = df.withColumn(b, _bucket(F.col(ts), bucket)).withColumn("_pday", F.date_trunc("day", F.col(ts)))
+    counts = d.groupBy(*keys, "_pday", b).agg(F.count(F.lit(1)).alias("_n"))
+    # two small ordered passes instead of one over every bucket: day totals
+    # (one row per key and day) give each day its offset; buckets are then
+    # cumulated inside their day only
+    days = counts.groupBy(*keys, "_pday").agg(F.sum("_n").alias("_dn"))
+    w_day = (Window.partitionBy(*keys) if keys else Window).orderBy("_pday") \
         .rowsBetween(Window.unboundedPreceding, -1)
-    counts = counts.withColumn("_start", F.coalesce(F.sum("_n").over(w_all), F.lit(0)))
+    days = days.withColumn("_doff", F.coalesce(F.sum("_dn").over(w_day), F.lit(0)))
+    w_b = Window.partitionBy(*keys, "_pday").orderBy(b).rowsBetween(Window.unboundedPreceding, -1)
+    counts = (counts.withColumn("_boff", F.coalesce(F.sum("_n").over(w_b), F.lit(0)))
+              .join(days.select(*keys, "_pday", "_doff"), [*keys, "_pday"])
+              .withColumn("_start", F.col("_doff") + F.col("_boff")))
     d = d.join(counts.select(*keys, b, "_start"), [*keys, b], "inner")
     w_in = Window.partitionBy(*keys, b).orderBy(ts, tiebreak)
     d = d.withColumn("position", (F.col("_start") + F.row_number().over(w_in) - 1).cast("long"))
-    return d.drop(b, "_start")
+    return d.drop(b, "_start", "_pday")
 
 
 def dense_ids(df: DataFrame, col: str, n_buckets: int = 4096, name: str | None = None) -> DataFrame:
