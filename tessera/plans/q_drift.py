@@ -228,3 +228,19 @@ def q_r6(spark, sf):
                      ELSE 'no_retrain_needed' END AS decision FROM signals""", *_DAY_V, extra=_DAY_X))
 def q_r7(spark, sf):
     return D.retrain_short(daily_signals(spark, sf)).select("day", "decision")
+
+
+@query("s8_audit_sink", sql=with_views("""
+    SELECT day, priority, should_retrain, blocked_by_volume, trigger_reasons FROM (""" + DECISION_SQL + ")",
+    *_DAY_V, extra=_DAY_X))
+def q_s8(spark, sf):
+    """Daily retraining decisions appended to the JSON audit sink, read back
+    with their own schema (the audit timestamp column is dropped)."""
+    import uuid
+    from tessera.session import checkpoint_dir
+    from tessera.sources.files import write_audit
+    dec = D.retrain_decision(daily_signals(spark, sf)).select(
+        "day", "priority", "should_retrain", "blocked_by_volume", "trigger_reasons")
+    path = f"{checkpoint_dir(spark).rstrip('/')}/audit/retrain-{uuid.uuid4().hex}"
+    write_audit(dec, path)
+    return spark.read.schema(dec.schema).json(path)
