@@ -14,35 +14,40 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 EPS = 1e-6
 
 
-def _long(df: DataFrame, cols: Sequence[str], group: Sequence[str], side: str) -> DataFrame:
-    """(group…, feature, value, side) rows for the numeric ``cols``."""
+def _long(df: DataFrame, cols: Sequence[str], group: Sequence[str], side: str,
+          weight: str | None = None) -> DataFrame:
+    """(group…, feature, value, side, w) rows for the numeric ``cols``; ``w``
+    is the row multiplicity (1, or the ``weight`` column of a pre-counted frame)."""
     stacked = F.explode(F.array(*[F.struct(F.lit(i).alias("fi"), F.lit(c).alias("feature"),
                                            F.col(c).cast("double").alias("value"))
                                   for i, c in enumerate(cols)]))
-    return (df.select(*group, stacked.alias("_f"))
+    w = F.col(weight).cast("long") if weight else F.lit(1).cast("long")
+    return (df.select(*group, stacked.alias("_f"), w.alias("w"))
               .select(*group, F.col("_f.fi").alias("fi"), F.col("_f.feature").alias("feature"),
-                      F.col("_f.value").alias("value"))
+                      F.col("_f.value").alias("value"), "w")
               .where(F.col("value").isNotNull()).withColumn("side", F.lit(side)))
 
 
 def psi(base: DataFrame, cur: DataFrame, cols: Sequence[str], bins: int = 10,
-        group: Sequence[str] = ()) -> DataFrame:
+        group: Sequence[str] = (), base_weight: str | None = None) -> DataFrame:
     """PSI per (group, feature). Ten equal-width bins over the joint
     min/max, last bin closed; proportions + 1e-6; natural log. A constant
-    feature or an empty side gives 0."""
+    feature or an empty side gives 0. ``base_weight`` names a row-count
+    column when the baseline is given pre-aggregated (value, count)."""
     g = list(group)
     keys = g + ["fi", "feature"]
-    rows = _long(base, cols, g, "b").unionByName(_long(cur, cols, g, "c"))
+    rows = _long(base, cols, g, "b", base_weight).unionByName(_long(cur, cols, g, "c"))
+    is_b = F.col("side") == "b"
     stats = rows.groupBy(*keys).agg(F.min("value").alias("mn"), F.max("value").alias("mx"),
-                                    F.count_if(F.col("side") == "b").alias("nb"),
-                                    F.count_if(F.col("side") == "c").alias("nc"))
+                                    F.sum(F.when(is_b, F.col("w")).otherwise(0)).alias("nb"),
+                                    F.sum(F.when(~is_b, F.col("w")).otherwise(0)).alias("nc"))
     width = (F.col("mx") - F.col("mn")) / bins
     binned = rows.join(stats, keys).withColumn(
         "bin", F.when(F.col("mx") > F.col("mn"),
                       F.least(F.floor((F.col("value") - F.col("mn")) / width), F.lit(bins - 1)))
                 .otherwise(0).cast("int"))
-    counts = binned.groupBy(*keys, "bin").agg(F.count_if(F.col("side") == "b").alias("cb"),
-                                              F.count_if(F.col("side") == "c").alias("cc"))
+    counts = binned.groupBy(*keys, "bin").agg(F.sum(F.when(is_b, F.col("w")).otherwise(0)).alias("cb"),
+                                              F.sum(F.when(~is_b, F.col("w")).otherwise(0)).alias("cc"))
     grid = stats.select(*keys, "nb", "nc", "mn", "mx",
                         F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"))
     full = grid.join(counts, keys + ["bin"], "left").fillna({"cb": 0, "cc": 0})
@@ -58,7 +63,7 @@ def psi(base: DataFrame, cur: DataFrame, cols: Sequence[str], bins: int = 10,
 
 
 def ks_two_sample(base: DataFrame, cur: DataFrame, col: str, group: Sequence[str] = (),
-                  buckets: int = 1024) -> DataFrame:
+                  buckets: int = 1024, base_weight: str | None = None) -> DataFrame:
     """R2: two-sample KS statistic per group — the largest gap between the
     two empirical CDFs over all observed values (0 when a side is empty).
 
@@ -70,10 +75,11 @@ def ks_two_sample(base: DataFrame, cur: DataFrame, col: str, group: Sequence[str
     g = list(group) or ["_g"]
     if not group:  # one implicit group: every join stays an equi-join
         base, cur = base.withColumn("_g", F.lit(0)), cur.withColumn("_g", F.lit(0))
-    b = base.select(*g, F.col(col).cast("double").alias("v")).where(F.col("v").isNotNull())
+    bw = F.col(base_weight).cast("long") if base_weight else F.lit(1).cast("long")
+    b = base.select(*g, F.col(col).cast("double").alias("v"), bw.alias("ib")).where(F.col("v").isNotNull())
     c = cur.select(*g, F.col(col).cast("double").alias("v")).where(F.col("v").isNotNull())
-    per_v = (b.withColumn("ib", F.lit(1)).withColumn("ic", F.lit(0))
-             .unionByName(c.withColumn("ib", F.lit(0)).withColumn("ic", F.lit(1)))
+    per_v = (b.withColumn("ic", F.lit(0).cast("long"))
+             .unionByName(c.withColumn("ib", F.lit(0).cast("long")).withColumn("ic", F.lit(1).cast("long")))
              .groupBy(*g, "v").agg(F.sum("ib").alias("nb_v"), F.sum("ic").alias("nc_v")))
     tot = per_v.groupBy(*g).agg(F.sum("nb_v").alias("nb"), F.sum("nc_v").alias("nc"),
                                 F.min("v").alias("lo"), F.max("v").alias("hi"))

@@ -138,9 +138,12 @@ def daily_signals(spark, sf):
     b, c = V.drift_pair(t)
     c = c.withColumn("day", F.to_date("ts"))
     days = c.agg(F.sort_array(F.collect_set("day"))).scalar()   # one entry per calendar day
-    b_rep = b.withColumn("day", F.explode(days))
-    psi_d = D.psi(b_rep, c, FEATURES, group=["day"])
-    ks_d = D.ks_two_sample(b_rep, c, "value", group=["day"])
+    # the baseline is compared with every day: replicate its (value, hour)
+    # counts — bounded by the value domain — not its raw rows
+    b_cnt = b.groupBy(*FEATURES).agg(F.count(F.lit(1)).alias("_w"))
+    b_rep = b_cnt.withColumn("day", F.explode(days))
+    psi_d = D.psi(b_rep, c, FEATURES, group=["day"], base_weight="_w")
+    ks_d = D.ks_two_sample(b_rep, c, "value", group=["day"], base_weight="_w")
     ev = t.events.withColumn("day", F.to_date("ts"))
     split = F.lit(DRIFT_SPLIT).cast("timestamp_ntz")
     base_metric = ev.where(F.col("ts") < split).agg(conversion(ev)).scalar()

@@ -94,3 +94,15 @@ def test_metric_decay(spark):
     df = spark.createDataFrame([(0.0, 1.0), (2.0, 1.0)], "b double, c double")
     got = [r[0] for r in df.select(D.metric_decay(F.col("b"), F.col("c"))).collect()]
     assert got == [0.0, 0.5]
+
+
+def test_weighted_baseline_equals_raw(spark):
+    rnd = random.Random(11)
+    b = [round(rnd.choice([0.5, 1.25, 2.0, 3.75]), 2) for _ in range(300)]
+    c = [round(rnd.gauss(2, 1), 1) for _ in range(200)]
+    bd = spark.createDataFrame([(x,) for x in b], "x double")
+    cd = spark.createDataFrame([(x,) for x in c], "x double")
+    agg = bd.groupBy("x").count()
+    assert D.psi(agg, cd, ["x"], base_weight="count").first()["psi"] == D.psi(bd, cd, ["x"]).first()["psi"]
+    assert (D.ks_two_sample(agg, cd, "x", base_weight="count").first()["ks"]
+            == D.ks_two_sample(bd, cd, "x").first()["ks"])
