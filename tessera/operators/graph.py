@@ -40,7 +40,8 @@ def build_order_graph(customers: DataFrame, orders: DataFrame, lines: DataFrame)
 
 
 def basket_pairs(baskets: DataFrame, basket: str, item: str, min_support: int = 1,
-                 block: int = 64) -> DataFrame:
+                 block: int = 64, deduped: bool = False,
+                 item_support: DataFrame | None = None) -> DataFrame:
     """Unordered item pairs (a < b) bought in the same basket, with the
     number of baskets containing both (support >= ``min_support``).
 
@@ -49,12 +50,15 @@ def basket_pairs(baskets: DataFrame, basket: str, item: str, min_support: int =
     basket with more than ``block`` items is split into chunks of about
     ``block`` items and joined block by block, so one huge basket is spread
     over many tasks of bounded size instead of one task; pair counts are
-    partially aggregated before the shuffle.
+    partially aggregated before the shuffle. ``deduped`` / ``item_support``
+    let a caller that already has them skip the distinct and the count.
     """
-    bi = baskets.select(F.col(basket).alias("bk"), F.col(item).alias("it")).distinct()
+    bi = baskets.select(F.col(basket).alias("bk"), F.col(item).alias("it"))
+    if not deduped:
+        bi = bi.distinct()
     if min_support > 1:
-        keep = bi.groupBy("it").agg(F.count(F.lit(1)).alias("s")).where(F.col("s") >= min_support)
-        bi = bi.join(keep.select("it"), "it", "left_semi")
+        sup = item_support if item_support is not None else bi.groupBy("it").agg(F.count(F.lit(1)).alias("s"))
+        bi = bi.join(sup.where(F.col("s") >= min_support).select("it"), "it", "left_semi")
     size = bi.groupBy("bk").agg(F.count(F.lit(1)).alias("n"))
     bi = bi.join(size, "bk")
     nch = F.greatest(F.lit(1), F.ceil(F.col("n") / block)).cast("int")
@@ -83,7 +87,7 @@ def co_purchase(baskets: DataFrame, basket: str, item: str, min_support: int = 2
     bi = baskets.select(F.col(basket).alias("bk"), F.col(item).alias("it")).distinct()
     item_sup = bi.groupBy("it").agg(F.count(F.lit(1)).alias("s"))
     n = bi.agg(F.count_distinct("bk")).scalar()
-    pairs = basket_pairs(bi, "bk", "it", min_support, block)
+    pairs = basket_pairs(bi, "bk", "it", min_support, block, deduped=True, item_support=item_sup)
     sa = item_sup.select(F.col("it").alias("item_a"), F.col("s").alias("support_a"))
     sb = item_sup.select(F.col("it").alias("item_b"), F.col("s").alias("support_b"))
     p = pairs.join(sa, "item_a").join(sb, "item_b")
