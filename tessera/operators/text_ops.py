@@ -165,7 +165,7 @@ def parse_reply(col, schema: T.StructType) -> Column:
     ``error`` message column in the struct."""
     body = TX.strip_code_fence(col)
     parsed = F.from_json(body, schema, {"mode": "PERMISSIVE"})
-    ok = F.coalesce(F.get_json_object(body, "$") .isNotNull(), F.lit(False))
+    ok = F.coalesce(F.get_json_object(body, "$").isNotNull(), F.lit(False))
     return F.struct(*[F.when(ok, parsed[f.name]).alias(f.name) for f in schema.fields],
                     F.when(~ok, F.lit("Failed to parse response")).alias("error"))
 

@@ -172,7 +172,7 @@ def q_j7(spark, sf):
 def q_v4(spark, sf):
     """Approximate top-10 (LSH) and its recall against the exact top-10."""
     v, q = vectors(spark, sf), exemplars(spark, sf)
-    approx = VX.ann_topk(v, q.withColumnRenamed("query_id", "query_id"), K, "item_id", "query_id", "vec")
+    approx = VX.ann_topk(v, q, K, "item_id", "query_id", "vec")
     exact = VX.cosine_topk(v, q, K)
     hit = exact.join(approx.select("query_id", "item_id"), ["query_id", "item_id"], "left_semi")
     return (exact.groupBy("query_id").agg(F.count(F.lit(1)).alias("n_exact"))
