@@ -94,3 +94,9 @@ def test_date_filter_pushed_down(spark):
     o = Tables(spark, SF).orders.select("o_orderkey", F.to_date("o_orderdate").alias("d"))
     plan = scan_since(o, "d", "2001-08-01", 90)._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters: [IsNotNull(o_orderdate)" in plan
+
+
+@pytest.mark.parametrize("name", PLAN_SAMPLE)
+def test_query_reads_the_given_tables(spark, name):
+    plan = E.queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "FileScan parquet" in plan and "sf0.001" in plan
