@@ -6,15 +6,17 @@ of similarity s agree at any place with probability s. A run starts with all
 nodes in one bucket and splits buckets recursively: the bucket's path selects
 one or two places (1.25 on average, the reciprocal of the threshold), and nodes
 that share the token there go on together. Buckets of at most ``small`` nodes
-are brute-forced on the sampled tokens; larger ones are split again, down to
-``depth``, where what still stays together is taken as one candidate group. Runs
-are repeated until a pair at the threshold is met with ``recall``.
+are brute-forced on the sampled tokens; larger ones are split again, until a split
+leaves at least ``ALIKE`` of the bucket together or ``depth`` is reached: what
+then stays together is one candidate group. Runs are repeated until a pair at
+the threshold is met with ``recall``.
 
 Candidate groups (connected candidates) are then compared exactly, set by set,
 in blocks of about ``BLOCK`` nodes, so that a huge group is many small tasks.
 The result is one row per document: its class (connected documents of
 similarity >= threshold) and its number of links (documents linked to it). No
-pair is emitted: tasks give counts and a spanning forest.
+pair is emitted: tasks give counts and a spanning forest. Counting the links of
+a group of k different near copies compares k * k / 2 sets inside the blocks.
 
 Paths, bucket sizes and recursion are column expressions; Python runs for
 shingling, bucket comparison and exact comparison. Hot buckets are counted with
@@ -23,7 +25,7 @@ partial aggregates before anything is gathered.
 Defined cases: words are lower-cased runs of letters, digits and non-ASCII
 characters; a text of one to four words is one shingle; a text without words
 (null, empty) has no set, no link and its own class. Equal rows link to each
-other. ``class_id`` is the smallest id in the class.
+other. ``class_id`` is the smallest id in the class (null is smallest).
 """
 
 from __future__ import annotations
@@ -46,6 +48,7 @@ TOKENS = 64
 SMALL = 256
 DEPTH = 8
 BLOCK = 256
+ALIKE = 0.7
 _rng = np.random.default_rng(11)
 _MULT = _rng.integers(0, 2**64, TOKENS, dtype=np.uint64) | np.uint64(1)
 _FOLD = np.uint64(0xA0761D6478BD642F)
@@ -207,10 +210,11 @@ def candidates(nodes: DataFrame, threshold: float, recall: float, small: int, de
     cut = threshold - 4 * math.sqrt(threshold * (1 - threshold) / TOKENS)
     at = nodes.select("node", "tok", F.explode(F.sequence(F.lit(1), F.lit(runs))).alias("run"))
     rows = at.select("node", F.explode(_children(F.xxhash64(F.lit("run"), "run"))).alias("path"))
+    rows = rows.withColumn("parent", F.lit(None).cast("long"))
     edges = None
     for level in range(1, depth + 1):
         rows = staged(rows, f"paths{level}")
-        size = rows.groupBy("path").agg(F.count("*").alias("size")).where("size > 1")
+        size = staged(rows.groupBy("path").agg(F.count("*").alias("size")).where("size > 1"), f"sizes{level}")
         rows = staged(rows.join(size, "path"), f"buckets{level}")
         leaf = rows.where(F.col("size") <= small).join(nodes, "node").select("path", "node", "n", "tok")
         got = compare_buckets(leaf, cut, threshold)
@@ -218,10 +222,13 @@ def candidates(nodes: DataFrame, threshold: float, recall: float, small: int, de
         big = rows.where(F.col("size") > small)
         if big.isEmpty():
             return edges
-        if level == depth:
-            low = big.groupBy("path").agg(F.min("node").alias("b"))
-            return edges.unionAll(big.join(low, "path").where("node <> b").select(F.col("node").alias("a"), "b"))
-        rows = big.join(nodes, "node").select("node", F.explode(_children(F.col("path"))).alias("path"))
+        # a bucket that a chosen place hardly split is a group of like nodes: one candidate group
+        alike = big.where(F.lit(level == depth) | (F.col("size") >= ALIKE * F.col("parent")))
+        low = alike.groupBy("path").agg(F.min("node").alias("b"))
+        edges = edges.unionAll(alike.join(staged(low, f"alike{level}"), "path").where("node <> b").select(F.col("node").alias("a"), "b"))
+        if level < depth:
+            rows = (big.where(F.col("parent").isNull() | (F.col("size") < ALIKE * F.col("parent"))).join(nodes, "node")
+                    .select("node", F.explode(_children(F.col("path"))).alias("path"), F.col("size").alias("parent")))
     return edges
 
 
