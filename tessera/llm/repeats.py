@@ -139,10 +139,11 @@ def _settle(rows: DataFrame, size: int) -> tuple[DataFrame, DataFrame]:
     bytes with (its copies need no further look)."""
     rows = staged(rows, f"digits{size}")
     if size > 1:
-        shared = rows.groupBy("b", "shared").agg(F.count("*").alias("n")).where("n > 1").select("b", "shared")
+        # counts are staged so that the join can split the rows of a hot digest
+        shared = staged(rows.groupBy("b", "shared").agg(F.count("*").alias("n")).where("n > 1").select("b", "shared"), f"twice{size}")
         rows = staged(rows.join(shared, ["b", "shared"]), f"shared{size}")
-    whole = (rows.where("u1 is not null").groupBy("b", "u1", "u2")
-             .agg(F.count("*").alias("n"), F.min(F.struct("k1", "k2", "p")).alias("one")).where("n > 1"))
+    whole = staged(rows.where("u1 is not null").groupBy("b", "u1", "u2")
+                   .agg(F.count("*").alias("n"), F.min(F.struct("k1", "k2", "p")).alias("one")).where("n > 1"), f"whole{size}")
     rows = rows.join(whole, ["b", "u1", "u2"], "left")
     at = ["k1", "k2", "p", "b"]
     if size == 1:
@@ -150,7 +151,7 @@ def _settle(rows: DataFrame, size: int) -> tuple[DataFrame, DataFrame]:
     rows = staged(rows, f"settled{size}")
     todo = rows.where("n is null")
     ones = (rows.where((F.col("one.k1") == F.col("k1")) & (F.col("one.k2") == F.col("k2")) & (F.col("one.p") == F.col("p")))
-            .join(todo.select("b", "shared").distinct(), ["b", "shared"]))
+            .join(staged(todo.select("b", "shared").distinct(), f"open{size}"), ["b", "shared"]))
     return rows.where("n is not null").select(*at), todo.select(*at).unionAll(ones.select(*at))
 
 
@@ -183,7 +184,7 @@ def repeated_ranges(docs: DataFrame, text_col: str = "text", id_col: str = "doc_
 
     base = staged(keyed.select("id", "k1", "k2", F.sha2("text", 256), "text").mapInArrow(find, schema1), "anchors")
     one = base.select("k1", "k2", F.explode(F.arrays_zip("gram", "p", "first", "last")).alias("a")).select("k1", "k2", "a.*")
-    grams = one.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram")
+    grams = staged(one.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram"), "grams")
     kept = (one.join(grams, "gram").groupBy("k1", "k2")
             .agg(F.collect_list(F.struct("p", "first", "last")).alias("a"))
             .select("k1", "k2", *(F.col(f"a.{c}").alias(c) for c in ("p", "first", "last"))))
