@@ -29,12 +29,13 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.bytescan import ranges
+from tessera.llm.bytescan import pieces, ranges
 
 #: The word pattern that the tokenizer file declares.
 WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
@@ -207,7 +208,7 @@ class WordCache:
     """Ids of the words that a worker has met, in one growing array. It starts
     anew when full, so its memory is bounded whatever the vocabulary."""
 
-    def __init__(self, automaton: MergeAutomaton, most: int = 400_000):
+    def __init__(self, automaton: MergeAutomaton, most: int = 200_000):
         self.a, self.most = automaton, most
         self.clear()
 
@@ -287,7 +288,7 @@ _caches: dict[int, WordCache] = {}
 
 
 def encode_decode(docs: DataFrame, tokenizer_path: str, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",),
-                  decode: bool = True, piece_chars: int = 4 << 20) -> DataFrame:
+                  decode: bool = True, piece_bytes: int = 1 << 20) -> DataFrame:
     """``keep`` columns, ``ids`` array<int> and, if asked for, ``decoded``:
     the whole text encoded, and the text of its labels.
 
@@ -307,20 +308,14 @@ def encode_decode(docs: DataFrame, tokenizer_path: str, text_col: str = "text",
             _caches[id(a)] = WordCache(a)
         cache = _caches[id(a)]
         for b in batches:
-            texts = b.column(nk).to_pylist()
-            i = 0
-            while i < len(texts):
-                j, n = i, 0
-                while j < len(texts) and (j == i or n < piece_chars):
-                    n += len(texts[j] or "")
-                    j += 1
-                ids, off = encode_batch(texts[i:j], a, cache)
+            bounds = np.concatenate([[0], np.cumsum(pc.fill_null(pc.binary_length(b.column(nk)), 0).to_numpy(zero_copy_only=False))])
+            for i, j in pieces(bounds, piece_bytes):       # some MB of text as strings at a time
+                ids, off = encode_batch(b.column(nk).slice(i, j - i).to_pylist(), a, cache)
                 cols = [b.column(c).slice(i, j - i) for c in range(nk)]
                 cols.append(pa.ListArray.from_arrays(pa.array(off, pa.int32()), pa.array(ids, pa.int32())))
                 if decode:
                     cols.append(pa.array([decode_ids(ids[off[r]:off[r + 1]].tolist(), a.labels) for r in range(j - i)], pa.string()))
                 yield pa.RecordBatch.from_arrays(cols, names=schema.names)
-                i = j
 
     return docs.select(*keep, F.col(text_col).cast("string").alias("__text")).mapInArrow(run, schema)
 

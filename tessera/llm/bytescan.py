@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-PIECE = 4 << 20
+PIECE = 2 << 20
 
 #: words of lower-cased text: [^\x00-\x2F\x3A-\x60\x7B-\x7F]+ (any byte of a
 #: non-ASCII character is a word byte)
