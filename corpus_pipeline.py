@@ -28,8 +28,8 @@ def _like(df: DataFrame, docs: DataFrame) -> DataFrame:
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose score stays below the threshold (no other changes)."""
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
-    scored = toxicity.score(docs.withColumn("__text_in", F.col("text")), model, "__text_in", tuple(docs.columns), evidence=0)
-    return _like(scored.where("predicted = 0"), docs)
+    whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc"), F.col("text"))
+    return toxicity.score(whole, model, keep=("doc",), evidence=0).where("predicted = 0").select("doc.*")
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

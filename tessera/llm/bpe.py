@@ -112,12 +112,17 @@ class MergeAutomaton:
                     nodes[s[:j]] = len(nodes)
                     edges.append((nodes[s[:j - 1]] * 256 + s[j - 1], nodes[s[:j]]))
             (final if ends else inner)[nodes[s]] = i
-        edges.sort()
-        self.edge_keys = np.array([e for e, _ in edges], np.int64)
-        self.edge_to = np.array([t for _, t in edges], np.int64)
+        keys, to = (np.array(x, np.int64) for x in zip(*edges))
+        # nodes with children first: only those need a row of the dense table
+        parents = np.zeros(len(nodes), bool)
+        parents[keys // 256] = True
+        new = np.empty(len(nodes), np.int64)
+        new[np.argsort(~parents, kind="stable")] = np.arange(len(nodes))
+        self.n_parents = int(parents.sum())
+        self.edge_keys, self.edge_to = new[keys // 256] * 256 + keys % 256, new[to]
         self.inner, self.final = (np.full(len(nodes), -1, np.int64) for _ in range(2))
         for table, got in ((self.inner, inner), (self.final, final)):
-            table[list(got)] = list(got.values())
+            table[new[list(got)]] = list(got.values())
 
     @classmethod
     def from_file(cls, path: str) -> MergeAutomaton:
@@ -131,9 +136,9 @@ class MergeAutomaton:
     # -- look-ups ---------------------------------------------------------
     def _next(self, node: np.ndarray, byte: np.ndarray) -> np.ndarray:
         if not hasattr(self, "_dense"):        # built once per worker from the broadcast edges
-            self._dense = np.full(len(self.inner) * 256, -1, np.int32)
+            self._dense = np.full((self.n_parents + 1) * 256, -1, np.int32)
             self._dense[self.edge_keys] = self.edge_to
-        return self._dense[node * 256 + byte]
+        return self._dense[np.minimum(node, self.n_parents) * 256 + byte]
 
     def legal(self, x: np.ndarray, t: np.ndarray) -> np.ndarray:
         """Whether arc ``t`` leaves the state behind label ``x`` (-1: the start)."""

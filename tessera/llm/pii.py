@@ -124,7 +124,7 @@ def _classes(s: str) -> str:
 
 def _card(v: str, step: Step) -> str | None:
     d = re.sub(r"\D", "", v)
-    if len(set(d)) < 2 or int(d[-1]) != luhn_digit(d[:-1]):
+    if not 13 <= len(d) <= 19 or len(set(d)) < 2 or (" " in v and "-" in v) or int(d[-1]) != luhn_digit(d[:-1]):
         return None
     # the first digit (the network) stays, the rest is permuted
     n = len(d) - 2
@@ -225,13 +225,21 @@ def pseudonymise(text: str, step: Step) -> tuple[str, list[tuple[str, int, int,
     out, found, done, pos = [], [], 0, 0
     while m := PATTERN.search(text, pos):
         kind, v = m.lastgroup if m.lastgroup != "sep" else "dmy", m.group()
-        new = KINDS[kind](v, step)
+        # a number behind a card or account may have been taken for its last group
+        cuts = [m.end() - m.start(), *(c.start() for c in list(re.finditer("[ -]", v))[::-1])] if kind in ("card", "iban") else [len(v)]
+        if kind == "card":                     # the usual lengths first
+            cuts.sort(key=lambda c: sum(x.isdigit() for x in v[:c]) not in (15, 16))
+        new = None
+        for cut in cuts:
+            if new := KINDS[kind](v[:cut], step):
+                v = v[:cut]
+                break
         if new is None:                        # not valid: look again behind its first run of digits or letters
             pos = m.start() + max(1, len(re.match(r"\w*", v).group()))
             continue
         out += [text[done:m.start()], new]
-        found.append((kind, m.start(), m.end(), new))
-        done = pos = m.end()
+        found.append((kind, m.start(), m.start() + len(v), new))
+        done = pos = m.start() + len(v)
     return "".join([*out, text[done:]]), found
 
 

@@ -51,7 +51,7 @@ def _lookup(values: dict[int, int], key: str) -> Column:
     return F.element_at(F.create_map(*pairs), F.col(key))
 
 
-def propagate(linked: DataFrame, shards: int, room: int, rounds: int = 6) -> DataFrame:
+def propagate(linked: DataFrame, shards: int, room: int, rounds: int = 16) -> DataFrame:
     """``linked``: g1, g2 (group), h (row hash), cell, shard. Returns it with
     the shards after propagation; no shard gets more than ``room`` of them."""
     cur = staged(linked, "shards")
@@ -83,7 +83,7 @@ def propagate(linked: DataFrame, shards: int, room: int, rounds: int = 6) -> Dat
 
 
 def shard_documents(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", text_col: str = "text",
-                    rounds: int = 6) -> DataFrame:
+                    rounds: int = 16) -> DataFrame:
     """One row per document: id, size (UTF-8 bytes plus 1), crc, group (g1,
     g2), group_rows, shard, slot. Counts per shard are at most one apart."""
     text = F.col(text_col).cast("string")

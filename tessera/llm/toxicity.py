@@ -81,7 +81,7 @@ class BlockMaxIndex:
     def __init__(self, x: np.ndarray):
         """Rows with like weights stand together, which keeps the bounds tight."""
         top = np.argsort(-x, axis=1, kind="stable")[:, :3]
-        self.order = np.lexsort(top.T[::-1])
+        self.order = np.lexsort(top.T[::-1]) if top.size else np.arange(len(x))
         self.x = x[self.order]
         self.cuts = list(range(0, len(x), BLOCK))
         self.maxima = np.array([self.x[a:a + BLOCK].max(0) for a in self.cuts], np.float32).reshape(len(self.cuts), x.shape[1])
