@@ -185,7 +185,7 @@ def index_text(name, description, category, tags) -> Column:
 
 def strip_code_fence(col) -> Column:
     """Drop a leading ``` line and a trailing ``` line, after trimming."""
-    t = F.trim(_c(col))
+    t = F.regexp_replace(_c(col), r"^\s+|\s+$", "")
     body = F.regexp_replace(t, r"^```[^\n]*(\n|$)", "")
     body = F.regexp_replace(body, r"\n[ \t]*```[ \t]*$", "")
     return F.when(t.startswith("```"), body).otherwise(t)

@@ -11,6 +11,8 @@ from typing import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from tessera.operators.scale import in_ranges
+
 EPS = 1e-6
 
 
@@ -63,42 +65,39 @@ def psi(base: DataFrame, cur: DataFrame, cols: Sequence[str], bins: int = 10,
 
 
 def ks_two_sample(base: DataFrame, cur: DataFrame, col: str, group: Sequence[str] = (),
-                  buckets: int = 1024, base_weight: str | None = None) -> DataFrame:
+                  base_weight: str | None = None) -> DataFrame:
     """R2: two-sample KS statistic per group — the largest gap between the
     two empirical CDFs over all observed values (0 when a side is empty).
 
     Counts per distinct value are cumulated in value order without a global
-    window: values are cut into ``buckets`` equal ranges per group, bucket
-    totals are cumulated on the small bucket table, and values are ordered
-    only within their bucket.
+    window: values are dealt into equal-sized ranges, range totals are
+    cumulated (one row per group and range), and values are ordered only
+    within their range.
     """
-    g = list(group) or ["_g"]
-    if not group:  # one implicit group: every join stays an equi-join
-        base, cur = base.withColumn("_g", F.lit(0)), cur.withColumn("_g", F.lit(0))
+    g = list(group)
     bw = F.col(base_weight).cast("long") if base_weight else F.lit(1).cast("long")
     b = base.select(*g, F.col(col).cast("double").alias("v"), bw.alias("ib")).where(F.col("v").isNotNull())
     c = cur.select(*g, F.col(col).cast("double").alias("v")).where(F.col("v").isNotNull())
     per_v = (b.withColumn("ic", F.lit(0).cast("long"))
              .unionByName(c.withColumn("ib", F.lit(0).cast("long")).withColumn("ic", F.lit(1).cast("long")))
              .groupBy(*g, "v").agg(F.sum("ib").alias("nb_v"), F.sum("ic").alias("nc_v")))
-    tot = per_v.groupBy(*g).agg(F.sum("nb_v").alias("nb"), F.sum("nc_v").alias("nc"),
-                                F.min("v").alias("lo"), F.max("v").alias("hi"))
-    span = F.greatest(F.col("hi") - F.col("lo"), F.lit(1e-300))
-    pv = per_v.join(tot, g, "inner")
-    pv = pv.withColumn("bk", F.least(F.floor((F.col("v") - F.col("lo")) / span * buckets),
-                                     F.lit(buckets - 1)).cast("int"))
-    bt = pv.groupBy(*g, "bk").agg(F.sum("nb_v").alias("sb"), F.sum("nc_v").alias("sc"))
-    wb = Window.partitionBy(*g).orderBy("bk").rowsBetween(Window.unboundedPreceding, -1)
+    pv = in_ranges(per_v, [*g, "v"])
+    if g:
+        pv = pv.join(pv.groupBy(*g).agg(F.sum("nb_v").alias("nb"), F.sum("nc_v").alias("nc")), g)
+    else:
+        pv = (pv.withColumn("nb", F.coalesce(pv.agg(F.sum("nb_v")).scalar(), F.lit(0)))
+              .withColumn("nc", F.coalesce(pv.agg(F.sum("nc_v")).scalar(), F.lit(0))))
+    bt = pv.groupBy(*g, "_b").agg(F.sum("nb_v").alias("sb"), F.sum("nc_v").alias("sc"))
+    wb = (Window.partitionBy(*g) if g else Window).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     bt = bt.withColumn("ob", F.coalesce(F.sum("sb").over(wb), F.lit(0))) \
            .withColumn("oc", F.coalesce(F.sum("sc").over(wb), F.lit(0)))
-    pv = pv.join(bt.select(*g, "bk", "ob", "oc"), g + ["bk"])
-    wv = Window.partitionBy(*g, "bk").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
+    pv = pv.join(bt.select(*g, "_b", "ob", "oc"), [*g, "_b"])
+    wv = Window.partitionBy(*g, "_b").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
     pv = (pv.withColumn("cb", F.col("ob") + F.sum("nb_v").over(wv))
             .withColumn("cc", F.col("oc") + F.sum("nc_v").over(wv)))
-    gap = F.abs(F.col("cb") / F.col("nb") - F.col("cc") / F.col("nc"))
-    res = pv.groupBy(*g).agg(F.max(F.when((F.col("nb") > 0) & (F.col("nc") > 0), gap)).alias("ks"))
-    res = res.select(*g, F.round(F.coalesce("ks", F.lit(0.0)), 9).alias("ks"))
-    return res if group else res.drop("_g")
+    gap = F.abs(F.col("cb") / F.when(F.col("nb") > 0, F.col("nb")) - F.col("cc") / F.when(F.col("nc") > 0, F.col("nc")))
+    res = pv.groupBy(*g).agg(F.max(gap).alias("ks"))
+    return res.select(*g, F.round(F.coalesce("ks", F.lit(0.0)), 9).alias("ks"))
 
 
 def metric_decay(base: Column, cur: Column) -> Column:
@@ -122,7 +121,12 @@ def drift_report(psi_df: DataFrame, ks_df: DataFrame, metrics: DataFrame, group:
             F.col("fi").alias("fi"),
             F.format_string("Feature '%s' PSI=%.3f exceeds threshold", F.col("feature"), F.col("psi"))
             .alias("msg"))))).alias("_fr"))
-    rep = feat.join(ks_df, g, "inner").join(metrics, g, "inner")
+    if group:
+        rep = feat.join(ks_df, g, "inner").join(metrics, g, "inner")
+    else:   # single rows: scalars instead of joins
+        rep = (feat.withColumn("ks", ks_df.select("ks").scalar())
+               .withColumn("metric_baseline", metrics.select("metric_baseline").scalar())
+               .withColumn("metric_current", metrics.select("metric_current").scalar()))
     decay = metric_decay(F.col("metric_baseline"), F.col("metric_current"))
     reasons = F.concat(
         F.transform("_fr", lambda s: s["msg"]),

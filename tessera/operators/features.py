@@ -115,9 +115,12 @@ def churn_features(tx: DataFrame, reviews: DataFrame, events: DataFrame | None,
     support_tickets = returned lines; discount_code_usage_ratio = share of
     discounted lines; session_count_30d = distinct purchase days in the 30
     days up to the cutoff; avg_session_duration_s = mean app-session length
-    (30-minute gap) from the event log.
+    (30-minute gap) from the event log up to the cutoff day. Reviews carry no
+    date; pass only those written by the cutoff.
     """
     c = _d(cutoff)
+    if events is not None:
+        events = events.where(F.to_date("ts") <= c)
     past = tx.where(F.col("t_dat") <= c)
     feats = past.groupBy("customer_id").agg(
         F.count(F.lit(1)).alias("order_count"),

@@ -7,6 +7,7 @@ from typing import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from tessera.session import materialize
 from tessera.operators.scale import dense_ids, ordered_positions
 from tessera.operators.vectors import score_all
 
@@ -80,26 +81,46 @@ def standardize(df: DataFrame, cols: Sequence[str], digits: int = 9) -> DataFram
     return out
 
 
-def dense_user_item_ids(df: DataFrame, user: str = "user_id", item: str = "item_id") -> DataFrame:
-    """V8: dense 0-based ids for users and items, in id order."""
-    return (df.join(dense_ids(df, user), user).join(dense_ids(df, item), item))
+#: A prime step walks the whole item index (it divides no index
+#: size below itself), two odd factors spread the starting points.
+WALK_STEP, START_USER, START_ITEM = 2_147_483_647, 40_503, 30_011
 
 
 def negative_samples(pos: DataFrame, items: DataFrame, n: int = 4, seed: int = 42,
                      user: str = "user_id", item: str = "item_id") -> DataFrame:
-    """Up to ``n`` unseen items per positive row, drawn by a seeded hash
-    over the dense item index (2n draws, seen items and repeats removed)."""
-    idx = dense_ids(items.select(item).distinct(), item, name="_ix")
-    n_items = idx.agg(F.count(F.lit(1))).scalar()
-    draws = pos.select(user, item, F.explode(F.sequence(F.lit(1), F.lit(2 * n))).alias("_j"))
-    draws = draws.withColumn("_ix", F.pmod(F.xxhash64(F.lit(seed), user, item, "_j"), n_items))
-    cand = draws.join(idx.withColumnRenamed(item, "neg_item"), "_ix")
-    seen = pos.select(user, F.col(item).alias("neg_item")).distinct()
-    cand = cand.join(seen, [user, "neg_item"], "left_anti")
-    w = Window.partitionBy(user, item).orderBy("_j")
-    cand = cand.dropDuplicates([user, item, "neg_item"])
-    return (cand.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= n)
-            .select(user, item, "neg_item"))
+    """Exactly ``n`` unseen items per positive row, or all unseen ones if
+    the user has fewer.
+
+    Every row walks the dense item index from its own starting point by a step
+    coprime to the index size, so places never repeat; its negatives are the
+    first ``n`` places that the user has not seen. Of the first n + s places
+    at least n are unseen by a user with s seen items, so the first pass takes
+    as many as are expected to do, and only rows still short walk that far."""
+    idx = materialize(dense_ids(items.select(item).distinct(), item, name="_ix"))
+    total = idx.count()
+    if not total:
+        return pos.select(user, item, F.col(item).alias("neg_item")).where(F.lit(False))
+    step = WALK_STEP % total if total > 1 else 0
+    seen = materialize(pos.select(user, F.col(item).alias("neg_item")).distinct())
+    n_seen = seen.groupBy(user).agg(F.count(F.lit(1)).alias("_s"))
+    start = F.pmod(F.pmod(F.col(user), F.lit(total)) * START_USER + F.pmod(F.col(item), F.lit(total)) * START_ITEM + seed, F.lit(total))
+    rows = materialize(pos.select(user, item).distinct().join(n_seen, user).withColumn("_start", start))
+    due = F.least(F.lit(n), F.lit(total) - F.col("_s"))
+
+    def walk(d: DataFrame, places) -> DataFrame:
+        c = (d.withColumn("_j", F.explode(F.sequence(F.lit(0), F.least(places, F.lit(total)).cast("long") - 1)))
+             .withColumn("_ix", F.pmod(F.col("_start") + F.col("_j") * step, F.lit(total)).cast("long")))
+        c = c.join(idx.withColumnRenamed(item, "neg_item"), "_ix").join(seen, [user, "neg_item"], "left_anti")
+        w = Window.partitionBy(user, item).orderBy("_j")
+        return c.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= n).select(user, item, "neg_item")
+
+    open_rows = rows.where(due > 0)
+    expected = F.ceil(n * F.lit(total) / (F.lit(total) - F.col("_s"))) + n
+    first = materialize(walk(open_rows, expected))
+    got = first.groupBy(user, item).agg(F.count(F.lit(1)).alias("_got"))
+    short = open_rows.join(got, [user, item], "left").where(F.coalesce("_got", F.lit(0)) < due)
+    rest = walk(short.drop("_got"), F.lit(n) + F.col("_s"))
+    return first.join(short.select(user, item), [user, item], "left_anti").unionAll(rest)
 
 
 def hybrid_candidates(personal: DataFrame, semantic: DataFrame, user: str = "user_id",

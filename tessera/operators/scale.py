@@ -11,6 +11,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from tessera.session import materialize
+
 _BUCKETS = {"minute", "hour", "day"}
 
 
@@ -99,18 +101,21 @@ def ordered_positions(df: DataFrame, ts: str, tiebreak: str, bucket: str = "minu
     return d.drop(b, "_start", "_pday")
 
 
-def dense_ids(df: DataFrame, col: str, n_buckets: int = 4096, name: str | None = None) -> DataFrame:
-    """Dense 0-based integer id per distinct value of a numeric ``col``, in
-    value order, without a global window: distinct values are bucketed into
-    ``n_buckets`` equal value ranges (each bucket holds at most its width of
-    distinct values), bucket sizes are cumulated on the small bucket table and
-    values are numbered inside their bucket."""
+def in_ranges(df: DataFrame, cols: list[str]) -> DataFrame:
+    """``df`` with ``_b``: the number of its range in the order of ``cols``.
+    Spark samples the bounds, so ranges have about as many rows each whatever
+    the values; rows with equal ``cols`` share a range. Checkpointed, as a
+    second evaluation could draw other bounds."""
+    return materialize(df.repartitionByRange(*cols).withColumn("_b", F.spark_partition_id()))
+
+
+def dense_ids(df: DataFrame, col: str, name: str | None = None) -> DataFrame:
+    """Dense 0-based integer id per distinct value of ``col``, in value order,
+    without a global window: distinct values are dealt into equal-sized ranges,
+    range sizes are cumulated (one row per range) and values are numbered
+    inside their range."""
     name = name or f"{col}_idx"
-    vals = df.select(col).where(F.col(col).isNotNull()).distinct()
-    lo = vals.agg(F.min(col)).scalar()
-    hi = vals.agg(F.max(col)).scalar()
-    width = F.greatest(F.lit(1), F.ceil((hi - lo + 1) / n_buckets))
-    vals = vals.withColumn("_b", F.floor((F.col(col) - lo) / width))
+    vals = in_ranges(df.select(col).where(F.col(col).isNotNull()).distinct(), [col])
     counts = vals.groupBy("_b").agg(F.count(F.lit(1)).alias("_n"))
     w_all = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     counts = counts.withColumn("_start", F.coalesce(F.sum("_n").over(w_all), F.lit(0)))

@@ -229,11 +229,11 @@ def rank_metrics(ranks: DataFrame, ks=(10, 50, 100), rank_col: str = "rank") ->
 # ---- V4: approximate neighbours --------------------------------------------------
 
 def ann_topk(items: DataFrame, queries: DataFrame, k: int, item_id: str = "item_id",
-             query_id: str = "query_id", vec: str = "vec", bucket_length: float = 0.5,
-             num_tables: int = 8, max_distance: float = 1.0, seed: int = 42) -> DataFrame:
+             query_id: str = "query_id", vec: str = "vec", bucket_length: float = 0.25,
+             num_tables: int = 16, seed: int = 42) -> DataFrame:
     """V4: LSH (random projections) candidate join on unit vectors, then
-    top-k by cosine (= 1 − d²/2) among candidates. Equi-joins on hash
-    buckets only; recall is measured against ``cosine_topk``."""
+    top-k by cosine (= 1 − d²/2) among candidates, at any distance. Equi-joins
+    on hash buckets only; recall is measured against ``cosine_topk``."""
     from pyspark.ml.feature import BucketedRandomProjectionLSH
     from pyspark.ml.functions import array_to_vector
 
@@ -245,7 +245,7 @@ def ann_topk(items: DataFrame, queries: DataFrame, k: int, item_id: str = "item_
     it, qu = prep(items, item_id), prep(queries, query_id)
     lsh = BucketedRandomProjectionLSH(inputCol="_v", outputCol="_h", bucketLength=bucket_length,
                                       numHashTables=num_tables, seed=seed).fit(it)
-    j = lsh.approxSimilarityJoin(qu, it, max_distance, distCol="_d")
+    j = lsh.approxSimilarityJoin(qu, it, 2.01, distCol="_d")   # unit vectors are at most 2 apart
     res = j.select(F.col("datasetA._id").alias(query_id), F.col("datasetB._id").alias(item_id),
                    F.round(1 - F.col("_d") * F.col("_d") / 2, 6).alias("similarity"))
     w = Window.partitionBy(query_id).orderBy(F.col("similarity").desc(), F.col(item_id))

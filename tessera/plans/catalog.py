@@ -39,12 +39,24 @@ def query(name: str, sql: str | None = None, bench: bool = False):
 _MEMO: dict = {}
 
 
+def _listing(spark: SparkSession, folder: str) -> tuple:
+    """Name, size and time of every file under ``folder``, in any store."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(path, True)
+    out = []
+    while files.hasNext():
+        f = files.next()
+        out.append((f.getPath().toString(), f.getLen(), f.getModificationTime()))
+    return tuple(sorted(out))
+
+
 def memo(fn):
-    """Reuse one fitted model / intermediate per (Spark application, data
-    folder) across the queries that report on it (e.g. one k-means fit for
-    both the segment counts and the segment statistics)."""
+    """Reuse one fitted model / intermediate per (Spark application, files in
+    the data folder) across the queries that report on it (e.g. one k-means
+    fit for both the segment counts and the segment statistics). Changed files
+    (name, size or time) make a new one."""
     def wrapped(spark: SparkSession, sf: str):
-        key = (fn.__module__, fn.__name__, spark.sparkContext.applicationId, sf)
+        key = (fn.__module__, fn.__name__, spark.sparkContext.applicationId, sf, _listing(spark, sf))
         if key not in _MEMO:
             _MEMO[key] = fn(spark, sf)
         return _MEMO[key]

@@ -274,7 +274,10 @@ M1_SQL = with_views(f"""
 @query("m1_churn_features", sql=M1_SQL, bench=True)
 def q_m1(spark, sf):
     t = _views(spark, sf)
-    return FE.churn_features(V.transactions(t), V.reviews(t), t.events, CUTOFF, 90, 12)
+    # the event log starts years after the last order: its clock is set back by a
+    # fixed number of days, so that it ends before the cutoff (lengths stay)
+    events = t.events.withColumn("ts", F.col("ts") - F.expr("INTERVAL 8500 DAYS"))
+    return FE.churn_features(V.transactions(t), V.reviews(t), events, CUTOFF, 90, 12)
 
 
 @query("m2_rfm_features", sql=with_views(f"""

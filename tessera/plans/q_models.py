@@ -28,7 +28,7 @@ RULE_DAYS = 90          # transparent churn rule: no purchase for more than 90 d
     SELECT customer_id, churned,
            CASE WHEN row_number() OVER (PARTITION BY churned ORDER BY h, customer_id) - 1
                      < floor(COUNT(*) OVER (PARTITION BY churned) * 0.2 + 0.5) THEN 'test' ELSE 'train' END AS split
-    FROM (SELECT customer_id, churned, (customer_id * 2654435761 + 42) % 4294967296 AS h FROM ({M1_SQL}))""")
+    FROM (SELECT customer_id, churned, ((customer_id % 2147483648) * 2654435761 + 42) % 4294967296 AS h FROM ({M1_SQL}))""")
 def q_m4(spark, sf):
     return MD.stratified_split(q_m1(spark, sf).select("customer_id", "churned"), "customer_id", "churned")
 
@@ -144,7 +144,7 @@ DV = "list_transform(embedding, lambda x: CAST(x AS DOUBLE))"
                   max(CASE WHEN li = lj THEN n END) AS own_n FROM per GROUP BY i)
     SELECT round(avg(CASE WHEN own_n <= 1 THEN 0 ELSE (b - a) / greatest(a, b) END), 6) AS silhouette FROM ab""")
 def q_m10(spark, sf):
-    return EV.silhouette(_vecs(spark, sf), "vec_id", "embedding", "label", 5000)
+    return EV.silhouette(_vecs(spark, sf), "vec_id", "embedding", "label")
 
 
 @query("m11_davies_bouldin", sql=f"""

@@ -272,7 +272,17 @@ def q_v7_als(spark, sf):
     return als.unionByName(base)
 
 
-@query("v10_negative_samples")
+@query("v10_negative_samples", sql=with_views(f"""
+    SELECT * FROM (WITH ui AS (SELECT DISTINCT user_id, item_id FROM user_items),
+    ix AS (SELECT item_id, row_number() OVER (ORDER BY item_id) - 1 AS i FROM (SELECT DISTINCT item_id FROM ui)),
+    n AS (SELECT count(*) AS total FROM ix),
+    walk AS (SELECT user_id, item_id, total, ((user_id % total) * {R.START_USER} + (item_id % total) * {R.START_ITEM} + 42) % total AS start,
+                    unnest(range(total)) AS j FROM ui, n),
+    place AS (SELECT user_id, item_id, j, (start + j * ({R.WALK_STEP} % total)) % total AS i FROM walk),
+    cand AS (SELECT p.user_id, p.item_id, ix.item_id AS neg_item, p.j FROM place p JOIN ix USING (i)
+             WHERE NOT EXISTS (SELECT 1 FROM ui s WHERE s.user_id = p.user_id AND s.item_id = ix.item_id))
+    SELECT user_id, item_id, neg_item FROM (
+      SELECT *, row_number() OVER (PARTITION BY user_id, item_id ORDER BY j) AS r FROM cand) WHERE r <= 4)""", "user_items"))
 def q_v10(spark, sf):
     ui = V.user_items(Tables(spark, sf)).select("user_id", "item_id").distinct()
     return R.negative_samples(ui, ui.select("item_id"), n=4)

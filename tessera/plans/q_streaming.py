@@ -85,8 +85,7 @@ def q_x4(spark, sf):
     j = lines.join(t.orders.select("o_orderkey", "o_orderdate"), F.col("l_orderkey") == F.col("o_orderkey"))
     j = j.withColumn("transaction_id", F.concat_ws("-", F.col("l_orderkey").cast("string"),
                                                    F.col("l_linenumber").cast("string")))
-    res = _run(spark, S.dedup_stream(j.select("transaction_id", "o_orderdate"), "transaction_id",
-                                     "o_orderdate", "1 day"), "x4", "append")
+    res = _run(spark, S.dedup_stream(j.select("transaction_id"), "transaction_id"), "x4", "append")
     return res.select("transaction_id")
 
 

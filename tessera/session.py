@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -45,14 +46,18 @@ def build_session(master: str | None = None, app: str = "tessera",
 def checkpoint_dir(spark: SparkSession) -> str:
     """Shared folder for checkpoints and intermediate tables.
 
-    Uses the cluster's ``spark.checkpoint.dir`` when set; only when it is
-    unset (local tests) a fresh scratch folder is created.
+    Uses the cluster's ``spark.checkpoint.dir``. Only a ``local`` master (tests,
+    benches) may go without: it gets a fresh scratch folder. On a cluster a
+    machine-local folder would be invisible to other executors, so an unset
+    folder is an error.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None)
+    if not configured and not re.match(r"local(\[|$)", sc.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     if not configured:
         configured = tempfile.mkdtemp(prefix="tessera-ckpt-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", configured)

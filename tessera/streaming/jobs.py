@@ -84,9 +84,12 @@ def sliding_demand(stream: DataFrame, key: str, ts: str, delay: str = "7 days")
     return s.groupBy(key, F.window(ts, "7 days", "1 day")).agg(F.count(F.lit(1)).alias("units"))
 
 
-def dedup_stream(stream: DataFrame, key: str, ts: str, delay: str = "1 day") -> DataFrame:
-    """Drop repeated keys seen within the watermark delay."""
-    return event_time(stream, ts).withWatermark(ts, delay).dropDuplicatesWithinWatermark([key])
+def dedup_stream(stream: DataFrame, key: str, delay: str = "7 days") -> DataFrame:
+    """Drop keys that arrived before, within ``delay`` of arrival. The
+    watermark follows the arrival time, which only grows: rows with old event
+    times are never late, and state is bounded by what arrives in ``delay``."""
+    s = stream.withColumn("_arrival", F.current_timestamp()).withWatermark("_arrival", delay)
+    return s.dropDuplicatesWithinWatermark([key]).drop("_arrival")
 
 
 def session_stream(stream: DataFrame, key: str, ts: str, gap: str = "30 minutes",

@@ -49,7 +49,7 @@ def test_sessionize_matches_brute_force(spark):
 def test_dense_ids(spark):
     vals = [5, 900, 17, 17, 123456, 42]
     df = spark.createDataFrame([(v,) for v in vals], "u long")
-    got = {r["u"]: r["u_idx"] for r in S.dense_ids(df, "u", n_buckets=3).collect()}
+    got = {r["u"]: r["u_idx"] for r in S.dense_ids(df, "u").collect()}
     assert got == {v: i for i, v in enumerate(sorted(set(vals)))}
 
 

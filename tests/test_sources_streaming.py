@@ -71,6 +71,6 @@ def test_stream_dedup(spark):
     spark.createDataFrame(rows, "k string, ts string").withColumn("ts", F.to_timestamp_ntz("ts")) \
         .write.parquet(f"{d}/t.parquet")
     st = spark.readStream.schema("k string, ts timestamp_ntz").parquet(f"{d}/t.parquet")
-    out = spark.read.parquet(S.run_available(S.dedup_stream(st, "k", "ts", "1 hour"),
+    out = spark.read.parquet(S.run_available(S.dedup_stream(st, "k", "1 hour"),
                                              f"{d}/out", f"{d}/ck", "append"))
     assert sorted(r.k for r in out.collect()) == ["a", "b"]
