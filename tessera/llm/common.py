@@ -10,7 +10,13 @@ from pyspark.sql import functions as F
 from tessera.session import checkpoint_dir
 
 
+BATCH_BYTES = "16m"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table's scan. Arrow batches of this session are bounded to
+    ``BATCH_BYTES`` of text, which bounds what a Python worker holds."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
