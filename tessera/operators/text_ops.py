@@ -192,12 +192,11 @@ def prompt_table(interactions: DataFrame, key: str = "customer_id", n: int = 10)
 
 # ---- keyword search --------------------------------------------------------
 
-def _substrings(token: Column) -> Column:
-    """All distinct substrings of a token (token length bounds the count)."""
+def _substrings(token: Column, lengths: Column) -> Column:
+    """Distinct substrings of a token that have one of the given lengths."""
     n = F.length(token)
-    starts = F.sequence(F.lit(1), F.greatest(n, F.lit(1)))
-    return F.array_distinct(F.flatten(F.transform(starts, lambda i: F.transform(
-        F.sequence(F.lit(1), F.greatest(n - i + 1, F.lit(1))), lambda L_: F.substring(token, i, L_)))))
+    return F.array_distinct(F.flatten(F.transform(F.filter(lengths, lambda m: m <= n), lambda m: F.transform(
+        F.sequence(F.lit(1), n - m + 1), lambda i: F.substring(token, i, m)))))
 
 
 def keyword_search(catalog: DataFrame, queries: DataFrame, k: int = 5,
@@ -207,21 +206,38 @@ def keyword_search(catalog: DataFrame, queries: DataFrame, k: int = 5,
     repeats) found as a substring of the product text; > 0 only; top-k per
     query by score desc then catalogue order; rounded to 3 decimals.
 
-    Exact without pairing every query with every product: a query word
-    (no whitespace) is inside the text iff it is a substring of one text
-    token, so product-token substrings are equi-joined with query words.
+    Exact without pairing every query with every product. A query word (no
+    whitespace) is inside a text iff it is a substring of one of its tokens, so
+    each distinct token is cut once, into substrings as long as some query
+    word, and joined with the distinct query words. Products with the same set
+    of query words score alike for every query: they form one class, of which
+    the ``k`` first ids suffice. Queries meet classes, never products; a word
+    that nearly every product has costs one row per class.
     """
-    prod_sub = (catalog.select(id_col, F.explode_outer(F.array_distinct(
-        TX.whitespace_words(F.lower(text_col)))).alias("tok")).where(F.col("tok").isNotNull())
-        .select(id_col, F.explode_outer(_substrings(F.col("tok"))).alias("w")).where(F.col("w").isNotNull())
-        .distinct())
     words = queries.select(qid, TX.whitespace_words(F.lower(qtext)).alias("ws"))
     qw = (words.select(qid, F.size("ws").alias("n_words"), F.explode_outer("ws").alias("w"))
           .where(F.col("w").isNotNull())
           .groupBy(qid, "n_words", "w").agg(F.count(F.lit(1)).alias("mult")))
-    hits = qw.join(prod_sub, "w", "inner")
-    scored = (hits.groupBy(qid, id_col, "n_words").agg(F.sum("mult").alias("found"))
+    wanted = qw.select("w").distinct()
+    lengths = wanted.agg(F.collect_set(F.length("w"))).scalar()   # one entry per word length
+    tokens = (catalog.select(id_col, F.explode_outer(F.array_distinct(
+        TX.whitespace_words(F.lower(text_col)))).alias("tok")).where(F.col("tok").isNotNull()))
+    cut = (tokens.select("tok").distinct().withColumn("lengths", lengths)
+           .select("tok", F.explode_outer(_substrings(F.col("tok"), F.col("lengths"))).alias("w"))
+           .where(F.col("w").isNotNull()).join(wanted, "w", "left_semi")
+           .groupBy("tok").agg(F.collect_set("w").alias("found")))   # at most the substrings of one token
+    prod = (tokens.join(cut, "tok").groupBy(id_col)
+            .agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("found")))).alias("ws")))
+    first = Window.partitionBy("ws").orderBy(id_col)
+    classes = (prod.withColumn("r", F.row_number().over(first)).where(F.col("r") <= k)
+               .groupBy("ws").agg(F.array_sort(F.collect_list(id_col)).alias("ids")))   # k ids
+    hits = classes.select("ids", F.explode("ws").alias("w")).join(qw, "w")
+    scored = (hits.groupBy(qid, "ids", "n_words").agg(F.sum("mult").alias("found"))
               .withColumn("score", F.col("found") / F.greatest(F.col("n_words"), F.lit(1))))
+    # k classes by (score, first id) hold the k best products
+    best = Window.partitionBy(qid).orderBy(F.col("score").desc(), F.col("ids")[0])
+    top = scored.withColumn("r", F.row_number().over(best)).where(F.col("r") <= k)
     w = Window.partitionBy(qid).orderBy(F.col("score").desc(), F.col(id_col))
-    top = scored.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= k)
-    return top.select(qid, id_col, "rank", F.round("score", 3).alias("similarity_score"))
+    top = top.select(qid, "score", F.explode("ids").alias(id_col))
+    return (top.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= k)
+            .select(qid, id_col, "rank", F.round("score", 3).alias("similarity_score")))

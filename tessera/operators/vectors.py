@@ -1,24 +1,23 @@
 """Vector operators: text embedding, exact and approximate top-k search,
 blocked all-item scoring and target ranks.
 
-Exact scoring streams the large side through ``mapInPandas`` (Arrow batches,
-one NumPy matrix product per batch) against a broadcast block of the other
-side. A block is broadcast only after its row count is checked against
-``max_block``; larger inputs are cut into several blocks, each scored in its
-own pass, and the per-block top-k lists are merged — exact, with no pair rows
-ever materialised.
+Exact scoring compares every row of one side with every row of the other, as
+the task asks. Both sides are dealt into hash blocks of a fixed number of
+bytes; each pair of blocks is one cogroup on the executors (two NumPy matrices,
+one product in strips), and only top-k rows or counts leave it. No vector
+passes through the driver and no pair rows are made. Ids are unique per side
+(a block of a repeated id would grow with its repeats).
 """
 
 from __future__ import annotations
 
-import math
-from typing import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
-DEFAULT_MAX_BLOCK = 20_000   # vectors per broadcast block (e.g. 20k × 64 × 8 B ≈ 10 MB)
+BLOCK_BYTES = 8 << 20     # vectors of one block
+BLOCK_ROWS = 4096         # and rows, so that a block pair has at most 16 M scores
+STRIP_SCORES = 2 << 20    # scores held at a time (16 MB)
 
 
 # ---- scalar vector expressions ----------------------------------------------
@@ -58,158 +57,129 @@ def embed_text(df: DataFrame, col: str, dims: int = 1 << 12, out: str = "embeddi
 
 # ---- blocked exact scoring -------------------------------------------------------
 
-def _blocks(df: DataFrame, id_col: str, max_block: int) -> list[DataFrame]:
-    n = df.count()
-    nb = max(1, math.ceil(n / max_block))
-    if nb == 1:
-        return [df]
-    return [df.where(F.pmod(F.xxhash64(id_col), F.lit(nb)) == i) for i in range(nb)]
-
-
-def _load_block(block: DataFrame, id_col: str, vec_col: str, normalise: bool):
-    """Collect one size-checked block (ids + matrix) for broadcasting."""
-    pdf = block.select(id_col, vec_col).toPandas()
-    ids = pdf[id_col].to_numpy()
-    mat = np.stack(pdf[vec_col].to_numpy()).astype(np.float64) if len(pdf) else np.zeros((0, 1))
-    if normalise and len(pdf):
-        mat = mat / np.maximum(np.linalg.norm(mat, axis=1, keepdims=True), 1e-300)
-    return ids, mat
+def _n_blocks(df: DataFrame, vec: str, max_block: int) -> int:
+    """Blocks of at most ``max_block`` rows and ``BLOCK_BYTES`` of vectors, and
+    enough of them to use the cluster (at least 512 rows each then)."""
+    n, dims = df.agg(F.count(F.lit(1)), F.max(F.size(vec))).first()
+    rows = max(1, min(max_block, BLOCK_BYTES // (8 * max(dims or 1, 1))))
+    spread = min(df.sparkSession.sparkContext.defaultParallelism, n // 512)
+    return max(1, -(-n // rows), spread)
+
+
+def _block(col: str, nb: int) -> Column:
+    return F.pmod(F.xxhash64(col), F.lit(nb)).cast("int")
+
+
+def _every(nb: int) -> Column:
+    return F.explode(F.sequence(F.lit(0), F.lit(nb - 1)))
+
+
+def _matrix(vectors: pd.Series) -> np.ndarray:
+    return np.stack(vectors.to_numpy()).astype(np.float64)
+
+
+def _unit(m: np.ndarray) -> np.ndarray:
+    return m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
+
+
+def _first_k(s: np.ndarray, k: int) -> np.ndarray:
+    """Mask of the ``k`` largest finite scores per row; among equal scores at
+    the cut the leftmost (callers order the columns by id)."""
+    if s.shape[1] <= k:
+        return np.isfinite(s)
+    kth = np.partition(s, s.shape[1] - k, axis=1)[:, s.shape[1] - k, None]
+    above, tied = s > kth, s == kth
+    room = k - above.sum(axis=1, keepdims=True)
+    return (above | (tied & (np.cumsum(tied, axis=1) <= room))) & np.isfinite(s)
+
+
+def _pair_topk(left: DataFrame, right: DataFrame, k: int, lid: str, lvec: str, rid: str, rvec: str,
+               out: str, max_block: int, unit: bool, seen: DataFrame | None = None) -> DataFrame:
+    """Top-``k`` right ids per left id. ``seen`` (lid, rid) pairs travel to the
+    one block pair that both ids belong to and are left out there."""
+    nl, nr = _n_blocks(left, lvec, max_block), _n_blocks(right, rvec, max_block)
+    lt, rt = left.schema[lid].dataType, right.schema[rid].dataType
+    schema = T.StructType([T.StructField(lid, lt), T.StructField(rid, rt), T.StructField(out, T.DoubleType())])
+    ls = left.select(F.col(lid).alias("l"), F.col(lvec).cast("array<double>").alias("v"),
+                     _block(lid, nl).alias("i"), _every(nr).alias("j")).where("v is not null")
+    rs = right.select(F.lit(None).cast(lt).alias("l"), F.col(rid).alias("r"),
+                      F.col(rvec).cast("array<double>").alias("v"),
+                      _block(rid, nr).alias("j"), _every(nl).alias("i")).where("v is not null")
+    if seen is not None:
+        rs = rs.unionByName(seen.select(F.col(lid).cast(lt).alias("l"), F.col(rid).cast(rt).alias("r")).distinct().select(
+            "l", "r", F.lit(None).cast("array<double>").alias("v"), _block("r", nr).alias("j"), _block("l", nl).alias("i")))
+
+    def score(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        drop, b = b[b["v"].isna()], b[b["v"].notna()]
+        if a.empty or b.empty:
+            return pd.DataFrame({lid: a["l"].iloc[:0], rid: b["r"].iloc[:0], out: np.zeros(0)})
+        b = b.sort_values("r")
+        lids, rids = a["l"].to_numpy(), b["r"].to_numpy()
+        x, y = _matrix(a["v"]), _matrix(b["v"])
+        if unit:
+            x, y = _unit(x), _unit(y)
+        row, col = pd.Index(lids).get_indexer(drop["l"]), pd.Index(rids).get_indexer(drop["r"])
+        known = (row >= 0) & (col >= 0)
+        row, col = row[known], col[known]
+        got, step = [], max(1, STRIP_SCORES // len(y))
+        for at in range(0, len(x), step):
+            s = np.round(x[at:at + step] @ y.T, 6)
+            here = (row >= at) & (row < at + step)
+            s[row[here] - at, col[here]] = -np.inf
+            r, c = np.nonzero(_first_k(s, k))
+            got.append(pd.DataFrame({lid: lids[at + r], rid: rids[c], out: s[r, c]}))
+        return pd.concat(got, ignore_index=True)
+
+    cand = ls.groupBy("i", "j").cogroup(rs.groupBy("i", "j")).applyInPandas(score, schema)
+    w = Window.partitionBy(lid).orderBy(F.col(out).desc(), F.col(rid))
+    return cand.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= k)
 
 
 def cosine_topk(items: DataFrame, queries: DataFrame, k: int, item_id: str = "item_id",
                 item_vec: str = "vec", query_id: str = "query_id", query_vec: str = "vec",
-                max_block: int = DEFAULT_MAX_BLOCK, cosine_sim: bool = True) -> DataFrame:
+                max_block: int = BLOCK_ROWS, cosine_sim: bool = True) -> DataFrame:
     """V2: top-``k`` items per query by cosine similarity (6 decimals; ties
-    by smaller item id). Items stream; queries are broadcast in checked blocks."""
-    spark = items.sparkSession
-    schema = T.StructType([T.StructField(query_id, queries.schema[query_id].dataType),
-                           T.StructField(item_id, items.schema[item_id].dataType),
-                           T.StructField("similarity", T.DoubleType())])
-    parts = []
-    for qb in _blocks(queries, query_id, max_block):
-        qids, Q = _load_block(qb, query_id, query_vec, cosine_sim)
-        if len(qids) == 0:
-            continue
-        bc = spark.sparkContext.broadcast((qids, Q))
-
-        def score(batches: Iterator[pd.DataFrame], bc=bc) -> Iterator[pd.DataFrame]:
-            q_ids, qm = bc.value
-            for pdf in batches:
-                if pdf.empty:
-                    continue
-                X = np.stack(pdf[item_vec].to_numpy()).astype(np.float64)
-                if cosine_sim:
-                    X = X / np.maximum(np.linalg.norm(X, axis=1, keepdims=True), 1e-300)
-                S = np.round(X @ qm.T, 6)                      # (items, queries)
-                kk = min(k, S.shape[0])
-                kth = -np.partition(-S, kk - 1, axis=0)[kk - 1]  # k-th best per query
-                r, c = np.nonzero(S >= kth[None, :])           # keep ties at the cut
-                yield pd.DataFrame({query_id: q_ids[c], item_id: pdf[item_id].to_numpy()[r],
-                                    "similarity": S[r, c]})
-
-        parts.append(items.select(item_id, item_vec).mapInPandas(score, schema))
-    cand = parts[0]
-    for p in parts[1:]:
-        cand = cand.unionByName(p)
-    w = Window.partitionBy(query_id).orderBy(F.col("similarity").desc(), F.col(item_id))
-    return cand.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= k)
+    by smaller item id)."""
+    return _pair_topk(queries, items, k, query_id, query_vec, item_id, item_vec, "similarity", max_block, cosine_sim)
 
 
 def score_all(users: DataFrame, items: DataFrame, k: int, user_id: str = "user_id",
               item_id: str = "item_id", vec: str = "features", seen: DataFrame | None = None,
-              max_block: int = DEFAULT_MAX_BLOCK) -> DataFrame:
+              max_block: int = BLOCK_ROWS) -> DataFrame:
     """J8 + J7: top-``k`` items per user by dot product over *all* items,
     excluding each user's ``seen`` (user, item) pairs — excluded items are
-    never returned. Users stream; items are broadcast in checked blocks."""
-    spark = users.sparkSession
-    schema = T.StructType([T.StructField(user_id, users.schema[user_id].dataType),
-                           T.StructField(item_id, items.schema[item_id].dataType),
-                           T.StructField("score", T.DoubleType())])
-    parts = []
-    nblk = max(1, math.ceil(items.count() / max_block))
-    for bi, ib in enumerate(_blocks(items, item_id, max_block)):
-        iids, M = _load_block(ib, item_id, vec, False)
-        if len(iids) == 0:
-            continue
-        bc = spark.sparkContext.broadcast((iids, M))
-        u = users.select(user_id, vec)
-        if seen is not None:
-            s = seen.select(user_id, item_id)
-            if nblk > 1:
-                s = s.where(F.pmod(F.xxhash64(item_id), F.lit(nblk)) == bi)
-            ex = s.groupBy(user_id).agg(F.collect_set(item_id).alias("_seen"))  # ≤ block size
-            u = u.join(ex, user_id, "left")
-        else:
-            u = u.withColumn("_seen", F.lit(None).cast(T.ArrayType(items.schema[item_id].dataType)))
-
-        def top(batches: Iterator[pd.DataFrame], bc=bc) -> Iterator[pd.DataFrame]:
-            ids, mat = bc.value
-            pos = {v: i for i, v in enumerate(ids.tolist())}
-            for pdf in batches:
-                if pdf.empty:
-                    continue
-                U = np.stack(pdf[vec].to_numpy()).astype(np.float64)
-                S = np.round(U @ mat.T, 6)
-                for r, ex in enumerate(pdf["_seen"].to_numpy()):
-                    if ex is not None and len(ex):
-                        cols = [pos[x] for x in ex if x in pos]
-                        S[r, cols] = -np.inf
-                kk = min(k, S.shape[1])
-                out_u, out_i, out_s = [], [], []
-                for r in range(S.shape[0]):
-                    row = S[r]
-                    valid = np.isfinite(row)
-                    if not valid.any():
-                        continue
-                    kth = -np.partition(-row[valid], min(kk, valid.sum()) - 1)[min(kk, valid.sum()) - 1]
-                    sel = np.nonzero(valid & (row >= kth))[0]
-                    out_u.extend([pdf[user_id].iat[r]] * len(sel))
-                    out_i.extend(ids[sel].tolist())
-                    out_s.extend(row[sel].tolist())
-                yield pd.DataFrame({user_id: out_u, item_id: out_i, "score": out_s})
-
-        parts.append(u.mapInPandas(top, schema))
-    cand = parts[0]
-    for p in parts[1:]:
-        cand = cand.unionByName(p)
-    w = Window.partitionBy(user_id).orderBy(F.col("score").desc(), F.col(item_id))
-    return cand.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= k)
+    never returned."""
+    return _pair_topk(users, items, k, user_id, vec, item_id, vec, "score", max_block, False, seen)
 
 
 def target_rank(rows: DataFrame, users: DataFrame, items: DataFrame, user_id: str = "user_id",
                 item_id: str = "item_id", vec: str = "features", row_id: str = "row_id",
-                max_block: int = DEFAULT_MAX_BLOCK) -> DataFrame:
+                max_block: int = BLOCK_ROWS) -> DataFrame:
     """1-based rank of each row's target item among all items for its
     user: 1 + #items scoring higher (or equal with a smaller id). Scores are
     rounded to 6 decimals. Targets without a vector get a null rank."""
-    spark = rows.sparkSession
     iv = items.select(F.col(item_id).alias("_t"), F.col(vec).alias("_tv"))
-    r = (rows.join(users.select(user_id, vec), user_id)
-             .join(iv, rows[item_id] == iv["_t"], "left")
-             .withColumn("_ts", F.round(dot(vec, "_tv"), 6)))
+    r = (rows.join(users.select(user_id, vec), user_id).withColumn("_t", F.col(item_id)).join(iv, "_t")
+             .select(F.col(row_id).alias("row"), F.col("_t").alias("target"), F.col(vec).alias("v"),
+                     F.round(dot(vec, "_tv"), 6).alias("_ts")))
+    nl, nr = _n_blocks(r, "v", max_block), _n_blocks(items, vec, max_block)
+    ls = r.select("*", _block("row", nl).alias("i"), _every(nr).alias("j"))
+    rs = items.select(F.col(item_id).alias("id"), F.col(vec).alias("v"), _block(item_id, nr).alias("j"), _every(nl).alias("i"))
     schema = T.StructType([T.StructField(row_id, rows.schema[row_id].dataType),
                            T.StructField("_ahead", T.LongType())])
-    parts = []
-    for ib in _blocks(items, item_id, max_block):
-        iids, M = _load_block(ib, item_id, vec, False)
-        bc = spark.sparkContext.broadcast((iids, M))
-
-        def ahead(batches: Iterator[pd.DataFrame], bc=bc) -> Iterator[pd.DataFrame]:
-            ids, mat = bc.value
-            for pdf in batches:
-                if pdf.empty:
-                    continue
-                U = np.stack(pdf[vec].to_numpy()).astype(np.float64)
-                S = np.round(U @ mat.T, 6)
-                ts = pdf["_ts"].to_numpy(dtype=np.float64)
-                tid = pdf[item_id].to_numpy()
-                cnt = ((S > ts[:, None]) | ((S == ts[:, None]) & (ids[None, :] < tid[:, None]))).sum(axis=1)
-                yield pd.DataFrame({row_id: pdf[row_id].to_numpy(), "_ahead": cnt.astype(np.int64)})
-
-        parts.append(r.where(F.col("_ts").isNotNull()).select(row_id, item_id, vec, "_ts").mapInPandas(ahead, schema))
-    cand = parts[0]
-    for p in parts[1:]:
-        cand = cand.unionByName(p)
+
+    def ahead(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        n = np.zeros(len(a), dtype=np.int64)
+        if len(a) and len(b):
+            x, y, ids = _matrix(a["v"]), _matrix(b["v"]), b["id"].to_numpy()
+            ts, tid = a["_ts"].to_numpy(np.float64)[:, None], a["target"].to_numpy()[:, None]
+            step = max(1, STRIP_SCORES // len(y))
+            for at in range(0, len(x), step):
+                s, t = np.round(x[at:at + step] @ y.T, 6), ts[at:at + step]
+                n[at:at + step] = ((s > t) | ((s == t) & (ids[None, :] < tid[at:at + step]))).sum(axis=1)
+        return pd.DataFrame({row_id: a["row"], "_ahead": n})
+
+    cand = ls.groupBy("i", "j").cogroup(rs.groupBy("i", "j")).applyInPandas(ahead, schema)
     ranks = cand.groupBy(row_id).agg((F.sum("_ahead") + 1).alias("rank"))
     return rows.join(ranks, row_id, "left")
 
