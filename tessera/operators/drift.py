@@ -9,95 +9,140 @@ from __future__ import annotations
 
 from typing import Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+import numpy as np
+from pyspark.ml.feature import Bucketizer
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from tessera.operators.scale import in_ranges
 
 EPS = 1e-6
 
 
-def _long(df: DataFrame, cols: Sequence[str], group: Sequence[str], side: str,
-          weight: str | None = None) -> DataFrame:
-    """(group…, feature, value, side, w) rows for the numeric ``cols``; ``w``
-    is the row multiplicity (1, or the ``weight`` column of a pre-counted frame)."""
-    stacked = F.explode(F.array(*[F.struct(F.lit(i).alias("fi"), F.lit(c).alias("feature"),
-                                           F.col(c).cast("double").alias("value"))
-                                  for i, c in enumerate(cols)]))
-    w = F.col(weight).cast("long") if weight else F.lit(1).cast("long")
-    return (df.select(*group, stacked.alias("_f"), w.alias("w"))
-              .select(*group, F.col("_f.fi").alias("fi"), F.col("_f.feature").alias("feature"),
-                      F.col("_f.value").alias("value"), "w")
-              .where(F.col("value").isNotNull()).withColumn("side", F.lit(side)))
+def _bin_edges(mn: float, mx: float, bins: int) -> list[float]:
+    """Smallest double of each bin after the first, so that cutting at the
+    edges equals ``floor((value - mn) / width)`` bit for bit."""
+    width, out = (mx - mn) / bins, []
+    for k in range(1, bins):
+        e = mn + k * width
+        while (e - mn) / width < k:
+            e = np.nextafter(e, np.inf)
+        while (np.nextafter(e, -np.inf) - mn) / width >= k:
+            e = np.nextafter(e, -np.inf)
+        out.append(float(e))
+    return out
+
+
+def _extents(cols: Sequence[str], weight: Column) -> list[Column]:
+    return [f for i, c in enumerate(cols) for f in (
+        F.min(F.col(c).cast("double")).alias(f"mn{i}"), F.max(F.col(c).cast("double")).alias(f"mx{i}"),
+        F.coalesce(F.sum(F.when(F.col(c).isNotNull(), weight)), F.lit(0)).alias(f"n{i}"))]
 
 
 def psi(base: DataFrame, cur: DataFrame, cols: Sequence[str], bins: int = 10,
         group: Sequence[str] = (), base_weight: str | None = None) -> DataFrame:
-    """PSI per (group, feature). Ten equal-width bins over the joint
-    min/max, last bin closed; proportions + 1e-6; natural log. A constant
-    feature or an empty side gives 0. ``base_weight`` names a row-count
-    column when the baseline is given pre-aggregated (value, count)."""
+    """PSI per feature, or per (group, feature) of ``cur`` against the one
+    baseline. Ten equal-width bins over the joint min/max, last bin closed;
+    proportions + 1e-6; natural log. A constant feature or an empty side gives
+    0; rows without a group are left out. ``base_weight`` names a row-count
+    column when the baseline is given pre-aggregated (value, count).
+
+    The baseline is counted once, cut at the bin edges of all groups; each
+    group then adds up its pieces. Only groups x features x bins numbers (days
+    or models, not rows) pass through the driver."""
     g = list(group)
-    keys = g + ["fi", "feature"]
-    rows = _long(base, cols, g, "b", base_weight).unionByName(_long(cur, cols, g, "c"))
-    is_b = F.col("side") == "b"
-    stats = rows.groupBy(*keys).agg(F.min("value").alias("mn"), F.max("value").alias("mx"),
-                                    F.sum(F.when(is_b, F.col("w")).otherwise(0)).alias("nb"),
-                                    F.sum(F.when(~is_b, F.col("w")).otherwise(0)).alias("nc"))
+    w = F.col(base_weight).cast("long") if base_weight else F.lit(1).cast("long")
+    for c in g:
+        cur = cur.where(F.col(c).isNotNull())
+    b = base.agg(*_extents(cols, w)).first()
+    groups = cur.groupBy(*g).agg(*_extents(cols, F.lit(1).cast("long"))).collect()
+    ranges = []   # (group values, feature, baseline rows, current rows, min, max, edges)
+    for r in groups:
+        for i in range(len(cols)):
+            ends = [x for x in (b[f"mn{i}"], b[f"mx{i}"], r[f"mn{i}"], r[f"mx{i}"]) if x is not None]
+            mn, mx = (min(ends), max(ends)) if ends else (0.0, 0.0)
+            edges = _bin_edges(mn, mx, bins) if mx > mn else []
+            ranges.append(([r[c] for c in g], i, b[f"n{i}"], r[f"n{i}"], mn, mx, edges))
+    cuts = [sorted({e for r in ranges if r[1] == i for e in r[6]}) for i in range(len(cols))]
+
+    values = base.select(w.alias("w"), *[F.col(c).cast("double").alias(f"v{i}") for i, c in enumerate(cols)])
+    pieces = Bucketizer(splitsArray=[[-np.inf, *(c or [0.0]), np.inf] for c in cuts], handleInvalid="keep",
+                        inputCols=[f"v{i}" for i in range(len(cols))],
+                        outputCols=[f"p{i}" for i in range(len(cols))]).transform(values)
+    counted = (pieces.select("w", F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.col(f"p{i}").cast("int").alias("p"),
+                                                               F.col(f"v{i}").alias("v")) for i in range(len(cols))])).alias("x"))
+               .where("x.v is not null").groupBy("x.i", "x.p").agg(F.sum("w").alias("n")).collect())
+    below = [np.zeros(len(c) + 2, dtype=np.int64) for c in cuts]   # rows before piece p
+    for r in counted:
+        if r["p"] <= len(cuts[r["i"]]):
+            below[r["i"]][r["p"] + 1] = r["n"]
+    below = [np.cumsum(x) for x in below]
+
+    def base_bins(i, edges, mn, mx):
+        at = [0, *(below[i][np.searchsorted(cuts[i], e) + 1] for e in edges), below[i][len(cuts[i]) + 1]]
+        return [int(x) for x in np.diff(at)] if edges else [0] * bins
+
+    schema = T.StructType([*[cur.schema[c] for c in g], *[T.StructField(n, t) for n, t in (
+        ("fi", T.IntegerType()), ("feature", T.StringType()), ("nb", T.LongType()), ("nc", T.LongType()),
+        ("mn", T.DoubleType()), ("mx", T.DoubleType()), ("cb", T.ArrayType(T.LongType())))]])
+    grid = cur.sparkSession.createDataFrame(
+        [(*key, i, cols[i], nb, nc, mn, mx, base_bins(i, edges, mn, mx)) for key, i, nb, nc, mn, mx, edges in ranges], schema)
+    now = (cur.select(*g, F.explode(F.array(*[F.struct(F.lit(i).alias("fi"), F.col(c).cast("double").alias("value"))
+                                              for i, c in enumerate(cols)])).alias("x"))
+           .select(*g, "x.fi", "x.value").where("value is not null"))
+    # the grid has one row per group and feature
+    now = now.join(F.broadcast(grid.where("mx > mn").select(*g, "fi", "mn", "mx")), [*g, "fi"])
     width = (F.col("mx") - F.col("mn")) / bins
-    binned = rows.join(stats, keys).withColumn(
-        "bin", F.when(F.col("mx") > F.col("mn"),
-                      F.least(F.floor((F.col("value") - F.col("mn")) / width), F.lit(bins - 1)))
-                .otherwise(0).cast("int"))
-    counts = binned.groupBy(*keys, "bin").agg(F.sum(F.when(is_b, F.col("w")).otherwise(0)).alias("cb"),
-                                              F.sum(F.when(~is_b, F.col("w")).otherwise(0)).alias("cc"))
-    grid = stats.select(*keys, "nb", "nc", "mn", "mx",
-                        F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"))
-    full = grid.join(counts, keys + ["bin"], "left").fillna({"cb": 0, "cc": 0})
-    pb = F.try_divide(F.col("cb"), F.col("nb")) + EPS
-    pc = F.try_divide(F.col("cc"), F.col("nc")) + EPS
-    term = (pc - pb) * F.log(pc / pb)
-    out = full.groupBy(*keys).agg(F.sum(term).alias("_psi"), F.first("nb").alias("nb"),
-                                  F.first("nc").alias("nc"), F.first("mn").alias("mn"),
-                                  F.first("mx").alias("mx"))
-    val = F.when((F.col("nb") == 0) | (F.col("nc") == 0) | (F.col("mx") == F.col("mn")), 0.0) \
-           .otherwise(F.col("_psi"))
-    return out.select(*g, "fi", "feature", F.round(val, 9).alias("psi"))
+    now = (now.withColumn("bin", F.least(F.floor((F.col("value") - F.col("mn")) / width), F.lit(bins - 1)).cast("int"))
+           .groupBy(*g, "fi").agg(*[F.count_if(F.col("bin") == k).alias(f"c{k}") for k in range(bins)]))
+    full = grid.join(now, [*g, "fi"], "left")
+    term = F.lit(0.0)
+    for k in range(bins):
+        pb = F.try_divide(F.col("cb")[k], F.col("nb")) + EPS
+        pc = F.try_divide(F.coalesce(F.col(f"c{k}"), F.lit(0)), F.col("nc")) + EPS
+        term = term + (pc - pb) * F.log(pc / pb)
+    none = (F.col("nb") == 0) | (F.col("nc") == 0) | (F.col("mx") == F.col("mn"))
+    return full.select(*g, "fi", "feature", F.round(F.when(none, 0.0).otherwise(term), 9).alias("psi"))
+
+
+def _running(df: DataFrame, keys: Sequence[str], value: str, n: str, out: str) -> DataFrame:
+    """``out``: sum of ``n`` up to and with each row, in order of ``value`` per
+    key, without a window over a whole key: rows are dealt into equal-sized
+    ranges, whose totals are cumulated (one row per key and range)."""
+    d = in_ranges(df, [*keys, value])
+    tot = d.groupBy(*keys, "_b").agg(F.sum(n).alias("_s"))
+    before = (Window.partitionBy(*keys) if keys else Window).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    tot = tot.select(*keys, "_b", F.coalesce(F.sum("_s").over(before), F.lit(0)).alias("_o"))
+    inside = Window.partitionBy(*keys, "_b").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+    return d.join(tot, [*keys, "_b"]).withColumn(out, F.col("_o") + F.sum(n).over(inside)).drop("_b", "_o")
 
 
 def ks_two_sample(base: DataFrame, cur: DataFrame, col: str, group: Sequence[str] = (),
                   base_weight: str | None = None) -> DataFrame:
-    """R2: two-sample KS statistic per group — the largest gap between the
-    two empirical CDFs over all observed values (0 when a side is empty).
-
-    Counts per distinct value are cumulated in value order without a global
-    window: values are dealt into equal-sized ranges, range totals are
-    cumulated (one row per group and range), and values are ordered only
-    within their range.
+    """R2: two-sample KS statistic, or one per group of ``cur`` against the one
+    baseline — the largest gap between the two empirical CDFs (0 when a side
+    is empty; rows without a group are left out).
+
+    Between two neighbouring current values the current CDF stands still and
+    the baseline's rises, so the gap is largest just before or at a current
+    value: baseline ranks are worked out once, at every value of either side,
+    and looked up by value. The baseline is never copied per group.
     """
     g = list(group)
     bw = F.col(base_weight).cast("long") if base_weight else F.lit(1).cast("long")
-    b = base.select(*g, F.col(col).cast("double").alias("v"), bw.alias("ib")).where(F.col("v").isNotNull())
-    c = cur.select(*g, F.col(col).cast("double").alias("v")).where(F.col("v").isNotNull())
-    per_v = (b.withColumn("ic", F.lit(0).cast("long"))
-             .unionByName(c.withColumn("ib", F.lit(0).cast("long")).withColumn("ic", F.lit(1).cast("long")))
-             .groupBy(*g, "v").agg(F.sum("ib").alias("nb_v"), F.sum("ic").alias("nc_v")))
-    pv = in_ranges(per_v, [*g, "v"])
-    if g:
-        pv = pv.join(pv.groupBy(*g).agg(F.sum("nb_v").alias("nb"), F.sum("nc_v").alias("nc")), g)
-    else:
-        pv = (pv.withColumn("nb", F.coalesce(pv.agg(F.sum("nb_v")).scalar(), F.lit(0)))
-              .withColumn("nc", F.coalesce(pv.agg(F.sum("nc_v")).scalar(), F.lit(0))))
-    bt = pv.groupBy(*g, "_b").agg(F.sum("nb_v").alias("sb"), F.sum("nc_v").alias("sc"))
-    wb = (Window.partitionBy(*g) if g else Window).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    bt = bt.withColumn("ob", F.coalesce(F.sum("sb").over(wb), F.lit(0))) \
-           .withColumn("oc", F.coalesce(F.sum("sc").over(wb), F.lit(0)))
-    pv = pv.join(bt.select(*g, "_b", "ob", "oc"), [*g, "_b"])
-    wv = Window.partitionBy(*g, "_b").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
-    pv = (pv.withColumn("cb", F.col("ob") + F.sum("nb_v").over(wv))
-            .withColumn("cc", F.col("oc") + F.sum("nc_v").over(wv)))
-    gap = F.abs(F.col("cb") / F.when(F.col("nb") > 0, F.col("nb")) - F.col("cc") / F.when(F.col("nc") > 0, F.col("nc")))
-    res = pv.groupBy(*g).agg(F.max(gap).alias("ks"))
-    return res.select(*g, F.round(F.coalesce("ks", F.lit(0.0)), 9).alias("ks"))
+    v = F.col(col).cast("double").alias("v")
+    b = base.select(v, bw.alias("nb_v")).where("v is not null")
+    c = cur.select(*g, v).where(" and ".join(f"`{x}` is not null" for x in [*g, "v"]))
+    c = c.groupBy(*g, "v").agg(F.count(F.lit(1)).alias("nc_v"))
+    ranks = _running(b.unionByName(c.select("v", F.lit(0).cast("long").alias("nb_v"))).groupBy("v").agg(F.sum("nb_v").alias("nb_v")),
+                     [], "v", "nb_v", "cb")
+    nb = F.coalesce(ranks.agg(F.sum("nb_v")).scalar(), F.lit(0))
+    c = _running(c, g, "v", "nc_v", "cc").join(ranks, "v")
+    per = c.groupBy(*g).agg(F.sum("nc_v").alias("nc")) if g else None
+    c = c.join(F.broadcast(per), g) if g else c.withColumn("nc", c.agg(F.sum("nc_v")).scalar())   # one row per group
+    nb = F.when(nb > 0, nb)
+    gap = F.greatest(F.abs(F.col("cb") / nb - F.col("cc") / F.col("nc")),
+                     F.abs((F.col("cb") - F.col("nb_v")) / nb - (F.col("cc") - F.col("nc_v")) / F.col("nc")))
+    return c.groupBy(*g).agg(F.max(gap).alias("ks")).select(*g, F.round(F.coalesce("ks", F.lit(0.0)), 9).alias("ks"))
 
 
 def metric_decay(base: Column, cur: Column) -> Column:

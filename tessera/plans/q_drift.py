@@ -131,25 +131,24 @@ def q_r4(spark, sf):
 
 # ---- per-day signals ------------------------------------------------------------------
 
+def _day_metrics(spark, sf):
+    """One row per current day: its conversion, that of the baseline, events."""
+    ev = Tables(spark, sf).events.withColumn("day", F.to_date("ts"))
+    split = F.lit(DRIFT_SPLIT).cast("timestamp_ntz")
+    base_metric = ev.where(F.col("ts") < split).agg(conversion(ev)).scalar()
+    return (ev.where(F.col("ts") >= split).groupBy("day")
+            .agg(conversion(ev).alias("metric_current"), F.count(F.lit(1)).alias("n_events"))
+            .withColumn("metric_baseline", base_metric))
+
+
 def daily_signals(spark, sf):
     """One row per current day: drift report vs the whole baseline window,
     days since training and cumulative new interactions."""
-    t = Tables(spark, sf)
-    b, c = V.drift_pair(t)
+    b, c = V.drift_pair(Tables(spark, sf))
     c = c.withColumn("day", F.to_date("ts"))
-    days = c.agg(F.sort_array(F.collect_set("day"))).scalar()   # one entry per calendar day
-    # the baseline is compared with every day: replicate its (value, hour)
-    # counts — bounded by the value domain — not its raw rows
-    b_cnt = b.groupBy(*FEATURES).agg(F.count(F.lit(1)).alias("_w"))
-    b_rep = b_cnt.withColumn("day", F.explode(days))
-    psi_d = D.psi(b_rep, c, FEATURES, group=["day"], base_weight="_w")
-    ks_d = D.ks_two_sample(b_rep, c, "value", group=["day"], base_weight="_w")
-    ev = t.events.withColumn("day", F.to_date("ts"))
-    split = F.lit(DRIFT_SPLIT).cast("timestamp_ntz")
-    base_metric = ev.where(F.col("ts") < split).agg(conversion(ev)).scalar()
-    cur_m = (ev.where(F.col("ts") >= split).groupBy("day")
-             .agg(conversion(ev).alias("metric_current"), F.count(F.lit(1)).alias("n_events"))
-             .withColumn("metric_baseline", base_metric))
+    psi_d = D.psi(b, c, FEATURES, group=["day"])
+    ks_d = D.ks_two_sample(b, c, "value", group=["day"])
+    cur_m = _day_metrics(spark, sf)
     rep = D.drift_report(psi_d, ks_d, cur_m.select("day", "metric_baseline", "metric_current"), ["day"])
     w = Window.orderBy("day").rowsBetween(Window.unboundedPreceding, 0)   # one row per day
     vol = cur_m.select("day", F.sum("n_events").over(w).alias("new_interactions"))
@@ -198,7 +197,7 @@ def q_signals(spark, sf):
 
 @query("r3_metric_decay", sql=with_views("SELECT day, relative_decay FROM signals", *_DAY_V, extra=_DAY_X))
 def q_r3(spark, sf):
-    s = daily_signals(spark, sf)
+    s = _day_metrics(spark, sf)
     return s.select("day", F.round(D.metric_decay(F.col("metric_baseline"), F.col("metric_current")), 9)
                     .alias("relative_decay"))
 
