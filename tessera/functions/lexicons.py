@@ -66,3 +66,7 @@ GRAPH_STOPWORDS = ("a", "an", "and", "are", "as", "at", "be", "by", "for", "from
 # give different answers on real rows.
 DRIVER_POSITIVE = ("thing", "erth", "attion", "ered", "thly")
 DRIVER_NEGATIVE = ("erly", "thin", "eror", "erwh", "thst")
+
+# ---- FIXED VALUES: prompt line around a text's context (T12) ---------------
+CONTEXT_LINE = ("BUSINESS CONTEXT: This is a ", ".\n")
+RECIPE_RELATION = "OFTEN_IN_SAME_RECIPE"

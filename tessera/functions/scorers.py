@@ -21,6 +21,10 @@ def register_scorer(name: str, fn: Scorer) -> None:
     _SCORERS[name] = fn
 
 
+def has_scorer(name: str) -> bool:
+    return name in _SCORERS
+
+
 def get_scorer(name: str | None) -> Scorer:
     """Named scorer, or the rule-based one when the name is unknown / None."""
     return _SCORERS.get(name or "rules", _SCORERS["rules"])

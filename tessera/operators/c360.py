@@ -60,10 +60,15 @@ def key_interactions(retrieved_df: DataFrame, n: int = 5) -> DataFrame:
 def personas(profiles: DataFrame, interactions: DataFrame, complaint_terms=L.COMPLAINT_TERMS,
              return_term: str = L.RETURN_TERM, n: int = 10) -> DataFrame:
     """One persona row per profile (customers without interactions get
-    zero counts): summary sentence, tiers, pain points, recommendations."""
+    zero counts): summary sentence, tiers, pain points, recommendations and the
+    five newest interactions (date, type, first 100 characters)."""
     got = retrieved(interactions, n)
     stats = risk_and_trend(interaction_stats(got, complaint_terms, return_term))
-    p = profiles.join(stats, "customer_id", "left")
+    newest = F.sort_array(F.collect_list(F.struct("date", "interaction_id", "type", "summary")), asc=False)   # n per customer
+    keys = got.groupBy("customer_id").agg(F.transform(F.slice(newest, 1, 5), lambda i: F.struct(
+        F.substring(i["date"].cast("string"), 1, 10).alias("date"), F.coalesce(i["type"], F.lit("")).alias("type"),
+        F.coalesce(F.substring(i["summary"], 1, 100), F.lit("")).alias("summary"))).alias("key_interactions"))
+    p = profiles.join(stats, "customer_id", "left").join(keys, "customer_id", "left")
     p = p.fillna({"n_interactions": 0, "n_types": 0, "has_returns": False, "has_complaints": False,
                   "purchase_count": 0, "churn_risk": "LOW", "sentiment_trend": "STABLE"})
     comp, ret, high = F.col("has_complaints"), F.col("has_returns"), F.col("churn_risk") == "HIGH"
@@ -86,7 +91,8 @@ def personas(profiles: DataFrame, interactions: DataFrame, complaint_terms=L.COM
         F.array(F.when(high, "Proactive outreach with loyalty offer").otherwise("Continue standard engagement"),
                 F.when(high, "Escalate to retention team").otherwise("Offer tier upgrade path"),
                 F.lit("Personalize next campaign based on purchase history")).alias("recommendations"),
-        F.least(F.col("n_interactions"), F.lit(5)).alias("n_key_interactions"))
+        F.least(F.col("n_interactions"), F.lit(5)).alias("n_key_interactions"),
+        F.coalesce("key_interactions", F.array().cast(keys.schema["key_interactions"].dataType)).alias("key_interactions"))
 
 
 def persona_export(personas_df: DataFrame) -> DataFrame:

@@ -39,6 +39,9 @@ def build_order_graph(customers: DataFrame, orders: DataFrame, lines: DataFrame)
     return nodes, edges
 
 
+SALTS = 32
+
+
 def basket_pairs(baskets: DataFrame, basket: str, item: str, min_support: int = 1,
                  block: int = 64, deduped: bool = False,
                  item_support: DataFrame | None = None) -> DataFrame:
@@ -59,12 +62,13 @@ def basket_pairs(baskets: DataFrame, basket: str, item: str, min_support: int =
     if min_support > 1:
         sup = item_support if item_support is not None else bi.groupBy("it").agg(F.count(F.lit(1)).alias("s"))
         bi = bi.join(sup.where(F.col("s") >= min_support).select("it"), "it", "left_semi")
-    size = bi.groupBy("bk").agg(F.count(F.lit(1)).alias("n"))
-    bi = bi.join(size, "bk")
-    nch = F.greatest(F.lit(1), F.ceil(F.col("n") / block)).cast("int")
-    bi = (bi.withColumn("nch", nch)
-            .withColumn("ch", F.when(F.col("nch") > 1, F.pmod(F.xxhash64("it"), F.col("nch")))
-                        .otherwise(0).cast("int")))
+    # only baskets above the block size get a chunk number; their rows are
+    # spread over SALTS keys for that look-up, so no basket lands whole in a task
+    big = (bi.groupBy("bk").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > block)
+           .select("bk", F.ceil(F.col("n") / block).cast("int").alias("nch"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")))
+    bi = bi.withColumn("salt", F.pmod(F.xxhash64("it"), F.lit(SALTS)).cast("int")).join(big, ["bk", "salt"], "left")
+    bi = bi.select("bk", "it", F.coalesce("nch", F.lit(1)).alias("nch"),
+                   F.coalesce(F.pmod(F.xxhash64("it"), F.col("nch")).cast("int"), F.lit(0)).alias("ch"))
     # left copy of an item joins blocks (ch, o >= ch); right copy joins (o <= ch, ch)
     left = bi.select("bk", F.col("it").alias("a"), F.col("ch").alias("lo"),
                      F.explode(F.sequence(F.col("ch"), F.col("nch") - 1)).alias("hi"))
@@ -84,7 +88,8 @@ def co_purchase(baskets: DataFrame, basket: str, item: str, min_support: int = 2
     confidence(a→b) = support(a,b) / support(a);
     lift = support(a,b) · N / (support(a) · support(b)), N = baskets.
     """
-    bi = baskets.select(F.col(basket).alias("bk"), F.col(item).alias("it")).distinct()
+    # used four times (support, sizes, both sides of the pairs): joined once
+    bi = materialize(baskets.select(F.col(basket).alias("bk"), F.col(item).alias("it")).distinct())
     item_sup = bi.groupBy("it").agg(F.count(F.lit(1)).alias("s"))
     n = bi.agg(F.count_distinct("bk")).scalar()
     pairs = basket_pairs(bi, "bk", "it", min_support, block, deduped=True, item_support=item_sup)
@@ -166,7 +171,7 @@ def run_pattern(nodes: DataFrame, edges: DataFrame, pattern: str, value=None, k:
     if pattern == "relation":
         e = e.where(F.col("relation") == value)
     elif pattern == "recipe":
-        e = e.where(F.col("relation") == "OFTEN_IN_SAME_RECIPE")
+        e = e.where(F.col("relation") == L.RECIPE_RELATION)
     elif pattern == "name_contains":
         e = e.where(F.col("src_label").contains(value))
     elif pattern == "aisle":

@@ -3,12 +3,14 @@ parsing, prompt tables and catalogue keyword search."""
 
 from __future__ import annotations
 
+import re
 from typing import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from tessera.functions import lexicons as L
 from tessera.functions import text as TX
+from tessera.functions.scorers import get_scorer, has_scorer
 
 LABELS = ("POSITIVE", "NEGATIVE", "NEUTRAL", "MIXED")
 URGENCIES = ("LOW", "MEDIUM", "HIGH", "CRITICAL")
@@ -55,15 +57,24 @@ def drop_flags(df: DataFrame, groups=L.ASPECT_GROUPS) -> DataFrame:
     return df.drop("_pc", "_nc", *[f"_h{i}" for i in range(len(groups))])
 
 
-def score_texts(df: DataFrame, col: str, positive=L.RULE_POSITIVE,
-                negative=L.RULE_NEGATIVE, groups=L.ASPECT_GROUPS) -> DataFrame:
-    """T2–T6 + T16 in one pass: label, confidence, aspects, entities,
-    urgency, key phrases, summary, stored source text."""
+def label_text(col: str, positive, negative, scorer: str | None = None, low: str | None = None) -> Column:
+    """F2: label and confidence by the named scorer; by the rules and the given
+    words (on ``low``, the lower-cased text, if at hand) where none, or an
+    unknown one, is named."""
+    if scorer in (None, "rules") or not has_scorer(scorer):
+        return TX.sentiment_label(low or col, positive, negative, lowered=low is not None)
+    return get_scorer(scorer)(F.col(col))
+
+
+def score_texts(df: DataFrame, col: str, positive=L.RULE_POSITIVE, negative=L.RULE_NEGATIVE,
+                groups=L.ASPECT_GROUPS, scorer: str | None = None) -> DataFrame:
+    """T2–T6 + T16 in one pass: label and confidence (by the named ``scorer``,
+    F2), aspects, entities, urgency, key phrases, summary, stored source text."""
     # lower(text), the word array and the keyword flags are materialised once
     # per row and shared by every rule (array lambdas would re-evaluate them)
     base = df.withColumn("_low", F.lower(col)).withColumn("_words", TX.whitespace_words(col))
     base = with_aspect_flags(base, "_low", groups, positive, negative)
-    s = TX.sentiment_label("_low", positive, negative, lowered=True)
+    s = label_text(col, positive, negative, scorer, low="_low")
     out = (base.withColumn("_s", s)
                .withColumn("label", F.col("_s.label"))
                .withColumn("confidence", F.col("_s.confidence"))
@@ -109,6 +120,12 @@ def aspect_stats(scored: DataFrame, by: Sequence[str]) -> DataFrame:
         F.min_by("sentiment", F.struct(-F.col("c"), F.col("sentiment"))).alias("dominant_sentiment"))
 
 
+def by_mentions(stats: DataFrame) -> DataFrame:
+    """K7: aspects (one row each) numbered from the most mentioned; ties by name."""
+    w = Window.orderBy(F.col("mentions").desc(), "aspect")
+    return stats.withColumn("position", F.row_number().over(w).cast("long"))
+
+
 def daily_trend(scored: DataFrame, date_col: str, score_col: str = "score") -> DataFrame:
     """A10: per day — count per label and mean score."""
     return scored.groupBy(F.to_date(date_col).alias("date")).agg(
@@ -161,17 +178,77 @@ def encode(df: DataFrame, key: str, col: str, vocab: DataFrame) -> DataFrame:
 # ---- model replies ---------------------------------------------------------------
 
 def parse_reply(col, schema: T.StructType) -> Column:
-    """Strip Markdown fences, parse JSON; invalid → null fields plus an
-    ``error`` message column in the struct."""
+    """Strip Markdown fences, parse JSON; invalid → null fields, an
+    ``error`` message and the first 500 characters as ``raw``."""
     body = TX.strip_code_fence(col)
     parsed = F.from_json(body, schema, {"mode": "PERMISSIVE"})
     ok = F.coalesce(F.get_json_object(body, "$").isNotNull(), F.lit(False))
     return F.struct(*[F.when(ok, parsed[f.name]).alias(f.name) for f in schema.fields],
-                    F.when(~ok, F.lit("Failed to parse response")).alias("error"))
+                    F.when(~ok, F.lit("Failed to parse response")).alias("error"),
+                    F.when(~ok, F.substring(body, 1, 500)).alias("raw"))
+
+
+REPLY = T.StructType([
+    T.StructField("sentiment", T.StringType()), T.StructField("confidence", T.StringType()),
+    T.StructField("urgency", T.StringType()), T.StructField("summary", T.StringType()),
+    T.StructField("key_phrases", T.ArrayType(T.StringType())),
+    T.StructField("aspects", T.ArrayType(T.StructType([T.StructField("aspect", T.StringType()),
+                                                       T.StructField("sentiment", T.StringType()),
+                                                       T.StructField("score", T.DoubleType())])))])
+
+
+def analyse_replies(df: DataFrame, reply: str, text: str, positive=L.RULE_POSITIVE,
+                    negative=L.RULE_NEGATIVE, scorer: str | None = None) -> DataFrame:
+    """Model replies as scored rows. A missing (or null) field takes its
+    default: NEUTRAL, 0.5, LOW, an empty summary or list. A reply that is not a
+    JSON object, reports an ``error`` or holds an unknown label, urgency or
+    confidence is set aside: the named ``scorer`` (rules by default) scores the
+    text instead, and ``scored_by`` says so."""
+    d = df.withColumn("_b", TX.strip_code_fence(reply)).withColumn("_p", F.from_json("_b", REPLY))
+    conf = F.expr("try_cast(_p.confidence as double)")
+    ok = (F.get_json_object("_b", "$").isNotNull() & F.col("_b").startswith("{")
+          & F.get_json_object("_b", "$.error").isNull()
+          & (F.col("_p.sentiment").isNull() | F.col("_p.sentiment").isin(*LABELS))
+          & (F.col("_p.urgency").isNull() | F.col("_p.urgency").isin(*URGENCIES))
+          & (F.col("_p.confidence").isNull() | conf.isNotNull()))
+    d = d.withColumn("_ok", F.coalesce(ok, F.lit(False))).withColumn("_s", label_text(text, positive, negative, scorer))
+    rule_aspects = F.transform(TX.aspects(text, positive=positive, negative=negative), lambda a: F.struct(
+        a["aspect"].alias("aspect"), a["sentiment"].alias("sentiment"), a["score"].alias("score")))
+    none = F.array().cast(REPLY["aspects"].dataType)
+    d = d.withColumn("aspects", F.when(F.col("_ok"), F.coalesce("_p.aspects", none)).otherwise(rule_aspects))
+    pick = lambda field, default, rule: F.when(F.col("_ok"), F.coalesce(field, default)).otherwise(rule)
+    return d.select(
+        *df.columns, pick(F.col("_p.sentiment"), F.lit("NEUTRAL"), F.col("_s.label")).alias("label"),
+        pick(conf, F.lit(0.5), F.col("_s.confidence")).alias("confidence"),
+        pick(F.col("_p.urgency"), F.lit("LOW"), TX.urgency(text, negative)).alias("urgency"),
+        pick(F.col("_p.summary"), F.lit(""), TX.summary_text(F.col("_s.label"), F.col("_s.confidence"), F.size("aspects"))).alias("summary"),
+        pick(F.col("_p.key_phrases"), F.array().cast("array<string>"), TX.key_phrases(text)).alias("key_phrases"),
+        "aspects", F.when(F.col("_ok"), "model").otherwise(F.lit(scorer or "rules")).alias("scored_by"))
 
 
 # ---- prompts ---------------------------------------------------------------
 
+def fill_template(template: str, **fields: Column) -> Column:
+    """``template`` with each ``{name}`` replaced by that column (null:
+    empty); an unknown name is an error."""
+    parts = re.split(r"\{(\w+)\}", template)
+    return F.concat(*[F.lit(p) if i % 2 == 0 else F.coalesce(fields[p].cast("string"), F.lit(""))
+                      for i, p in enumerate(parts)])
+
+
+def context_line(context: Column) -> Column:
+    """The line that tells a model where a text comes from, if known."""
+    return F.when(F.coalesce(context, F.lit("")) == "", "").otherwise(
+        F.concat(F.lit(L.CONTEXT_LINE[0]), context, F.lit(L.CONTEXT_LINE[1])))
+
+
+def products_json(hits: DataFrame, qid: str = "query_id", rank: str = "rank") -> DataFrame:
+    """Per query, its hits (top-k) as a JSON array in rank order."""
+    item = F.struct("product_id", "name", "description", "category")
+    rows = F.array_sort(F.collect_list(F.struct(F.col(rank), item.alias("p"))))
+    return hits.groupBy(qid).agg(F.to_json(F.transform(rows, lambda r: r["p"])).alias("products_json"))
+
+
 def latest_per_key(df: DataFrame, key: str, ts: str, tiebreak: str, n: int) -> DataFrame:
     """The ``n`` newest rows per key (planned as a WindowGroupLimit)."""
     w = Window.partitionBy(key).orderBy(F.col(ts).desc(), F.col(tiebreak).desc())

@@ -72,7 +72,17 @@ def q_c2(spark, sf):
 
 @query("c3_personas", bench=True, sql=with_views("SELECT * FROM personas", *_ALL, extra=_X))
 def q_c3(spark, sf):
-    return _personas(spark, sf)
+    return _personas(spark, sf).drop("key_interactions")
+
+
+@query("c3_key_interactions", sql=with_views("""
+    SELECT customer_id, rn AS pos, strftime(date, '%Y-%m-%d') AS date, type, substring(summary, 1, 100) AS summary
+    FROM retrieved JOIN profiles USING (customer_id) WHERE rn <= 5""", "profiles", "interactions", "retrieved", extra=_X))
+def q_c3_keys(spark, sf):
+    """The interactions inside each persona, one row each."""
+    from pyspark.sql import functions as F
+    rows = _personas(spark, sf).select("customer_id", F.posexplode_outer("key_interactions").alias("pos", "i"))
+    return rows.where("i is not null").select("customer_id", (F.col("pos") + 1).cast("long").alias("pos"), "i.*")
 
 
 @query("p10_persona_export", sql=with_views(

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tessera.functions.lexicons import RECIPE_RELATION
 from tessera.operators import graph as G
 from tessera.plans.catalog import query
 from tessera.sources import Tables
@@ -172,6 +173,16 @@ def q_g5_rel(spark, sf):
     return G.run_pattern(*part_graph(spark, sf), "relation", G.FBW)
 
 
+@query("g5_pattern_recipe", sql=_pattern_sql("relation = 'FREQUENTLY_BOUGHT_WITH' AND src_aisle = tgt_aisle").replace(
+    "relation AS relationship", f"'{RECIPE_RELATION}' AS relationship"))
+def q_g5_recipe(spark, sf):
+    """Co-purchases within one aisle stand in for recipe edges."""
+    nodes, edges = part_graph(spark, sf)
+    ends = G.edges_with_nodes(edges, nodes).where((F.col("relation") == G.FBW) & (F.col("src_aisle") == F.col("tgt_aisle")))
+    recipe = ends.select("source", "target", F.lit(RECIPE_RELATION).alias("relation"), "confidence")
+    return G.run_pattern(nodes, edges.unionByName(recipe), "recipe")
+
+
 @query("g5_pattern_name_contains", sql=_pattern_sql("contains(src_label, 'red')"))
 def q_g5_name(spark, sf):
     return G.run_pattern(*part_graph(spark, sf), "name_contains", "red")

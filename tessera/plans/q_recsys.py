@@ -123,6 +123,37 @@ def q_j5(spark, sf):
     return R.with_explanations(j, None).select("query_id", "product_id", "rank", "explanation", "match_reasons")
 
 
+@query("j5_given_explanations", sql=with_views("""
+    SELECT h.query_id, h.product_id,
+           CASE WHEN c.product_id % 3 = 0 THEN 'Made for ' || c.category ELSE 'Matches your interest in ''' || b.text || '''.' END AS explanation,
+           CASE WHEN c.product_id % 6 = 0 THEN [c.category] ELSE [c.category, c.tags[1], c.tags[2]] END AS match_reasons
+    FROM search h JOIN catalog c ON h.product_id = c.product_id JOIN benchmark b ON b.item_id = h.query_id""",
+    "catalog", "search", extra={"search": SEARCH_SQL}))
+def q_j5_given(spark, sf):
+    """Explanations given for some products, reasons for fewer: defaults fill in."""
+    hits, qs = search_hits(spark, sf)
+    c = V.catalog(Tables(spark, sf)).select("product_id", "category", "tags")
+    given = c.where("product_id % 3 = 0").select(
+        "product_id", F.concat(F.lit("Made for "), "category").alias("explanation"),
+        F.when(F.col("product_id") % 6 == 0, F.array("category")).alias("match_reasons"))
+    j = R.hits_to_products(hits, c).join(qs, "query_id")
+    return R.with_explanations(j, given).select("query_id", "product_id", "explanation", "match_reasons")
+
+
+@query("t12_recommendation_prompt", sql=with_views("""
+    SELECT query_id, 'Why do these suit ' || max(b.text) || '? ['
+           || string_agg('{"product_id":' || CAST(c.product_id AS VARCHAR) || ',"name":"' || c.name || '","description":"' || c.description
+                         || '","category":"' || c.category || '"}', ',' ORDER BY h.rank) || ']' AS prompt
+    FROM search h JOIN catalog c ON h.product_id = c.product_id JOIN benchmark b ON b.item_id = h.query_id
+    GROUP BY query_id""", "catalog", "search", extra={"search": SEARCH_SQL}))
+def q_t12_recommendation(spark, sf):
+    hits, qs = search_hits(spark, sf)
+    c = V.catalog(Tables(spark, sf)).select("product_id", "name", "description", "category")
+    j = TO.products_json(R.hits_to_products(hits, c)).join(qs, "query_id")
+    return j.select("query_id", TO.fill_template("Why do these suit {query}? {products}", query=F.col("query"),
+                                                 products=F.col("products_json")).alias("prompt"))
+
+
 # ---- vector search (V2 / V3 / J7 / V4) -----------------------------------------
 
 VEC_SQL = """

@@ -164,12 +164,16 @@ def q_t3(spark, sf):
                      F.col("x.sentiment").alias("sentiment"), F.col("x.score").alias("score"))
 
 
+#: the driver's prose names no product: two of its words stand in, in capitals
+ENTITIES = (*L.PRODUCT_ENTITIES, "Attion", "EROR")
+
+
 @query("t4_entities", sql=" UNION ALL ".join(
     f"SELECT doc_id, {_q(n)} AS name, 'PRODUCT' AS type FROM documents WHERE contains(lower(text), {_q(n.lower())})"
-    for n in L.PRODUCT_ENTITIES))
+    for n in ENTITIES))
 def q_t4(spark, sf):
     d = Tables(spark, sf).documents
-    return (d.select("doc_id", F.explode_outer(TX.entities("text")).alias("name")).where(F.col("name").isNotNull())
+    return (d.select("doc_id", F.explode_outer(TX.entities("text", ENTITIES)).alias("name")).where(F.col("name").isNotNull())
              .withColumn("type", F.lit("PRODUCT")))
 
 
@@ -231,7 +235,8 @@ REPLY_SCHEMA = T.StructType([T.StructField("k", T.IntegerType())])
 
 @query("t11_parse_reply", sql=with_views("""
     SELECT event_id, CASE WHEN ok THEN CAST(json_extract_string(body, '$.k') AS INTEGER) END AS k,
-           CASE WHEN ok THEN NULL ELSE 'Failed to parse response' END AS error
+           CASE WHEN ok THEN NULL ELSE 'Failed to parse response' END AS error,
+           CASE WHEN ok THEN NULL ELSE substring(body, 1, 500) END AS raw
     FROM (SELECT event_id, body, COALESCE(json_valid(body), false) AS ok FROM (
       SELECT event_id,
              CASE WHEN starts_with(trim(reply), '```')
@@ -241,7 +246,42 @@ REPLY_SCHEMA = T.StructType([T.StructField("k", T.IntegerType())])
 def q_t11(spark, sf):
     r = V.model_replies(Tables(spark, sf))
     p = TO.parse_reply("reply", REPLY_SCHEMA)
-    return r.select("event_id", p["k"].alias("k"), p["error"].alias("error"))
+    return r.select("event_id", p["k"].alias("k"), p["error"].alias("error"), p["raw"].alias("raw"))
+
+
+_FULL = """'{"sentiment":"POSITIVE","confidence":0.9,"urgency":"HIGH","summary":"' || coalesce(source, '') || '","aspects":[{"aspect":"a","sentiment":"MIXED","score":0.5}]}'"""
+#: replies of every kind, made from the documents: whole, fenced after an empty
+#: line, without most fields, unknown label, cut off, an error report
+REPLIES = f"""CASE doc_id % 6 WHEN 0 THEN {_FULL} WHEN 1 THEN chr(10) || '```json' || chr(10) || {_FULL} || chr(10) || '```'
+              WHEN 2 THEN '{{"summary":"short"}}' WHEN 3 THEN '{{"sentiment":"GLAD"}}'
+              WHEN 4 THEN substring({_FULL}, 1, 40) ELSE '{{"error":"quota"}}' END"""
+
+
+@query("t11_scored_replies", sql=f"""
+    SELECT d.doc_id, CASE WHEN k < 2 THEN 'POSITIVE' WHEN k = 2 THEN 'NEUTRAL' ELSE label END AS label,
+           CASE WHEN k < 2 THEN 0.9 WHEN k = 2 THEN 0.5 ELSE confidence END AS confidence,
+           CASE WHEN k < 2 THEN 'HIGH' WHEN k = 2 THEN 'LOW' ELSE urgency END AS urgency,
+           CASE WHEN k < 2 THEN coalesce(source, '') WHEN k = 2 THEN 'short' ELSE
+                upper(substring(label, 1, 1)) || lower(substring(label, 2)) || ' sentiment detected with '
+                || CAST(CAST(round(confidence * 100) AS INTEGER) AS VARCHAR) || '% confidence across '
+                || CAST(a.n AS VARCHAR) || ' aspect(s).' END AS summary,
+           CASE WHEN k < 2 THEN 1 WHEN k = 2 THEN 0 ELSE a.n END AS n_aspects,
+           CASE WHEN k <= 2 THEN 'model' ELSE 'rules' END AS scored_by
+    FROM (SELECT doc_id, source, doc_id % 6 AS k, {_LBL} AS label, {_CONF} AS confidence, {sql_urgency('low')} AS urgency FROM {DOCS_LOW}) d
+    JOIN (SELECT doc_id, COUNT(*) AS n FROM ({_ASPECT_SQL}) GROUP BY doc_id) a ON d.doc_id = a.doc_id""")
+def q_t11_scored(spark, sf):
+    d = Tables(spark, sf).documents.select("doc_id", "text", "source").withColumn("reply", F.expr(REPLIES))
+    got = TO.analyse_replies(d, "reply", "text", POS, NEG)
+    return got.select("doc_id", "label", "confidence", "urgency", "summary", F.size("aspects").cast("long").alias("n_aspects"), "scored_by")
+
+
+@query("t3_aspect_confidence", sql=f"SELECT doc_id, aspect, sentiment, score, score AS confidence FROM ({_ASPECT_SQL})")
+def q_t3_conf(spark, sf):
+    """The second aspect list of a scored text: its confidence is the score."""
+    d = Tables(spark, sf).documents.select("doc_id", F.lower("text").alias("low"))
+    d = TO.with_aspect_flags(d, "low", L.ASPECT_GROUPS, POS, NEG).select("doc_id", TO.aspects_from_flags().alias("a"))
+    ex = d.select("doc_id", F.explode_outer("a").alias("x")).where(F.col("x").isNotNull())
+    return ex.select("doc_id", "x.aspect", "x.sentiment", "x.score", F.col("x.score").alias("confidence"))
 
 
 # ---- T12 / K2 ----------------------------------------------------------------
@@ -257,6 +297,39 @@ def q_t12(spark, sf):
     return TO.prompt_table(V.interactions(Tables(spark, sf)), "customer_id", 10)
 
 
+ANALYSIS = "{context}Label this text: {text}"
+
+
+@query("t12_analysis_prompt", sql="""
+    SELECT doc_id, CASE WHEN coalesce(source, '') = '' THEN '' ELSE 'BUSINESS CONTEXT: This is a ' || source || '.' || chr(10) END
+           || 'Label this text: ' || coalesce(text, '') AS prompt FROM documents""")
+def q_t12_analysis(spark, sf):
+    d = Tables(spark, sf).documents
+    return d.select("doc_id", TO.fill_template(ANALYSIS, context=TO.context_line(F.col("source")), text=F.col("text")).alias("prompt"))
+
+
+PERSONA = "{name} ({customer_id}), {segment}, {tenure} months\n{interactions}"
+
+
+@query("t12_persona_prompt", sql=with_views("""
+    SELECT p.customer_id, coalesce(p.name, 'Unknown') || ' (' || CAST(p.customer_id AS VARCHAR) || '), ' || coalesce(p.segment, 'Unknown') || ', '
+           || CAST(coalesce(p.tenure_months, 0) AS VARCHAR) || ' months' || chr(10) || coalesce(i.t, '') AS prompt
+    FROM profiles p LEFT JOIN (
+      SELECT customer_id, string_agg(line, chr(10) ORDER BY date DESC, interaction_id DESC) AS t
+      FROM (SELECT customer_id, date, interaction_id,
+                   '  [' || strftime(date, '%Y-%m-%d') || '] (' || upper(type) || ') ' || summary AS line,
+                   row_number() OVER (PARTITION BY customer_id ORDER BY date DESC, interaction_id DESC) AS rn
+            FROM interactions) WHERE rn <= 10 GROUP BY customer_id) i USING (customer_id)""", "profiles", "interactions"))
+def q_t12_persona(spark, sf):
+    """Profile header fields, then the newest interactions (none: empty)."""
+    t = Tables(spark, sf)
+    p = V.profiles(t).join(TO.prompt_table(V.interactions(t), "customer_id", 10), "customer_id", "left")
+    return p.select("customer_id", TO.fill_template(
+        PERSONA, name=F.coalesce("name", F.lit("Unknown")), customer_id=F.col("customer_id"),
+        segment=F.coalesce("segment", F.lit("Unknown")), tenure=F.coalesce("tenure_months", F.lit(0)),
+        interactions=F.col("interactions_text")).alias("prompt"))
+
+
 @query("k2_recent_50", sql=with_views("""
     SELECT interaction_id, customer_id, type, date FROM interactions
     ORDER BY date DESC, interaction_id DESC LIMIT 50""", "interactions"))
@@ -317,6 +390,13 @@ def q_a4_aspects(spark, sf):
     return TO.aspect_stats(scored_docs(spark, sf), ["source"])
 
 
+@query("k7_aspects_by_mentions", sql=f"""
+    SELECT aspect, mentions, row_number() OVER (ORDER BY mentions DESC, aspect) AS position
+    FROM (SELECT aspect, COUNT(*) AS mentions FROM ({_ASPECT_SQL}) GROUP BY aspect)""")
+def q_k7(spark, sf):
+    return TO.by_mentions(TO.aspect_stats(scored_docs(spark, sf), [])).select("aspect", "mentions", "position")
+
+
 _EV_LBL, _ = sql_label("lower(summary)", EVENT_POS, EVENT_NEG)
 
 

@@ -93,3 +93,32 @@ def test_stats_zero_filled_and_mode(spark):
     asp = {r["aspect"]: r for r in TO.aspect_stats(scored, ["b"]).collect()}
     q = asp["product quality"]
     assert q["mentions"] == 2 and q["dominant_sentiment"] == "NEGATIVE"   # tie 1–1 → alphabetical
+
+
+def test_replies_and_named_scorer(spark):
+    from tessera.functions import scorers
+    scorers.register_scorer("loud", lambda c: F.struct(F.when(F.upper(c) == c, "POSITIVE").otherwise("NEGATIVE").alias("label"),
+                                                       F.lit(0.8).alias("confidence")))
+    df = spark.createDataFrame([
+        (1, "LOVE IT", '\n```json\n{"sentiment": "MIXED", "confidence": 0.4}\n```'), (2, "LOVE IT", "{}"),
+        (3, "LOVE IT", '{"sentiment": "GLAD"}'), (4, "awful", "[1]"), (5, "awful", '{"confidence": "high"}'), (6, None, None)],
+        "id long, t string, reply string")
+
+    def rows(scorer):
+        return {r["id"]: (r["label"], r["confidence"], r["scored_by"]) for r in TO.analyse_replies(df, "reply", "t", scorer=scorer).collect()}
+    got = rows(None)
+    assert got[1] == ("MIXED", 0.4, "model") and got[2] == ("NEUTRAL", 0.5, "model")
+    assert got[3] == ("POSITIVE", 0.75, "rules")
+    assert got[4][0] == got[5][0] == "NEGATIVE" and got[4][2] == got[5][2] == got[6][2] == "rules"
+    assert rows("loud")[4][:2] == ("NEGATIVE", 0.8)
+    assert rows("unheard of")[3][:2] == ("POSITIVE", 0.75)
+    scored = {r["id"]: r["label"] for r in TO.score_texts(df.where("id in (3, 4)"), "t", scorer="loud").collect()}
+    assert scored == {3: "POSITIVE", 4: "NEGATIVE"}
+
+
+def test_template_needs_known_names(spark):
+    import pytest
+    row = _one(spark, None, TO.fill_template("a {x}{y} b", x=F.col("t"), y=F.lit(2)))
+    assert row == "a 2 b"
+    with pytest.raises(KeyError):
+        TO.fill_template("{z}")
