@@ -10,10 +10,11 @@ overwrites its own output instead of appending twice.
 from __future__ import annotations
 
 import uuid
+from typing import Sequence
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from tessera.session import checkpoint_dir
+from tessera.session import checkpoint_dir, materialize
 
 EVENT_SCHEMA = T.StructType([
     T.StructField("event_id", T.LongType()), T.StructField("ts", T.TimestampNTZType()),
@@ -43,16 +44,13 @@ def event_time(df: DataFrame, col: str = "ts") -> DataFrame:
 def run_available(stream: DataFrame, out: str, ckpt: str, mode: str = "append") -> str:
     """Process everything available now and stop (``Trigger.AvailableNow``).
 
-    append  → each batch lands in ``out/batch_id=<id>`` (overwrite: replay-safe);
-    complete/update → the sink folder holds the latest full result.
+    append, update → each batch's new or changed rows land in
+    ``out/batch_id=<id>`` (overwrite: replay-safe; ``latest_updates`` reads
+    updated rows back); complete → ``out/complete`` holds the whole result,
+    written anew per batch.
     """
     def sink(batch: DataFrame, batch_id: int) -> None:
-        if mode == "append":
-            batch.write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
-        elif mode == "complete":
-            batch.write.mode("overwrite").parquet(f"{out}/complete")
-        else:
-            batch.write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
+        batch.write.mode("overwrite").parquet(f"{out}/complete" if mode == "complete" else f"{out}/batch_id={batch_id}")
 
     q = (stream.writeStream.outputMode(mode).foreachBatch(sink)
          .option("checkpointLocation", ckpt).trigger(availableNow=True).start())
@@ -60,11 +58,19 @@ def run_available(stream: DataFrame, out: str, ckpt: str, mode: str = "append")
     return f"{out}/complete" if mode == "complete" else out
 
 
+def latest_updates(spark: SparkSession, out: str, keys: Sequence[str]) -> DataFrame:
+    """What a stream in update mode holds: each key's row from its last batch."""
+    rows = spark.read.parquet(out)
+    rest = [c for c in rows.columns if c not in (*keys, "batch_id")]
+    last = rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch_id").alias("_r"))
+    return last.select(*keys, "_r.*")
+
+
 def ingest_stream(spark: SparkSession, folder: str, table: str, schema: T.StructType,
-                  out: str, ckpt: str) -> DataFrame:
+                  out: str, ckpt: str, max_files: int | None = None) -> DataFrame:
     """Every new file under ``folder`` is ingested exactly once (the
     checkpoint remembers processed files); returns the ingested table."""
-    run_available(table_stream(spark, folder, table, schema), out, ckpt, "append")
+    run_available(table_stream(spark, folder, table, schema, max_files), out, ckpt, "append")
     return spark.read.parquet(out).drop("batch_id")
 
 
@@ -94,13 +100,16 @@ def dedup_stream(stream: DataFrame, key: str, delay: str = "7 days") -> DataFram
 
 def session_stream(stream: DataFrame, key: str, ts: str, gap: str = "30 minutes",
                    delay: str = "1 hour") -> DataFrame:
-    """Per-key session windows (gap-based)."""
+    """Per-key session windows (gap-based). Append mode writes a session
+    once it is closed and drops its state (rows later than ``delay`` are lost);
+    complete mode also gives open ones and keeps all."""
     s = event_time(stream, ts).withWatermark(ts, delay)
     return s.groupBy(key, F.session_window(ts, gap)).agg(F.count(F.lit(1)).alias("n_events"))
 
 
 def counter_stream(stream: DataFrame, key: str) -> DataFrame:
-    """Running interaction count per key (state kept across batches)."""
+    """Running interaction count per key. The counts are the state: one
+    number per key, for good; run it in update mode, which writes changed keys."""
     return stream.groupBy(key).agg(F.count(F.lit(1)).alias("new_interactions"))
 
 
@@ -108,17 +117,20 @@ def drift_stream(spark: SparkSession, stream: DataFrame, baseline: DataFrame, co
                  ckpt: str) -> None:
     """Each micro-batch is compared with the stored baseline (PSI per
     feature, KS on the first feature) and the report is appended to the
-    audit sink, keyed by batch id (replay-safe)."""
+    audit sink, keyed by batch id (replay-safe). The baseline's columns are
+    stored once, the batch is kept for its several passes."""
     from tessera.operators import drift as D
+    stored = materialize(baseline.select(*cols))
 
     def check(batch: DataFrame, batch_id: int) -> None:
-        if batch.isEmpty():
-            return
-        rep = D.psi(baseline, batch, cols)
-        ks = D.ks_two_sample(baseline, batch, cols[0]).first()["ks"]   # one number
-        (rep.withColumn("ks", F.lit(ks)).withColumn("batch_id", F.lit(batch_id))
-            .withColumn("n_rows", F.lit(batch.count()))
-            .write.mode("overwrite").json(f"{audit}/batch_id={batch_id}"))
+        batch = batch.select(*cols).persist()
+        n = batch.count()
+        if n:
+            rep = D.psi(stored, batch, cols)
+            ks = D.ks_two_sample(stored, batch, cols[0]).select("ks").scalar()
+            (rep.withColumn("ks", ks).withColumn("batch_id", F.lit(batch_id)).withColumn("n_rows", F.lit(n))
+                .write.mode("overwrite").json(f"{audit}/batch_id={batch_id}"))
+        batch.unpersist()
 
     q = (stream.writeStream.foreachBatch(check).option("checkpointLocation", ckpt)
          .trigger(availableNow=True).start())

@@ -74,3 +74,40 @@ def test_stream_dedup(spark):
     out = spark.read.parquet(S.run_available(S.dedup_stream(st, "k", "1 hour"),
                                              f"{d}/out", f"{d}/ck", "append"))
     assert sorted(r.k for r in out.collect()) == ["a", "b"]
+
+
+def _in_files(spark, rows, schema, n):
+    """``rows`` in n files, in order; the stream takes one file per trigger."""
+    import time
+    d = tempfile.mkdtemp(prefix="tessera-test-", dir="/tmp")
+    step = -(-len(rows) // n)
+    for k in range(n):
+        spark.createDataFrame(rows[k * step:(k + 1) * step], schema).coalesce(1).write.mode("append").parquet(d)
+        time.sleep(0.02)   # files are taken in order of their time
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(d)
+
+
+def test_streams_over_several_batches(spark):
+    ev = spark.read.parquet(f"{SF}/events.parquet").orderBy("ts", "event_id")
+    stream = _in_files(spark, ev.collect(), ev.schema, 4)
+    path = S.run_available(S.counter_stream(stream, "user_id"), S.scratch(spark, "t-c"), S.scratch(spark, "t-c-ck"), "update")
+    assert spark.read.parquet(path).select("batch_id").distinct().count() >= 4
+    want = sorted((r[0], r[1]) for r in ev.groupBy("user_id").count().collect())
+    assert sorted((r[0], r[1]) for r in S.latest_updates(spark, path, ["user_id"]).collect()) == want
+
+    scored = stream.select("ts", F.lit("POSITIVE").alias("label"), F.lit(1.0).alias("score"))
+    path = S.run_available(S.trend_stream(scored, "label", "score"), S.scratch(spark, "t-t"), S.scratch(spark, "t-t-ck"), "update")
+    got = S.latest_updates(spark, path, ["window"]).select(F.to_date("window.start").alias("d"), "n").collect()
+    assert sorted((r.d, r.n) for r in got) == sorted((r[0], r[1]) for r in ev.groupBy(F.to_date("ts")).count().collect())
+
+
+def test_late_rows_inside_the_bound_stay_and_later_ones_go(spark):
+    import datetime as dt
+    day = lambda d, h=0: (dt.datetime(2024, 1, d, h), "POSITIVE", 1.0)
+    # one row per file: a day, two days on, a row 20 hours late, on twice (Spark judges
+    # late rows by the bound before the last batch), a row five days late
+    rows = [day(1, 12), day(3, 1), day(2, 5), day(9), day(9, 1), day(3, 2)]
+    stream = _in_files(spark, rows, "ts timestamp_ntz, label string, score double", 6)
+    path = S.run_available(S.trend_stream(stream, "label", "score", "1 day"), S.scratch(spark, "t-l"), S.scratch(spark, "t-l-ck"), "update")
+    got = {r.d.day: r.n for r in S.latest_updates(spark, path, ["window"]).select(F.to_date("window.start").alias("d"), "n").collect()}
+    assert got == {1: 1, 3: 1, 2: 1, 9: 2}
