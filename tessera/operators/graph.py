@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from typing import Sequence
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tessera.functions import lexicons as L
@@ -88,8 +89,9 @@ def co_purchase(baskets: DataFrame, basket: str, item: str, min_support: int = 2
     confidence(a→b) = support(a,b) / support(a);
     lift = support(a,b) · N / (support(a) · support(b)), N = baskets.
     """
-    # used four times (support, sizes, both sides of the pairs): joined once
-    bi = materialize(baskets.select(F.col(basket).alias("bk"), F.col(item).alias("it")).distinct())
+    # used four times (support, sizes, both sides of the pairs): joined once and
+    # kept; blocks of a lost executor are worked out again from the tables
+    bi = baskets.select(F.col(basket).alias("bk"), F.col(item).alias("it")).distinct().persist(StorageLevel.MEMORY_AND_DISK)
     item_sup = bi.groupBy("it").agg(F.count(F.lit(1)).alias("s"))
     n = bi.agg(F.count_distinct("bk")).scalar()
     pairs = basket_pairs(bi, "bk", "it", min_support, block, deduped=True, item_support=item_sup)

@@ -111,3 +111,21 @@ def test_decode_labels(spark):
     a, b = got[0]["d"], got[1]["d"]
     assert (a["sentiment"], a["urgency"], a["aspects"][0]["aspect"]) == ("NEGATIVE", "CRITICAL", "packaging")
     assert (b["sentiment"], round(b["confidence"], 3), b["aspects"][0]["aspect"]) == ("NEUTRAL", 0.7, "overall experience")
+
+
+def test_score_batches_runs_per_arrow_batch(spark):
+    df = spark.range(10).withColumnRenamed("id", "k")
+    got = MD.score_batches(df, lambda pdf: pdf.assign(p=pdf["k"] * 0.5), "k long, p double").collect()
+    assert sorted((r.k, r.p) for r in got) == [(i, i * 0.5) for i in range(10)]
+
+
+def test_text_model_probabilities_match_the_formula(spark):
+    rows = [(1, "red red box", ["a"]), (2, "blue box", []), (3, "red lid", ["a"]), (4, "blue lid", [])]
+    df = spark.createDataFrame(rows, "k long, t string, labels array<string>")
+    cv, models = MD.fit_multilabel(df, "t", ["a"], vocab=10)
+    m = models["a"]
+    for r in MD.predict_multilabel(cv, models, df, "t", "k").collect():
+        toks = dict((k, t) for k, t, _ in rows)[r.k].split()
+        z = m.intercept + sum(m.coefficients[cv.vocabulary.index(w)] for w in toks)
+        assert abs(r.probs["a"] - 1 / (1 + np.exp(-z))) < 1e-9
+    assert r.probs.keys() == {"a"}
