@@ -2,18 +2,20 @@
 
 Terms are words and word beginnings of 4, 5 and 6 bytes (inflected forms share
 them). Fitting takes a bounded sample of labelled rows (``toxic_rows`` and
-``clean_rows``, in the order of a hash of the id), keeps the terms that stand
-out in the toxic ones (z-score over ``min_z``, ``terms`` at most), and stores
-the examples' TF-IDF vectors in an inverted index of blocks with, for each
-term, the block's largest weight. A text's nearest examples by exact cosine are
-found block by block in the order of the upper bounds (the text's weights times
-the block maxima) until no bound exceeds the k-th similarity found. Votes are
+``clean_rows``, in the order of a hash of the id) and stores the examples' whole
+TF-IDF vectors in an inverted index. Every term takes part; its weight grows
+with its leaning to either label (``evidence_weight``), which holds for few and
+many rows alike. Rare terms have postings of (example, weight); the postings of
+common terms stand in blocks of examples with, for each term, the block's
+largest weight. A text's nearest examples by exact cosine are found in the
+blocks whose upper bound (the rare terms' sum, the text's weights times the block
+maxima) exceeds the k-th similarity of the block of the largest bound. Votes are
 weighted by similarity and by the sampling rate of the label, and calibrated
 by a monotone fit (pool adjacent violators) on the examples' own
 leave-one-out votes.
 
-All texts are scored, whole. The index is a few MB (bounded by the sample), so
-it is broadcast; scoring is narrow.
+All texts are scored, whole. The index grows with the sample's texts, not with
+the table, so it is broadcast; scoring is narrow.
 
 Defined cases: a text without any known term (empty and null ones too) gets
 the smoothed rate of such texts among the examples; with no examples at all
@@ -37,6 +39,7 @@ from tessera.llm.common import held_out, staged
 PREFIXES = (4, 5, 6)
 THRESHOLD = 0.3
 BLOCK = 64
+COMMON, DENSE = 50, 1024
 NEIGHBOURS = 16
 
 
@@ -55,63 +58,153 @@ def term_hashes(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return np.concatenate(out_h), np.concatenate(out_r)
 
 
-def vectors(data: np.ndarray, off: np.ndarray, vocab: np.ndarray, idf: np.ndarray) -> np.ndarray:
-    """Unit TF-IDF vectors over ``vocab`` (zero where a text has no term)."""
-    n = len(off) - 1
-    out = np.zeros((n, len(vocab)), np.float32)
-    if not len(vocab):
-        return out
-    maybe = np.zeros(1 << 16, bool)
-    maybe[(vocab & np.uint64(0xFFFF)).astype(np.int64)] = True
+class Rows:
+    """Sparse rows: row i has the terms ``term[ptr[i]:ptr[i + 1]]`` (ascending)
+    with the weights ``val``."""
+
+    def __init__(self, ptr: np.ndarray, term: np.ndarray, val: np.ndarray, width: int):
+        self.ptr, self.term, self.val, self.width = ptr, term, val, width
+
+    def __len__(self) -> int:
+        return len(self.ptr) - 1
+
+    @classmethod
+    def of(cls, x: Rows | np.ndarray) -> Rows:
+        if isinstance(x, Rows):
+            return x
+        row, term = np.nonzero(x)
+        return cls(np.searchsorted(row, np.arange(len(x) + 1)), term, x[row, term].astype(np.float32), x.shape[1])
+
+    def row(self) -> np.ndarray:
+        return np.repeat(np.arange(len(self)), np.diff(self.ptr))
+
+    def take(self, rows: np.ndarray) -> Rows:
+        n = np.diff(self.ptr)[rows]
+        at = B.ranges(self.ptr[rows], n)
+        return Rows(np.concatenate([[0], np.cumsum(n)]), self.term[at], self.val[at], self.width)
+
+
+def term_rows(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row offsets, distinct terms (48 bits of the hash, ascending in each row)
+    and their counts."""
     h, row = term_hashes(data, off)
-    c = maybe[(h & np.uint64(0xFFFF)).astype(np.int64)]
-    h, row = h[c], row[c]
+    h >>= np.uint64(16)
+    if len(off) <= 1 << 16:                       # row and term in one number
+        h |= row.astype(np.uint64) << np.uint64(48)
+        h.sort()
+        row = (h >> np.uint64(48)).astype(np.int64)
+        h &= np.uint64((1 << 48) - 1)
+    else:
+        order = np.lexsort((h, row))
+        h, row = h[order], row[order]
+    first = np.ones(len(h), bool)
+    first[1:] = (h[1:] != h[:-1]) | (row[1:] != row[:-1])
+    at = np.flatnonzero(first)
+    return np.searchsorted(row[at], np.arange(len(off))), h[at], np.diff(np.append(at, len(h)))
+
+
+def weighted(ptr: np.ndarray, h: np.ndarray, n: np.ndarray, vocab: np.ndarray, weight: np.ndarray) -> Rows:
+    """Unit vectors over ``vocab`` (no term where a text has none of it)."""
+    if not len(vocab):
+        return Rows(np.zeros(len(ptr), np.int64), np.zeros(0, np.int32), np.zeros(0, np.float32), 0)
     t = np.minimum(np.searchsorted(vocab, h), len(vocab) - 1)
-    ok = vocab[t] == h
-    np.add.at(out, (row[ok], t[ok]), 1)
-    np.log1p(out, out=out)
-    out *= idf.astype(np.float32)
-    norm = np.linalg.norm(out, axis=1, keepdims=True)
-    return out / np.where(norm > 0, norm, 1)
+    ok = np.flatnonzero(vocab[t] == h)
+    t, cut = t[ok].astype(np.int32), np.searchsorted(ok, ptr)
+    val = np.log1p(n[ok]) * weight[t]
+    row = np.repeat(np.arange(len(ptr) - 1), np.diff(cut))
+    norm = np.sqrt(np.bincount(row, val * val, len(ptr) - 1))
+    return Rows(cut, t, (val / norm[row]).astype(np.float32), len(vocab))
 
 
 class BlockMaxIndex:
-    """Examples in blocks, with the largest weight of each term per block."""
+    """Inverted index of the examples: postings (example, weight) of every
+    term. Terms in more than ``1 / COMMON`` of the examples, ``DENSE`` at most,
+    have their postings laid out by block, with their largest weight per block."""
 
-    def __init__(self, x: np.ndarray):
+    def __init__(self, x: Rows | np.ndarray):
         """Rows with like weights stand together, which keeps the bounds tight."""
-        top = np.argsort(-x, axis=1, kind="stable")[:, :3]
-        self.order = np.lexsort(top.T[::-1]) if top.size else np.arange(len(x))
-        self.x = x[self.order]
-        self.cuts = list(range(0, len(x), BLOCK))
-        self.maxima = np.array([self.x[a:a + BLOCK].max(0) for a in self.cuts], np.float32).reshape(len(self.cuts), x.shape[1])
-
-    def nearest(self, q: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        x = Rows.of(x)
+        n = len(x)
+        top = np.full((n, 3), -1, np.int64)
+        for i, (a, b) in enumerate(zip(x.ptr, x.ptr[1:])):
+            some = x.term[a:b][np.argsort(-x.val[a:b], kind="stable")[:3]]
+            top[i, :len(some)] = some
+        self.order = np.lexsort(top.T[::-1])
+        self.n, self.cuts = n, np.arange(0, n, BLOCK)
+        df = np.zeros(x.width, np.int64)
+        for a in range(0, n, 512):               # small pieces: the driver holds one copy of the examples
+            df += np.bincount(x.term[x.ptr[a]:x.ptr[min(a + 512, n)]], minlength=x.width)
+        often = np.lexsort((np.arange(x.width), -df))[:DENSE]
+        often = np.sort(often[df[often] * COMMON > n])
+        self.column = np.full(x.width, -1, np.int32)
+        self.column[often] = np.arange(len(often))
+        self.start = np.concatenate([[0], np.cumsum(np.where(self.column < 0, df, 0))])
+        self.x = np.zeros((n, len(often)), np.float32)
+        self.who, self.weight = np.empty(self.start[-1], np.int32), np.empty(self.start[-1], np.float32)
+        free = self.start[:-1].copy()
+        for a in range(0, n, 512):
+            part = x.take(self.order[a:a + 512])
+            row, col = part.row() + a, self.column[part.term]
+            at = col >= 0
+            self.x[row[at], col[at]] = part.val[at]
+            rest = np.flatnonzero(~at)
+            rest = rest[np.argsort(part.term[rest], kind="stable")]
+            t, first, some = np.unique(part.term[rest], return_index=True, return_counts=True)
+            to = np.repeat(free[t] - first, some) + np.arange(len(rest))
+            self.who[to], self.weight[to] = row[rest], part.val[rest]
+            free[t] += some
+        self.maxima = np.maximum.reduceat(self.x, self.cuts) if n else self.x
+
+    def nearest(self, q: Rows | np.ndarray, k: int, rows_each: int = 128) -> tuple[np.ndarray, np.ndarray]:
         """The k largest cosines of each query and their rows (-1: fewer)."""
-        n = len(q)
-        sim, who = np.full((n, k), -1.0), np.full((n, k), -1, np.int64)
-        if not len(self.cuts) or not n:
-            return sim, who
-        bound = np.round((q @ self.maxima.T).astype(np.float64) + 5e-6, 5)
-        by = np.argsort(-bound, axis=1, kind="stable")
-        live = np.arange(n)
-        for r in range(len(self.cuts)):
-            b = by[live, r]
-            go = bound[live, b] > np.maximum(sim[live, -1], 5e-6)     # else no later block can help either
-            live, b = live[go], b[go]
-            if not len(live):
-                break
-            for block in np.unique(b):
-                rows = live[b == block]
-                a = self.cuts[block]
-                s = np.round((q[rows] @ self.x[a:a + BLOCK].T).astype(np.float64), 5)
-                all_s = np.concatenate([sim[rows], s], 1)
-                all_w = np.concatenate([who[rows], np.broadcast_to(np.arange(a, a + s.shape[1]), s.shape)], 1)
-                best = np.argsort(-all_s, axis=1, kind="stable")[:, :k]
-                sim[rows] = np.take_along_axis(all_s, best, 1)
-                who[rows] = np.take_along_axis(all_w, best, 1)
+        q = Rows.of(q)
+        sim, who = np.zeros((len(q), k)), np.full((len(q), k), -1, np.int64)
+        if self.n:
+            for a in range(0, len(q), rows_each):
+                b = min(a + rows_each, len(q))
+                sim[a:b], who[a:b] = self._nearest(q.take(np.arange(a, b)), k)
+        return sim, who
+
+    def _nearest(self, q: Rows, k: int) -> tuple[np.ndarray, np.ndarray]:
+        m, row, col = len(q), q.row(), self.column[q.term]
+        common = np.zeros((m, self.x.shape[1]), np.float32)
+        common[row[col >= 0], col[col >= 0]] = q.val[col >= 0]
+        s = np.empty((m, self.n), np.float32)
+        for i in range(m):                       # one query's postings stay in the cache
+            t, v = (z[q.ptr[i]:q.ptr[i + 1]][col[q.ptr[i]:q.ptr[i + 1]] < 0] for z in (q.term, q.val))
+            n = self.start[t + 1] - self.start[t]
+            at = B.ranges(self.start[t], n)
+            s[i] = np.bincount(self.who[at], self.weight[at] * np.repeat(v, n), self.n)
+        # the postings by block: the best block of each query first, then all
+        # whose bound exceeds the k-th similarity found there
+        bound = common @ self.maxima.T + np.maximum.reduceat(s, self.cuts, axis=1) + 2e-5
+        done = np.zeros(bound.shape, bool)
+        done[np.arange(m), bound.argmax(1)] = True
+        self._add(s, common, done)
+        least = np.zeros(m)
+        if k <= min(BLOCK, self.n):
+            place = self.cuts[bound.argmax(1)][:, None] + np.arange(BLOCK)
+            inside = np.where(place < self.n, s[np.arange(m)[:, None], np.minimum(place, self.n - 1)], 0)
+            least = np.partition(inside, -k, axis=1)[:, -k]
+        more = ~done & (bound > np.maximum(least, 5e-6)[:, None])
+        self._add(s, common, more)
+        s[~np.repeat(done | more, BLOCK, axis=1)[:, :self.n]] = 0
+        key = np.rint(s * np.float32(1e5)).astype(np.int64) * self.n + np.arange(self.n - 1, -1, -1)    # equal ones in index order
+        if k < self.n:
+            key = np.partition(key, -k, axis=1)[:, -k:]
+        key = np.sort(key, axis=1)[:, ::-1]
+        sim, who = np.zeros((m, k)), np.full((m, k), -1, np.int64)
+        sim[:, :key.shape[1]] = key // self.n / 1e5
+        who[:, :key.shape[1]] = self.order[self.n - 1 - key % self.n]
         who[sim <= 0] = -1
-        return np.maximum(sim, 0), np.where(who >= 0, self.order[who], -1)
+        return sim, who
+
+    def _add(self, s: np.ndarray, common: np.ndarray, where: np.ndarray) -> None:
+        for block in np.flatnonzero(where.any(0)):
+            rows, a = np.flatnonzero(where[:, block]), self.cuts[block]
+            whole = 2 * len(rows) > len(common)       # then a product with all rows is cheaper than a copy of most
+            got = (common if whole else common[rows]) @ self.x[a:a + BLOCK].T
+            s[rows, a:a + BLOCK] += got[rows] if whole else got
 
 
 def _votes(sim: np.ndarray, who: np.ndarray, y: np.ndarray, w: np.ndarray) -> np.ndarray:
@@ -139,16 +232,17 @@ def monotone(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, n
 class Model:
     """Vocabulary, index and calibration; scores batches of texts."""
 
-    def __init__(self, vocab, idf, x, y, ids, weight, k: int = NEIGHBOURS):
-        self.vocab, self.idf, self.k = vocab, idf, k
-        known = np.flatnonzero(x.any(1)) if len(x) else np.zeros(0, np.int64)
-        none = np.setdiff1d(np.arange(len(x)), known)
+    def __init__(self, vocab, term_weight, x: Rows, y, ids, weight, k: int = NEIGHBOURS):
+        self.vocab, self.term_weight, self.k = vocab, term_weight, k
+        some = np.diff(x.ptr) > 0
+        known, none = np.flatnonzero(some), np.flatnonzero(~some)
         self.none = float((weight[none] * y[none]).sum() / (weight[none].sum() + 1)) if len(x) else 0.0
         self.y, self.w, self.ids = y[known].astype(float), weight[known], [ids[i] for i in known]
-        self.index = BlockMaxIndex(x[known])
+        x = x if some.all() else x.take(known)
+        self.index = BlockMaxIndex(x)
         self.knots = None
         if len(known):
-            sim, who = self.index.nearest(x[known], k + 1)
+            sim, who = self.index.nearest(x, k + 1)
             own = who == np.arange(len(known))[:, None]       # leave one out: itself, else the last
             own[~own.any(1), -1] = True
             sim, who = (a[~own].reshape(-1, k) for a in (sim, who))
@@ -157,26 +251,38 @@ class Model:
 
     def score(self, data: np.ndarray, off: np.ndarray):
         """Score of each text, and its nearest examples (similarity, row)."""
-        q = vectors(data, off, self.vocab, self.idf)
+        ptr, h, n = term_rows(data, off)
+        q = weighted(ptr, h, n, self.vocab, self.term_weight)
         score = np.full(len(q), self.none)
         sim, who = np.zeros((len(q), self.k)), np.full((len(q), self.k), -1, np.int64)
-        some = np.flatnonzero(q.any(1))
+        some = np.flatnonzero(np.diff(q.ptr) > 0)
         if len(some) and self.knots is not None:
-            u, back = np.unique(np.round(q[some], 6), axis=0, return_inverse=True)
-            s, w = self.index.nearest(u, self.k)
+            # equal rows once, by the sum of their (term, weight) hashes
+            pair = B.mix(q.term.astype(np.uint64) << np.uint64(32) | q.val.view(np.uint32))
+            ends = np.concatenate([np.zeros(1, np.uint64), np.cumsum(pair)])
+            digest = ends[q.ptr[some + 1]] - ends[q.ptr[some]]
+            _, one, back = np.unique(digest, return_index=True, return_inverse=True)
+            s, w = self.index.nearest(q.take(some[one]), self.k)
             v = np.round(_votes(s, w, self.y, self.w), 9)
             got = np.interp(v, *self.knots)
-            back = back.ravel()
             score[some], sim[some], who[some] = got[back], s[back], w[back]
         return np.clip(score, 0, 1), sim, who
 
 
+def evidence_weight(pos: np.ndarray, neg: np.ndarray, q: float) -> np.ndarray:
+    """1 + z^2 of each term, z being its leaning to either label in standard
+    deviations, with one row less of the label it leans to (no row vouches for
+    itself). No term is left out, whatever the number of rows."""
+    n = pos + neg
+    z = np.maximum(np.abs(pos - n * q) - 1, 0) / np.sqrt(np.maximum(n * q * (1 - q), 1e-12))
+    return 1 + z * z
+
+
 def fit(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: str = "doc_id", label_col: str = "toxic",
-        toxic_rows: int = 3000, clean_rows: int = 6000, terms: int = 512, min_z: float = 6.0,
-        min_rows: int = 5) -> Model:
+        toxic_rows: int = 3000, clean_rows: int = 6000, min_z: float = 0.0, min_rows: int = 1) -> Model:
     """Model from a bounded sample of ``labels`` (rows with crc32(id) mod 4 = 2
     never take part). Sampling touches ids only; the sample's texts are staged
-    once, terms are counted by Spark."""
+    once, terms are counted by Spark. ``min_z`` and ``min_rows`` leave no term out unless they are set."""
     lab = labels.where(F.col(label_col).isin(0, 1) & ~held_out(id_col, 4, 2)).select(
         F.col(id_col).alias("__id"), F.col(label_col).cast("int").alias("__y"))
     size = {r["__y"]: r["n"] for r in lab.groupBy("__y").agg(F.count("*").alias("n")).collect()}
@@ -190,14 +296,9 @@ def fit(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: str
             y = b.column(0).to_numpy()
             data, off = B.flat(b.column(1))
             for i, j in B.pieces(off):
-                h, row = term_hashes(data[off[i]:off[j]], off[i:j + 1] - off[i])
-                order = np.lexsort((row, h))
-                h, row = h[order], row[order]
-                first = np.ones(len(h), bool)
-                first[1:] = (h[1:] != h[:-1]) | (row[1:] != row[:-1])
-                h, row = h[first], row[first]
+                ptr, h, _ = term_rows(data[off[i]:off[j]], off[i:j + 1] - off[i])
                 t, at = np.unique(h, return_inverse=True)
-                pos = np.bincount(at, y[i:j][row], len(t)).astype(np.int64)
+                pos = np.bincount(at, np.repeat(y[i:j], np.diff(ptr)), len(t)).astype(np.int64)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(t.view(np.int64)), pa.array(pos), pa.array(np.bincount(at, minlength=len(t)) - pos)],
                     ["term", "pos", "neg"])
@@ -206,39 +307,40 @@ def fit(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: str
     npos, nneg = totals.get(1, 0), totals.get(0, 0)
     wpos, wneg = size.get(1, 0) / max(npos, 1), size.get(0, 0) / max(nneg, 1)
     q = npos / max(npos + nneg, 1)
-    n = F.col("pos") + F.col("neg")
-    vocab_rows = [] if not npos or not nneg else (
-        rows.select("__y", "__text").mapInArrow(count, "term long, pos long, neg long")
-        .groupBy("term").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")).where(F.col("pos") >= min_rows)
-        .withColumn("z", (F.col("pos") - n * q) / F.sqrt(n * q * (1 - q))).where(F.col("z") >= min_z)
-        .orderBy(F.desc("z"), "term").limit(terms).collect())             # ``terms`` rows at most
-    found = sorted((np.uint64(r["term"] & (2**64 - 1)), r["pos"] * wpos + r["neg"] * wneg) for r in vocab_rows)
-    vocab = np.array([t for t, _ in found], np.uint64)
-    idf = np.log((1 + size.get(1, 0) + size.get(0, 0)) / (1 + np.array([d for _, d in found], float)))
-    idf = np.maximum(idf, 0.1)
-    shared = docs.sparkSession.sparkContext.broadcast((vocab, idf))
+    vocab, pos, neg = np.zeros(0, np.uint64), np.zeros(0), np.zeros(0)
+    if npos and nneg:                       # one row per term of the bounded sample
+        found = (rows.select("__y", "__text").mapInArrow(count, "term long, pos long, neg long").groupBy("term")
+                 .agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")).where(F.col("pos") + F.col("neg") >= min_rows).toArrow())
+        vocab, pos, neg = (found.column(c).to_numpy() for c in ("term", "pos", "neg"))
+        order = np.argsort(vocab)
+        vocab, pos, neg = vocab[order].view(np.uint64), pos[order], neg[order]
+    strong = evidence_weight(pos, neg, q)
+    some = strong >= 1 + min_z ** 2
+    vocab, strong, pos, neg = vocab[some], strong[some], pos[some], neg[some]
+    idf = np.log((1 + size.get(1, 0) + size.get(0, 0)) / (1 + pos * wpos + neg * wneg))
+    term_weight = np.maximum(idf, 0.1) * strong
+    shared = docs.sparkSession.sparkContext.broadcast((vocab, term_weight))
 
     def vectorise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v, w = shared.value
         for b in batches:
             data, off = B.flat(b.column(2))
             for i, j in B.pieces(off):
-                x = vectors(data[off[i]:off[j]], off[i:j + 1] - off[i], v, w)
-                at = [np.flatnonzero(r) for r in x]
+                x = weighted(*term_rows(data[off[i]:off[j]], off[i:j + 1] - off[i]), *shared.value)
                 yield pa.RecordBatch.from_arrays(
                     [b.column(0).cast(pa.string()).slice(i, j - i), b.column(1).slice(i, j - i),
-                     pa.array([a.tolist() for a in at], pa.list_(pa.int32())),
-                     pa.array([r[a].tolist() for r, a in zip(x, at)], pa.list_(pa.float32()))], ["id", "y", "t", "w"])
-
-    # sparse vectors of the bounded sample
-    got = sorted(rows.select(F.col("__id").cast("string"), "__y", "__text")
-                 .mapInArrow(vectorise, "id string, y int, t array<int>, w array<float>").collect(),
-                 key=lambda r: (r["id"] or "", r["y"], r["t"]))
-    x = np.zeros((len(got), len(vocab)), np.float32)
-    for i, r in enumerate(got):
-        x[i, r["t"]] = r["w"]
-    y = np.array([r["y"] for r in got], float)
-    return Model(vocab, idf, x, y, [r["id"] for r in got], np.where(y > 0, wpos, wneg))
+                     *(pa.array([v[s:e].tobytes() for s, e in zip(x.ptr, x.ptr[1:])], pa.binary()) for v in (x.term, x.val))],
+                    ["id", "y", "t", "w"])
+
+    # sparse vectors of the bounded sample, a partition at a time
+    got = staged(rows.select(F.col("__id").cast("string"), "__y", "__text")
+                 .mapInArrow(vectorise, "id string, y int, t binary, w binary"), "vectors")
+    shared.destroy()
+    got = sorted(got.toLocalIterator(), key=lambda r: (r["id"] or "", r["y"], r["t"]))
+    y, ids = np.array([r["y"] for r in got], float), [r["id"] for r in got]
+    ptr = np.concatenate([[0], np.cumsum([len(r["t"]) // 4 for r in got])]).astype(np.int64)
+    t, w = (np.frombuffer(b"".join(r[c] for r in got), d) for c, d in (("t", np.int32), ("w", np.float32)))
+    del got
+    return Model(vocab, term_weight, Rows(ptr, t, w, len(vocab)), y, ids, np.where(y > 0, wpos, wneg))
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",),

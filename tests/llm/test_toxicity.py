@@ -1,7 +1,10 @@
 import numpy as np
+import pyarrow as pa
 
 from tests.llm.conftest import SF
 from pyspark.sql import functions as F
+from corpus_pipeline import drop_toxic
+from tessera.llm import bytescan as B
 from tessera.llm import toxicity
 from tessera.llm.common import held_out, table
 
@@ -42,3 +45,33 @@ def test_odd_rows(spark, odd, nothing):
     empty = toxicity.fit(nothing, labels)
     assert {r.score for r in toxicity.score(odd, empty).collect()} == {0.0}
     assert toxicity.score(nothing, model).count() == 0
+
+
+def test_index_of_common_and_rare_terms_is_exact():
+    rng = np.random.default_rng(3)
+    p = np.concatenate([np.full(30, 0.3), np.full(1500, 0.004)])        # rare ones in two of 500 examples
+    x, q = (np.where(rng.random((n, 1530)) < p, rng.random((n, 1530)), 0).astype(np.float32) for n in (500, 90))
+    x, q = (a / np.maximum(np.linalg.norm(a, axis=1, keepdims=True), 1e-9) for a in (x, q))
+    index = toxicity.BlockMaxIndex(x)
+    assert 0 < index.x.shape[1] < 100 and len(index.who)
+    sim, who = index.nearest(q, 16)
+    want = np.sort((q @ x.T).astype(float), axis=1)[:, ::-1][:, :16]
+    assert np.allclose(sim, want, atol=2e-5) and np.allclose((q[:, None] * x[who]).sum(2), sim, atol=2e-5)
+
+
+def test_every_term_is_in_the_vectors(spark):
+    docs = spark.createDataFrame([(i, f"plain{i % 7} river{i} hill") for i in range(40)] + [(50, "an awful word")], "doc_id long, text string")
+    model = toxicity.fit(docs, spark.createDataFrame([(i, 0) for i in range(40)] + [(50, 1)], "doc_id long, toxic int"))
+    ids = {int(i): k for k, i in enumerate(model.ids)}
+    words = [f"river{i}" for i in ids if i < 40] + ["hill", "awful"] * (50 in ids)
+    ptr, _, n = toxicity.term_rows(*B.flat(pa.array(words)))
+    rows = toxicity.weighted(*toxicity.term_rows(*B.flat(pa.array(words))), model.vocab, model.term_weight)
+    assert (np.diff(rows.ptr) == np.diff(ptr)).all() and (rows.val > 0).all() and len(words) > 25
+
+
+def test_stage_drops_toxic_rows_of_a_small_table(spark):
+    docs, labels = table(spark, SF, "documents"), table(spark, SF, "labels")
+    kept = {r.doc_id for r in drop_toxic(spark, docs, SF).select("doc_id").collect()}
+    lab = {r.doc_id: r.toxic for r in labels.collect()}
+    gone = [lab[r.doc_id] for r in docs.select("doc_id").collect() if r.doc_id not in kept and r.doc_id in lab]
+    assert sum(gone) >= 6 and sum(gone) >= 0.6 * len(gone)
