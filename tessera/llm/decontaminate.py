@@ -168,7 +168,7 @@ def search_index(index: DataFrame, tests: TestSet, keep: tuple[str, ...], near:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         q: TestSet = shared.value
-        gap = q.window
+        gap = max(q.window, near or 0) + 1      # no match reaches into the next document
         for b in batches:
             words = b.column(nk - 1).to_numpy(zero_copy_only=False)
             size = np.concatenate([[0], np.cumsum(words)])

@@ -66,6 +66,48 @@ def test_proximity(spark):
     assert near[1] == ([], ["1"]) and near[3] == (["1"], ["1"]) and near[4] == ([], [])
 
 
+def brute_near(docs, items, near=20):
+    """Items with the three rarest terms of a window (all present in the
+    corpus) within reach of the rarest one, in one document."""
+    all_words = [words(t) for _, t in docs]
+    count = {}
+    for w in all_words:
+        for x in w:
+            count[x] = count.get(x, 0) + 1
+    wins = {}
+    for i, t in items:
+        w = words(t)
+        for s in range(max(1, len(w) - 9) if w else 0):
+            wins.setdefault(tuple(w[s:s + 10]), set()).add(str(i) if i is not None else "null")
+    out = []
+    for (d, _), w in zip(docs, all_words):
+        at, got = {}, set()
+        for p, x in enumerate(w):
+            at.setdefault(x, []).append(p)
+        for win, who in wins.items():
+            rare = [x for _, _, x in sorted((count.get(x, 0), o, x) for o, x in enumerate(win))][:3]
+            if all(count.get(x, 0) for x in win) and any(
+                    all(any(abs(p - r) <= near for p in at.get(x, [])) for x in rare[1:]) for r in at.get(rare[0], [])):
+                got |= who
+        out.append((str(d), sorted(got)))
+    return sorted(out)
+
+
+def test_proximity_ends_with_the_document(spark):
+    items = [(1, "one two three four five six seven eight nine ten"), (2, "red blue green")]
+    docs = [(1, "x y z one"), (2, "two three x x x"), (3, "four five six seven eight nine ten x red"), (4, "blue green"), (5, "green x red x blue")]
+    frames = (spark.createDataFrame(docs, "doc_id long, text string").coalesce(1), spark.createDataFrame(items, "item_id long, text string"))
+    got = sorted((str(r.doc_id), sorted(r.near_items)) for r in decontaminate.find_matches(*frames).collect())
+    assert got == brute_near(docs, items) == [("1", []), ("2", []), ("3", []), ("4", []), ("5", ["2"])]
+
+
+def test_proximity_against_brute_force(spark):
+    docs, items = data()
+    got = decontaminate.find_matches(spark.createDataFrame(docs, "doc_id long, text string").coalesce(1),
+                                     spark.createDataFrame(items, "item_id long, text string"))
+    assert sorted((str(r.doc_id), sorted(r.near_items)) for r in got.collect()) == brute_near(docs, items)
+
+
 def test_odd_rows(spark, odd, nothing):
     bench = spark.createDataFrame([(1, "a b c")], "item_id long, text string")
     got = {r.doc_id: r.n_hit for r in decontaminate.report(decontaminate.find_matches(odd, bench)).collect()}
