@@ -26,7 +26,25 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark).rstrip('/')}/llm-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._staged_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Remove staged tables from the shared folder. Only for tables whose
+    readers have themselves been staged: nothing may be computed from them
+    again, not even to replace a lost executor's work."""
+    for df in tables:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._staged_path)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def in_ranges(df: DataFrame, cols: list[str], name: str) -> DataFrame:
+    """``df`` staged with ``_b``, the number of a row's range in the order of
+    ``cols``. Spark samples the bounds, so that ranges have about as many rows
+    each, however many rows one group has."""
+    return staged(df.repartitionByRange(*cols).withColumn("_b", F.spark_partition_id()), name)
 
 
 def text_or_empty(text: str = "text") -> Column:

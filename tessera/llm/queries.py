@@ -10,8 +10,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import (bpe, decontaminate, jaccard_join, langid, license_scan, pii, quality, repeats, sharding,
-                         toxicity)
+from tessera.llm import (bpe, decontaminate, jaccard_join, langid, license_scan, pii, prefix_trie, quality, repeats,
+                         sharding, toxicity)
 from tessera.llm.common import held_out, table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -83,6 +83,14 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.col("shard").cast("int"), "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every node of the trie of rebuilt conversations."""
+    nodes, ends = prefix_trie.trie(table(spark, sf_dir, "conversations"))
+    got = nodes.join(prefix_trie.ends_digest(ends), ["d", "key1", "key2"], "left")
+    return got.select("conv_id", F.col("d").cast("long").alias("depth"), "parent_conv_id", "n_convs", "n_children", "n_leaves",
+                      "saved_tokens", F.coalesce("ends_sha256", F.sha2(F.lit(b""), 256)).alias("ends_sha256"))
+
+
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = rf"regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
@@ -171,7 +179,32 @@ FROM e {joins}
 """
 
 
+OP13_SQL = """
+WITH tab AS (SELECT list(list_reduce(list_prepend(i, [0, 0, 0, 0, 0, 0, 0, 0]),
+    lambda a, x: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END) ORDER BY i) AS v FROM range(256) t(i)),
+ids AS (SELECT DISTINCT conv_id AS c FROM conversations WHERE conv_id IS NOT NULL),
+h AS (SELECT c, xor(list_reduce(list_prepend(4294967295, [CAST(unicode(x) AS BIGINT) FOR x IN string_split(CAST(c AS VARCHAR), '')]),
+      lambda a, x: xor(a >> 8, v[(xor(a, x) & 255) + 1])), 4294967295) % 6 AS h FROM ids, tab),
+seq AS (SELECT conv_id AS c, list({'r': coalesce(role, ''), 't': coalesce(text, '')}
+        ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS s FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
+full_ AS (SELECT h.c, list_concat(coalesce(b.s, [])[1:h], seq.s[h + 1:]) AS s
+          FROM h JOIN seq USING (c) LEFT JOIN seq b ON b.c = h.c - h.c % 100),
+pre AS (SELECT c, len(s) AS n, d, s[1:d] AS k FROM (SELECT c, s, unnest(range(0, len(s) + 1)) AS d FROM full_)),
+node AS (SELECT d, k, min(c) AS conv_id, count(*) AS n_convs,
+         sha256(coalesce(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (WHERE d = n), '')) AS ends_sha256 FROM pre GROUP BY d, k),
+kids AS (SELECT k[1:d - 1] AS k, d - 1 AS d, count(*) AS n FROM node WHERE d > 0 GROUP BY 1, 2),
+flat AS (SELECT node.*, coalesce(kids.n, 0) AS n_children FROM node LEFT JOIN kids USING (d, k)),
+below AS (SELECT d2 AS d, k[1:d2] AS k, sum(CASE WHEN n_children = 0 THEN 1 ELSE 0 END) AS n_leaves,
+          sum((n_convs - 1) * coalesce(len(k[d].t), 0)) AS saved_tokens
+          FROM (SELECT *, unnest(range(0, d + 1)) AS d2 FROM flat) GROUP BY 1, 2)
+SELECT f.conv_id, f.d AS depth, p.conv_id AS parent_conv_id, f.n_convs, f.n_children, CAST(n_leaves AS BIGINT) AS n_leaves,
+       CAST(saved_tokens AS BIGINT) AS saved_tokens, f.ends_sha256
+FROM flat f JOIN below USING (d, k) LEFT JOIN node p ON p.d = f.d - 1 AND p.k = f.k[1:f.d - 1]
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_bpe, op2_license, op3_langid, op4_repeats, op5_pii, op6_decontaminate, op7_jaccard,
-                            op8_quality, op9_toxicity, op10_sharding)}
-SQL: dict[str, str] = {"op6_decontaminate": OP6_SQL, "op7_jaccard": OP7_SQL, "op8_quality": _op8_sql()}
+                            op8_quality, op9_toxicity, op10_sharding, op13_prefix_trie)}
+SQL: dict[str, str] = {"op6_decontaminate": OP6_SQL, "op7_jaccard": OP7_SQL, "op8_quality": _op8_sql(),
+                       "op13_prefix_trie": OP13_SQL}
