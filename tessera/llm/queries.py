@@ -10,8 +10,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import (bpe, decontaminate, jaccard_join, langid, license_scan, pii, prefix_trie, quality, repeats,
-                         sharding, toxicity)
+from tessera.llm import (bpe, collocations, decontaminate, jaccard_join, langid, license_scan, pii, prefix_trie, quality,
+                         repeats, sharding, toxicity)
 from tessera.llm.common import held_out, table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -83,6 +83,12 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.col("shard").cast("int"), "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 2,000 collocations of each language."""
+    got = collocations.collocations(table(spark, sf_dir, "documents"))
+    return got.select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
+
+
 def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every node of the trie of rebuilt conversations."""
     nodes, ends = prefix_trie.trie(table(spark, sf_dir, "conversations"))
@@ -179,6 +185,28 @@ FROM e {joins}
 """
 
 
+OP12_SQL = rf"""
+WITH p AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM (
+    SELECT coalesce(lang, 'und') AS lang, unnest(regexp_extract_all({_LOWER}, '[^.,;:!?\x0A-\x0D]+')) AS piece FROM documents)),
+g AS MATERIALIZED (SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS ph, count(*) AS f FROM (
+    SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM p, (SELECT unnest([1, 2, 3, 4]) AS k) WHERE len(w) >= k)
+    GROUP BY 1, 2, 3 HAVING count(*) >= 30 OR k = 1),
+tot AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM g WHERE k = 1 GROUP BY lang),
+c AS MATERIALIZED (SELECT lang, k, ph, string_split(ph, ' ') AS ws, f FROM g WHERE k > 1),
+ask AS MATERIALIZED (SELECT lang, ph, f AS a, x, array_to_string(ws[1:x], ' ') AS lp, array_to_string(ws[x + 1:], ' ') AS rp
+        FROM (SELECT *, unnest(range(1, k)) AS x FROM c)),
+cut AS (SELECT ask.lang, ask.ph, a, x, l.f AS l, r.f AS r, (2000000::HUGEINT * a) // (l.f + r.f) AS score
+        FROM ask JOIN g l ON l.lang = ask.lang AND l.ph = lp JOIN g r ON r.lang = ask.lang AND r.ph = rp),
+low AS (SELECT * FROM cut QUALIFY row_number() OVER (PARTITION BY lang, ph ORDER BY score, x) = 1),
+cov AS (SELECT lang, array_to_string(ws[i:i + j - 1], ' ') AS ph, max(f) AS f FROM (
+    SELECT lang, ws, f, j, unnest(range(1, k - j + 2)) AS i FROM c, (SELECT unnest([2, 3]) AS j) WHERE j < k) GROUP BY 1, 2)
+SELECT low.lang, row_number() OVER (PARTITION BY low.lang ORDER BY score DESC, a DESC, low.ph) AS rank,
+       low.ph AS phrase, CAST(a AS BIGINT) AS a, CAST(l AS BIGINT) AS l, CAST(r AS BIGINT) AS r, n, CAST(score AS BIGINT) AS score
+FROM low JOIN tot USING (lang) LEFT JOIN cov ON cov.lang = low.lang AND cov.ph = low.ph
+WHERE cov.f IS NULL OR 100::HUGEINT * cov.f < 80::HUGEINT * a
+QUALIFY rank <= 2000
+"""
+
 OP13_SQL = """
 WITH tab AS (SELECT list(list_reduce(list_prepend(i, [0, 0, 0, 0, 0, 0, 0, 0]),
     lambda a, x: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END) ORDER BY i) AS v FROM range(256) t(i)),
@@ -205,6 +233,6 @@ FROM flat f JOIN below USING (d, k) LEFT JOIN node p ON p.d = f.d - 1 AND p.k =
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_bpe, op2_license, op3_langid, op4_repeats, op5_pii, op6_decontaminate, op7_jaccard,
-                            op8_quality, op9_toxicity, op10_sharding, op13_prefix_trie)}
+                            op8_quality, op9_toxicity, op10_sharding, op12_collocations, op13_prefix_trie)}
 SQL: dict[str, str] = {"op6_decontaminate": OP6_SQL, "op7_jaccard": OP7_SQL, "op8_quality": _op8_sql(),
-                       "op13_prefix_trie": OP13_SQL}
+                       "op12_collocations": OP12_SQL, "op13_prefix_trie": OP13_SQL}
