@@ -10,8 +10,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import (bpe, collocations, decontaminate, jaccard_join, langid, license_scan, pii, prefix_trie, quality,
-                         repeats, sharding, toxicity)
+from tessera.llm import (bpe, collocations, decontaminate, jaccard_join, langid, license_scan, multi_index, pii, prefix_trie,
+                         quality, repeats, sharding, toxicity)
 from tessera.llm.common import held_out, table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -83,6 +83,13 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.col("shard").cast("int"), "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op11_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and class of every vector."""
+    got = multi_index.similar_vectors(table(spark, sf_dir, "embeddings"))
+    return got.select(F.col("id").alias("vec_id"), "n_links", F.col("component").alias("component_id"),
+                      F.col("id").eqNullSafe(F.col("component")).alias("kept"))
+
+
 def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first 2,000 collocations of each language."""
     got = collocations.collocations(table(spark, sf_dir, "documents"))
@@ -185,6 +192,17 @@ FROM e {joins}
 """
 
 
+OP11_SQL = """
+WITH RECURSIVE v AS (SELECT row_number() OVER () AS r, vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+ok AS (SELECT r, e FROM v WHERE len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+       AND len(list_filter(e, lambda x: x <> 0)) > 0),
+link AS (SELECT a.r AS a, b.r AS b FROM ok a JOIN ok b ON a.r <> b.r AND list_cosine_similarity(a.e, b.e) >= 0.95),
+reach AS (SELECT r, r AS m FROM v UNION SELECT reach.r, link.b FROM reach JOIN link ON link.a = reach.m),
+cls AS (SELECT reach.r, min(vec_id) AS component_id FROM reach JOIN v ON v.r = m GROUP BY reach.r)
+SELECT vec_id, coalesce(n, 0) AS n_links, component_id, vec_id IS NOT DISTINCT FROM component_id AS kept
+FROM v JOIN cls USING (r) LEFT JOIN (SELECT a, count(*) AS n FROM link GROUP BY a) l ON l.a = v.r
+"""
+
 OP12_SQL = rf"""
 WITH p AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM (
     SELECT coalesce(lang, 'und') AS lang, unnest(regexp_extract_all({_LOWER}, '[^.,;:!?\x0A-\x0D]+')) AS piece FROM documents)),
@@ -233,6 +251,6 @@ FROM flat f JOIN below USING (d, k) LEFT JOIN node p ON p.d = f.d - 1 AND p.k =
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_bpe, op2_license, op3_langid, op4_repeats, op5_pii, op6_decontaminate, op7_jaccard,
-                            op8_quality, op9_toxicity, op10_sharding, op12_collocations, op13_prefix_trie)}
+                            op8_quality, op9_toxicity, op10_sharding, op11_near_vectors, op12_collocations, op13_prefix_trie)}
 SQL: dict[str, str] = {"op6_decontaminate": OP6_SQL, "op7_jaccard": OP7_SQL, "op8_quality": _op8_sql(),
-                       "op12_collocations": OP12_SQL, "op13_prefix_trie": OP13_SQL}
+                       "op11_near_vectors": OP11_SQL, "op12_collocations": OP12_SQL, "op13_prefix_trie": OP13_SQL}
