@@ -196,27 +196,59 @@ def rank_metrics(ranks: DataFrame, ks=(10, 50, 100), rank_col: str = "rank") ->
     return ranks.agg(*aggs)
 
 
-# ---- V4: approximate neighbours --------------------------------------------------
-
-def ann_topk(items: DataFrame, queries: DataFrame, k: int, item_id: str = "item_id",
-             query_id: str = "query_id", vec: str = "vec", bucket_length: float = 0.25,
-             num_tables: int = 16, seed: int = 42) -> DataFrame:
-    """V4: LSH (random projections) candidate join on unit vectors, then
-    top-k by cosine (= 1 − d²/2) among candidates, at any distance. Equi-joins
-    on hash buckets only; recall is measured against ``cosine_topk``."""
-    from pyspark.ml.feature import BucketedRandomProjectionLSH
-    from pyspark.ml.functions import array_to_vector
-
-    def prep(df, idc):
-        v = F.col(vec)
-        unit = F.transform(v, lambda x: x.cast("double") / norm(v))
-        return df.select(F.col(idc).alias("_id"), array_to_vector(unit).alias("_v"))
-
-    it, qu = prep(items, item_id), prep(queries, query_id)
-    lsh = BucketedRandomProjectionLSH(inputCol="_v", outputCol="_h", bucketLength=bucket_length,
-                                      numHashTables=num_tables, seed=seed).fit(it)
-    j = lsh.approxSimilarityJoin(qu, it, 2.01, distCol="_d")   # unit vectors are at most 2 apart
-    res = j.select(F.col("datasetA._id").alias(query_id), F.col("datasetB._id").alias(item_id),
-                   F.round(1 - F.col("_d") * F.col("_d") / 2, 6).alias("similarity"))
-    w = Window.partitionBy(query_id).orderBy(F.col("similarity").desc(), F.col(item_id))
-    return res.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= k)
+# ---- V3 + P9: retrieval for one key ------------------------------------------------
+
+def keyed_topk(items: DataFrame, queries: DataFrame, k: int, key: str, order: str | None = None, item_id: str = "item_id",
+               item_vec: str = "vec", query_id: str = "query_id", query_vec: str = "vec", fallback: int = 10,
+               block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """V3 + P9: per query the top ``k`` items of its own ``key`` by cosine (6
+    decimals; ties by smaller item id), then, in that choice, ``order``
+    descending (when given). A query without a usable vector, or whose key has
+    no item with one, gets the first ``fallback`` items of its key by ``order``
+    descending instead (``similarity`` null, ``matched`` false).
+
+    The key's filter comes before any scoring: items and queries meet in
+    (key, block) groups. A key with more than ``block_rows`` items has several
+    blocks, and its queries go to each; a block keeps ``k`` items per query, so
+    that only partial top lists are merged. Norms are made once per vector.
+    """
+    it = items.where(F.col(key).isNotNull()).select(F.col(key).alias("key"), F.col(item_id).alias("id"), F.col(item_vec).cast("array<double>").alias("v"),
+                                                    (F.col(order) if order else F.lit(None).cast("int")).alias("o"))
+    qs = queries.where(F.col(key).isNotNull()).select(F.col(key).alias("key"), F.col(query_id).alias("q"), F.col(query_vec).cast("array<double>").alias("v"))
+    usable = F.coalesce(F.exists("v", lambda x: x != 0), F.lit(False))
+    size = it.where(usable).groupBy("key").agg(F.ceil(F.count(F.lit(1)) / block_rows).cast("int").alias("blocks"))
+    # items: blocks of a big key only need its block count; keys that are small stay in block 0
+    big = size.where("blocks > 1")
+    left = qs.where(usable).join(big, "key", "left").select("key", "q", "v", F.explode(F.sequence(F.lit(0), F.coalesce("blocks", F.lit(1)) - 1)).alias("block"))
+    right = it.where(usable).join(big, "key", "left").select(
+        "key", "id", "v", F.coalesce(F.pmod(F.xxhash64("id"), F.col("blocks")), F.lit(0)).cast("int").alias("block"))
+    schema = T.StructType([T.StructField("q", queries.schema[query_id].dataType), T.StructField("key", items.schema[key].dataType),
+                           T.StructField("id", items.schema[item_id].dataType), T.StructField("similarity", T.DoubleType())])
+
+    def score(group: tuple, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        got = []
+        if len(a) and len(b):
+            b = b.sort_values("id")
+            x, y, ids = _unit(_matrix(a["v"])), _unit(_matrix(b["v"])), b["id"].to_numpy()
+            step = max(1, STRIP_SCORES // len(y))
+            for at in range(0, len(x), step):
+                s = np.round(x[at:at + step] @ y.T, 6)
+                r, c = np.nonzero(_first_k(s, k))
+                got.append(pd.DataFrame({"q": a["q"].to_numpy()[at + r], "key": group[0], "id": ids[c], "similarity": s[r, c]}))
+        return pd.concat(got, ignore_index=True) if got else pd.DataFrame(
+            {"q": a["q"].iloc[:0], "key": a["key"].iloc[:0], "id": b["id"].iloc[:0], "similarity": np.zeros(0)})
+
+    cand = left.groupBy("key", "block").cogroup(right.groupBy("key", "block")).applyInPandas(score, schema)
+    best = Window.partitionBy("q", "key").orderBy(F.col("similarity").desc(), F.col("id"))
+    top = cand.withColumn("place", F.row_number().over(best)).where(F.col("place") <= k).drop("place")
+    top = top.join(it.select("key", "id", "o"), ["key", "id"]) if order else top.withColumn("o", F.lit(None).cast("int"))
+    # the first items of a key, for queries that found none
+    newest = Window.partitionBy("key").orderBy(F.col("o").desc_nulls_last(), F.col("id"))
+    first = it.withColumn("place", F.row_number().over(newest)).where(F.col("place") <= fallback).select("key", "id", "o")
+    lost = qs.select("q", "key").join(top.select("q").distinct(), "q", "left_anti")
+    both = top.select("q", "key", "id", "o", "similarity", F.lit(True).alias("matched")).unionByName(
+        lost.join(first, "key").select("q", "key", "id", "o", F.lit(None).cast("double").alias("similarity"), F.lit(False).alias("matched")))
+    shown = [F.col("o").desc_nulls_last()] if order else []
+    w = Window.partitionBy("q", "key").orderBy(*shown, F.col("similarity").desc_nulls_last(), F.col("id"))
+    cols = [F.col("q").alias(query_id), F.col("key").alias(key), F.col("id").alias(item_id), *([F.col("o").alias(order)] if order else []), "similarity", "matched"]
+    return both.withColumn("rank", F.row_number().over(w).cast("long")).select(*cols, "rank")

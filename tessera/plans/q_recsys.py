@@ -4,13 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tessera.operators import ann_index as ANN
 from tessera.operators import recsys as R
 from tessera.operators import text_ops as TO
 from tessera.operators import vectors as VX
 from tessera.plans.catalog import memo, query
+from tessera.session import materialize
 from tessera.sources import Tables
 from tessera.sources import views as V
 from tessera.sources.views import with_views
+from tessera.streaming.jobs import scratch
 
 K = 10
 
@@ -191,6 +194,37 @@ def q_v3(spark, sf):
     return s.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= K)
 
 
+@query("v3_customer_topk", sql=f"""
+    WITH nv AS (SELECT COUNT(*) AS n FROM embeddings),
+    it AS (SELECT e.user_id AS customer_id, e.event_id AS interaction_id, e.ts AS date,
+                  list_transform(v.embedding, lambda x: CAST(x AS DOUBLE)) AS vec
+           FROM events e, nv JOIN embeddings v ON v.vec_id = e.event_id % nv.n),
+    qs AS (SELECT c.customer_id, c.customer_id AS query_id,
+                  CASE WHEN c.customer_id % 10 <> 0 THEN list_transform(v.embedding, lambda x: CAST(x AS DOUBLE)) END AS qvec
+           FROM (SELECT DISTINCT user_id AS customer_id FROM events) c, nv JOIN embeddings v ON v.vec_id = c.customer_id % nv.n),
+    s AS (SELECT query_id, customer_id, interaction_id, date,
+                 round(list_dot_product(qvec, vec) / (sqrt(list_dot_product(qvec, qvec)) * sqrt(list_dot_product(vec, vec))), 6) AS similarity
+          FROM qs JOIN it USING (customer_id)),
+    top AS (SELECT * FROM s WHERE similarity IS NOT NULL
+            QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, interaction_id) <= {K}),
+    rest AS (SELECT * FROM s WHERE query_id NOT IN (SELECT query_id FROM top)
+             QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY date DESC, interaction_id) <= {K})
+    SELECT query_id, customer_id, interaction_id, date, similarity, matched,
+           row_number() OVER (PARTITION BY query_id ORDER BY date DESC, similarity DESC NULLS LAST, interaction_id) AS rank
+    FROM (SELECT *, true AS matched FROM top UNION ALL SELECT *, false FROM rest)""")
+def q_v3_customer(spark, sf):
+    """Each customer's ten nearest interactions, latest first; customers
+    without a query vector (every tenth here) get their latest ten."""
+    t = Tables(spark, sf)
+    v = t.embeddings.select("vec_id", F.col("embedding").alias("vec"))
+    n = v.agg(F.count(F.lit(1))).scalar()
+    items = t.events.select(F.col("user_id").alias("customer_id"), F.col("event_id").alias("interaction_id"), F.col("ts").alias("date"),
+                            (F.col("event_id") % n).alias("vec_id")).join(v, "vec_id").drop("vec_id")
+    q = t.events.select(F.col("user_id").alias("customer_id")).distinct().withColumn("vec_id", F.col("customer_id") % n).join(v, "vec_id")
+    q = q.select("customer_id", F.col("customer_id").alias("query_id"), F.when(F.col("customer_id") % 10 != 0, F.col("vec")).alias("vec"))
+    return VX.keyed_topk(items, q, K, "customer_id", "date", "interaction_id", "vec", "query_id", "vec", fallback=K)
+
+
 @query("j7_drop_excluded", sql=f"""
     SELECT query_id, item_id, similarity FROM ({VEC_SQL.format(where="")}) WHERE query_id <> item_id""")
 def q_j7(spark, sf):
@@ -201,13 +235,17 @@ def q_j7(spark, sf):
 
 @query("v4_ann_recall")
 def q_v4(spark, sf):
-    """Approximate top-10 (LSH) and its recall against the exact top-10."""
+    """Approximate top-10 from the stored index, its recall against the exact
+    top-10 and the shares of items scored by code and compared exactly."""
     v, q = vectors(spark, sf), exemplars(spark, sf)
-    approx = VX.ann_topk(v, q, K, "item_id", "query_id", "vec")
+    index = ANN.build_index(v, scratch(spark, "v4"), "item_id", "vec", K)
+    approx = materialize(ANN.search(index, q, K))
     exact = VX.cosine_topk(v, q, K)
     hit = exact.join(approx.select("query_id", "item_id"), ["query_id", "item_id"], "left_semi")
+    work = approx.groupBy("query_id").agg(F.first("n_coded").alias("n_coded"), F.first("n_compared").alias("n_compared"))
     return (exact.groupBy("query_id").agg(F.count(F.lit(1)).alias("n_exact"))
-            .join(hit.groupBy("query_id").agg(F.count(F.lit(1)).alias("n_found")), "query_id", "left")
+            .join(hit.groupBy("query_id").agg(F.count(F.lit(1)).alias("n_found")), "query_id", "left").join(work, "query_id", "left")
+            .withColumn("n_items", v.agg(F.count(F.lit(1))).scalar())
             .fillna({"n_found": 0})
             .withColumn("recall", F.col("n_found") / F.col("n_exact")))
 

@@ -129,3 +129,57 @@ def test_text_model_probabilities_match_the_formula(spark):
         z = m.intercept + sum(m.coefficients[cv.vocabulary.index(w)] for w in toks)
         assert abs(r.probs["a"] - 1 / (1 + np.exp(-z))) < 1e-9
     assert r.probs.keys() == {"a"}
+
+
+def _clustered(n, dims=16, seed=5):
+    rng = np.random.default_rng(seed)
+    centres = rng.standard_normal((12, dims)) * 3
+    x = centres[rng.integers(0, 12, n)] + rng.standard_normal((n, dims))
+    return [(i, [float(v) for v in row]) for i, row in enumerate(x)]
+
+
+def test_index_prunes_cells_and_splits_the_crowded_ones(spark, tmp_path, monkeypatch):
+    from tessera.operators import ann_index as A
+    monkeypatch.setattr(A, "CELL_ROWS", 40)
+    rows = _clustered(1500) + [(5000 + i, [1.0] * 16) for i in range(300)] + [(9000, None), (9001, [0.0] * 16)]
+    items = spark.createDataFrame(rows, "item_id long, vec array<double>")
+    index = A.build_index(items, str(tmp_path / "index"))
+    stored = index.items(spark)
+    assert stored.count() == 1800
+    assert max(r["count"] for r in stored.groupBy("cell", "block").count().collect()) <= 120       # 300 equal vectors in one cell
+    queries = spark.createDataFrame([(i, v) for i, v in rows[:30]] + [(-1, None)], "query_id long, vec array<double>")
+    got = A.search(index, queries, 10).collect()
+    exact = VX.cosine_topk(items.where("vec is not null and item_id <> 9001"), queries, 10).collect()
+    found = {(r["query_id"], r["item_id"]) for r in got}
+    assert len(found & {(r["query_id"], r["item_id"]) for r in exact}) >= 0.9 * len(exact)
+    assert {r["similarity"] for r in got if (r["query_id"], r["item_id"]) == (3, 3)} == {1.0}
+    assert max(r["n_coded"] for r in got) < 0.5 * 1800 and max(r["n_compared"] for r in got) <= 50
+
+
+def test_index_of_nothing(spark, tmp_path):
+    from tessera.operators import ann_index as A
+    empty = spark.createDataFrame([], "item_id long, vec array<double>")
+    index = A.build_index(empty, str(tmp_path / "index"))
+    assert A.search(index, spark.createDataFrame([(1, [1.0, 2.0])], "query_id long, vec array<double>"), 3).count() == 0
+
+
+def test_keyed_topk(spark):
+    rng = np.random.default_rng(3)
+    items = [(int(i), int(i % 7 if i < 300 else 99), int(rng.integers(0, 50)), [float(x) for x in rng.standard_normal(6)]) for i in range(900)]
+    items += [(2000, 5, 60, None), (2001, 5, 61, [0.0] * 6), (2002, 42, 3, None), (2003, None, 3, [1.0] * 6)]
+    qs = [(k, k, [float(x) for x in rng.standard_normal(6)]) for k in (0, 1, 2, 3, 5, 99)] + [(6, 6, None), (42, 42, [1.0] * 6), (43, 43, [1.0] * 6), (8, None, [1.0] * 6)]
+    it = spark.createDataFrame(items, "item_id long, cust long, day long, vec array<double>")
+    qd = spark.createDataFrame(qs, "query_id long, cust long, vec array<double>")
+    got = {}
+    for r in VX.keyed_topk(it, qd, 4, "cust", "day", block_rows=64).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append((r["item_id"], r["matched"]))
+    unit = lambda v: np.array(v) / np.linalg.norm(v)
+    want = {}
+    for q, key, v in qs:
+        own = [x for x in items if x[1] == key and key is not None]
+        near = sorted(((-round(float(unit(x[3]) @ unit(v)), 6), x[0], x[2]) for x in own if v and x[3] and any(x[3])))[:4]
+        if near:
+            want[q] = [(i, True) for _, (_, i) in sorted((-d, (s, i)) for s, i, d in near)]
+        elif own:
+            want[q] = [(x[0], False) for x in sorted(own, key=lambda x: (-x[2], x[0]))[:10]]
+    assert got == want
