@@ -13,6 +13,7 @@ from tessera.plans.catalog import query
 from tessera.session import checkpoint_dir
 from tessera.sources import Tables
 from tessera.sources import files as FS
+from tessera.sources import loads as LD
 from tessera.sources import views as V
 from tessera.sources.views import with_views
 
@@ -179,15 +180,22 @@ EVENT_SCHEMA = T.StructType([
 ])
 
 
+ARRAY_ROWS = 10_000    # events in one JSON array, about
+
+
 @query("s1_json_array_files", sql="SELECT event_id, ts, user_id, event_type, value FROM events")
 def q_json_arrays(spark, sf):
-    """Events written as one JSON array per hour file, then read back."""
+    """Events written as JSON arrays, then read back (S1). An hour has one array
+    per salt of its event ids, so that no array grows with a busy hour alone."""
     path = _scratch(spark, "json-arrays")
     ev = Tables(spark, sf).events.select(*EVENT_SCHEMA.fieldNames())
-    hourly = (ev.withColumn("hour", F.date_format("ts", "yyyyMMddHH"))
-              .groupBy("hour").agg(F.to_json(F.collect_list(F.struct(*EVENT_SCHEMA.fieldNames())),
+    hourly = ev.withColumn("hour", F.date_format("ts", "yyyyMMddHH"))
+    size = hourly.groupBy("hour").agg(F.ceil(F.count(F.lit(1)) / ARRAY_ROWS).alias("arrays"))       # a row per hour
+    hourly = (hourly.join(size, "hour").withColumn("salt", F.pmod(F.xxhash64("event_id"), "arrays"))
+              .groupBy("hour", "salt").agg(F.to_json(F.collect_list(F.struct(*EVENT_SCHEMA.fieldNames())),
                                             {"timestampNTZFormat": FS.TS_FORMAT}).alias("doc")))
-    hourly.repartition("hour").write.partitionBy("hour").text(path)
+    # one array per file: a file is what the reader parses as a whole
+    hourly.repartition("hour", "salt").select("hour", "doc").write.option("maxRecordsPerFile", 1).partitionBy("hour").text(path)
     return FS.read_json_arrays(spark, path, EVENT_SCHEMA).select(*EVENT_SCHEMA.fieldNames())
 
 
@@ -233,6 +241,20 @@ def q_append(spark, sf):
     return spark.read.parquet(path).groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("s5_replayed_loads", sql="""
+    SELECT 'events-' || CAST(event_id % 3 AS VARCHAR) AS load_id, event_type, COUNT(*) AS n, CAST(SUM(event_id) AS BIGINT) AS id_sum
+    FROM events GROUP BY 1, 2""")
+def q_replayed_loads(spark, sf):
+    """Three loads, all run twice, and one that fails before it is published."""
+    path = _scratch(spark, "loads")
+    ev = Tables(spark, sf).events
+    for k in (0, 1, 2, 0, 1, 2):
+        LD.write_load(ev.where(F.col("event_id") % 3 == k), path, f"events-{k}", required=["event_id", "ts"])
+    ev.write.parquet(f"{path}/data/failed-{'0' * 32}")
+    return LD.read_loads(spark, path, "load_id").groupBy("load_id", "event_type").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("event_id").alias("id_sum"))
+
+
 @query("s6_overwrite_table", sql=with_views(
     "SELECT article_id, COUNT(*) AS days FROM (SELECT DISTINCT article_id, t_dat FROM transactions) GROUP BY 1",
     "transactions"))

@@ -135,3 +135,36 @@ def q_x6(spark, sf):
 def q_x7(spark, sf):
     ev = _events(spark, sf).where(F.col("ts") >= F.lit(DRIFT_SPLIT).cast("timestamp_ntz"))
     return _run(spark, S.counter_stream(ev, "user_id"), "x7", "update", ["user_id"])
+
+
+X6_SQL = """
+    WITH e AS (SELECT user_id, event_id, ts,
+                      CAST(floor(epoch(ts + CASE WHEN event_id % 50 = 0 THEN INTERVAL 3 DAY ELSE INTERVAL 0 DAY END) / 604800) AS BIGINT) AS file FROM events),
+    f AS (SELECT file, max(ts) AS newest FROM e GROUP BY file),
+    m AS (SELECT file, max(newest) OVER (ORDER BY file ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) - INTERVAL 1 HOUR AS mark FROM f),
+    j AS (SELECT e.*, coalesce(ts < mark, false) AS late FROM e JOIN m USING (file)),
+    s AS (SELECT user_id, ts, event_id, CASE WHEN lag(ts) OVER w IS NULL OR ts - lag(ts) OVER w >= INTERVAL 30 MINUTE THEN 1 ELSE 0 END AS new_s
+          FROM j WHERE NOT late WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))
+    SELECT user_id, CAST(coalesce(sum(new_s), 0) AS BIGINT) AS sessions, count(new_s) AS events, any_value(n_late) AS late
+    FROM (SELECT user_id, count(*) FILTER (WHERE late) AS n_late FROM j GROUP BY user_id) u LEFT JOIN s USING (user_id) GROUP BY user_id"""
+
+
+@query("x6_session_append", sql=X6_SQL)
+def q_x6_append(spark, sf):
+    """Append-mode sessions over one file per week of arrival; every fiftieth
+    event arrives three days late. Closed and open sessions and late rows."""
+    from tessera.sources import Tables
+    days = F.when(F.col("event_id") % 50 == 0, 3).otherwise(0)
+    ev = Tables(spark, sf).events.select("event_id", "user_id", "ts")
+    week = F.floor((F.unix_seconds(F.to_utc_timestamp(F.col("ts").cast("timestamp"), "UTC")) + days * 86400) / 604800)
+    ev = ev.withColumn("file", week)
+    files, out = S.scratch(spark, "x6-in"), S.scratch(spark, "x6-append")
+    for r in ev.select("file").distinct().orderBy("file").collect():       # a row per week
+        ev.where(F.col("file") == r["file"]).drop("file").coalesce(1).write.mode("append").parquet(files)
+    stream = spark.readStream.schema("event_id long, user_id long, ts timestamp_ntz").option("maxFilesPerTrigger", 1).parquet(files)
+    S.session_append(stream, "user_id", "ts", out, S.scratch(spark, "x6-append-ckpt"))
+    closed = spark.read.parquet(f"{out}/closed").drop("batch_id").unionByName(S.open_sessions(spark, out))
+    done = closed.groupBy("user_id").agg(F.count(F.lit(1)).alias("sessions"), F.sum("n_events").alias("events"))
+    late = spark.read.parquet(f"{out}/late").groupBy("user_id").agg(F.count(F.lit(1)).alias("late"))
+    zero = F.lit(0).cast("long")
+    return done.join(late, "user_id", "full").select("user_id", *(F.coalesce(c, zero).alias(c) for c in ("sessions", "events", "late")))

@@ -79,9 +79,9 @@ def text_intake(df: DataFrame, limit: int | None = None) -> DataFrame:
 
 def append_raw(df: DataFrame, path: str, partition_by: Sequence[str] = (),
                required: Sequence[str] = ()) -> None:
-    """Append load (blocks until committed). With ``partition_by`` and
-    dynamic partition overwrite, re-loading the same partitions is idempotent
-    via ``overwrite_partitions``."""
+    """Plain append load (blocks until committed); run twice, it adds its
+    rows twice. Loads that may be repeated: ``loads.write_load`` (any rows) or
+    ``overwrite_partitions`` (whole partitions)."""
     require_columns(df, required)
     w = df.write.mode("append").format("parquet")
     if partition_by:
@@ -100,6 +100,13 @@ def overwrite_table(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").format("parquet").save(path)
 
 
-def write_audit(df: DataFrame, path: str) -> None:
-    """Append drift reports / retrain decisions as JSON lines."""
-    df.withColumn("written_at", F.current_timestamp()).write.mode("append").json(path)
+def write_audit(df: DataFrame, path: str, load_id: str | None = None) -> None:
+    """Append drift reports / retrain decisions as JSON lines. With a
+    ``load_id`` a report that is written again (a retried job) counts once; read
+    such a sink with ``loads.read_loads``."""
+    df = df.withColumn("written_at", F.current_timestamp())
+    if load_id is None:
+        df.write.mode("append").json(path)
+    else:
+        from tessera.sources.loads import write_load
+        write_load(df, path, load_id, fmt="json")

@@ -115,19 +115,24 @@ def counter_stream(stream: DataFrame, key: str) -> DataFrame:
 
 def drift_stream(spark: SparkSession, stream: DataFrame, baseline: DataFrame, cols, audit: str,
                  ckpt: str) -> None:
-    """Each micro-batch is compared with the stored baseline (PSI per
-    feature, KS on the first feature) and the report is appended to the
-    audit sink, keyed by batch id (replay-safe). The baseline's columns are
-    stored once, the batch is kept for its several passes."""
-    from tessera.operators import drift as D
-    stored = materialize(baseline.select(*cols))
+    """Each micro-batch is compared with the baseline (PSI per feature, KS
+    on the first feature) and the report is appended to the audit sink, keyed by
+    batch id (replay-safe). The baseline is read once, into a bounded summary
+    (``operators.baseline``) next to the checkpoint; a restarted stream goes on
+    with the stored one. A batch costs its own rows."""
+    from tessera.operators import baseline as B
+    path = f"{ckpt.rstrip('/')}-baseline"
+    fs_path = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    if not fs_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(fs_path):
+        B.build(baseline, cols, path)
+    stored = B.load(spark, path, len(cols))
 
     def check(batch: DataFrame, batch_id: int) -> None:
         batch = batch.select(*cols).persist()
         n = batch.count()
         if n:
-            rep = D.psi(stored, batch, cols)
-            ks = D.ks_two_sample(stored, batch, cols[0]).select("ks").scalar()
+            rep = B.psi(stored, batch, cols)
+            ks = B.ks(stored[0], batch, cols[0]).select("ks").scalar()
             (rep.withColumn("ks", ks).withColumn("batch_id", F.lit(batch_id)).withColumn("n_rows", F.lit(n))
                 .write.mode("overwrite").json(f"{audit}/batch_id={batch_id}"))
         batch.unpersist()
@@ -135,3 +140,71 @@ def drift_stream(spark: SparkSession, stream: DataFrame, baseline: DataFrame, co
     q = (stream.writeStream.foreachBatch(check).option("checkpointLocation", ckpt)
          .trigger(availableNow=True).start())
     q.awaitTermination()
+
+
+# ---- X6: sessions in append mode, late rows kept aside -----------------------------
+
+def _last_state(spark: SparkSession, out: str, batch_id: int) -> int | None:
+    """The last batch before ``batch_id`` whose state is complete."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(f"{out}/state")
+    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(p):
+        return None
+    done = [int(s.getPath().getName().split("=")[1]) for s in fs.listStatus(p)
+            if fs.exists(spark._jvm.org.apache.hadoop.fs.Path(s.getPath(), "clock/_SUCCESS"))]
+    return max((d for d in done if d < batch_id), default=None)
+
+
+def session_append(stream: DataFrame, key: str, ts: str, out: str, ckpt: str, gap_seconds: int = 1800,
+                   delay_seconds: int = 3600) -> None:
+    """X6 in append mode. Under ``out``:
+
+    * closed/batch_id=n — sessions that no further row can change, each written
+      once: key, session_start, session_end (last event), n_events;
+    * late/batch_id=n — rows behind the watermark (newest time of all earlier
+      batches less the delay), whole, instead of being lost;
+    * state/batch_id=n/open and clock — sessions still open and the newest time.
+
+    Every row is in one closed or open session or in ``late``. State holds open
+    sessions only: one row per session younger than gap + delay. A batch reads
+    the state of the batch before and overwrites its own folders, so a replayed
+    batch gives the same again. Open sessions join new rows as session windows
+    as long as they already are, plus the gap.
+    """
+    def run(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        rows = batch.withColumn("_t", F.to_utc_timestamp(F.col(ts).cast("timestamp"), "UTC")).persist()
+        newest = rows.agg(F.unix_micros(F.max("_t"))).first()[0]
+        prev, old = _last_state(spark, out, batch_id), None
+        if prev is not None:
+            old = spark.read.parquet(f"{out}/state/batch_id={prev}/clock").first()["newest"]
+        mark = None if old is None else old - delay_seconds * 1_000_000
+        here = F.unix_micros("_t")
+        late = F.lit(False) if mark is None else F.coalesce(here < mark, F.lit(False))
+        rows.where(late | F.col("_t").isNull()).drop("_t").write.mode("overwrite").parquet(f"{out}/late/batch_id={batch_id}")
+        fresh = rows.where(~late & F.col("_t").isNotNull()).select(F.col(key), F.col("_t").alias("s"), F.lit(0).cast("long").alias("d"), F.lit(1).cast("long").alias("n"))
+        if prev is not None:
+            kept = spark.read.parquet(f"{out}/state/batch_id={prev}/open")
+            fresh = fresh.unionByName(kept.select(key, F.col("session_start").alias("s"), (F.unix_micros("session_end") - F.unix_micros("session_start")).alias("d"),
+                                                  F.col("n_events").alias("n")))
+        # windows that touch are merged: a microsecond less keeps "at least the gap" apart
+        gap = gap_seconds * 1_000_000 - 1
+        length = F.concat((F.col("d") + gap).cast("string"), F.lit(" microseconds"))
+        found = fresh.groupBy(key, F.session_window("s", length).alias("w")).agg(F.sum("n").alias("n_events")).select(
+            key, F.col("w.start").alias("session_start"), F.timestamp_micros(F.unix_micros("w.end") - gap).alias("session_end"), "n_events")
+        found = found.persist()
+        clock = max(x for x in (newest, old, -2**62) if x is not None)
+        closed = F.unix_micros("session_end") + gap_seconds * 1_000_000 <= clock - delay_seconds * 1_000_000
+        found.where(closed).write.mode("overwrite").parquet(f"{out}/closed/batch_id={batch_id}")
+        found.where(~closed).write.mode("overwrite").parquet(f"{out}/state/batch_id={batch_id}/open")
+        spark.createDataFrame([(clock,)], "newest long").write.mode("overwrite").parquet(f"{out}/state/batch_id={batch_id}/clock")
+        found.unpersist()
+        rows.unpersist()
+
+    q = stream.writeStream.foreachBatch(run).option("checkpointLocation", ckpt).trigger(availableNow=True).start()
+    q.awaitTermination()
+
+
+def open_sessions(spark: SparkSession, out: str) -> DataFrame:
+    """Sessions still open after the last batch."""
+    return spark.read.parquet(f"{out}/state/batch_id={_last_state(spark, out, 2**62)}/open")
