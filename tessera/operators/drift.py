@@ -150,6 +150,31 @@ def metric_decay(base: Column, cur: Column) -> Column:
     return F.when(base > 0, (base - cur) / base).otherwise(F.lit(0.0))
 
 
+_NUMERIC = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType, T.DecimalType)
+
+
+def pair_features(base: DataFrame, cur: DataFrame, exclude: Sequence[str] = ()) -> list[tuple[str, bool, bool]]:
+    """(feature, in the baseline, in the current set) for every numeric
+    column of either side but those in ``exclude``: the baseline's in its order,
+    then those that only the current set has. A column that is numeric on one
+    side only does not pair."""
+    def numeric(df):
+        return [f.name for f in df.schema.fields if isinstance(f.dataType, _NUMERIC) and f.name not in exclude]
+    b, c = numeric(base), numeric(cur)
+    return [(f, True, f in c) for f in b] + [(f, False, True) for f in c if f not in b]
+
+
+def paired_psi(base: DataFrame, cur: DataFrame, exclude: Sequence[str] = (), **options) -> DataFrame:
+    """J10 + R1: feature, in_baseline, in_current and psi of the features that
+    both sets have (null for the others, which take no part in the mean)."""
+    pairs = pair_features(base, cur, exclude)
+    shared = [f for f, b, c in pairs if b and c]
+    names = base.sparkSession.createDataFrame(pairs, "feature string, in_baseline boolean, in_current boolean")
+    if not shared:
+        return names.withColumn("psi", F.lit(None).cast("double"))
+    return names.join(psi(base, cur, shared, **options).select("feature", "psi"), "feature", "left")
+
+
 def drift_report(psi_df: DataFrame, ks_df: DataFrame, metrics: DataFrame, group: Sequence[str] = (),
                  feature_threshold: float = 0.2, prediction_threshold: float = 0.05,
                  decay_threshold: float = 0.1) -> DataFrame:

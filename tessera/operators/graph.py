@@ -10,7 +10,6 @@ from __future__ import annotations
 
 from typing import Sequence
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tessera.functions import lexicons as L
@@ -40,46 +39,47 @@ def build_order_graph(customers: DataFrame, orders: DataFrame, lines: DataFrame)
     return nodes, edges
 
 
-SALTS = 32
+def basket_arrays(baskets: DataFrame, basket: str, item: str, block: int = 64) -> DataFrame:
+    """bk, h, pieces, items: the distinct items of each basket as a sorted
+    array. A basket of more than ``block`` rows is cut by item hash into
+    ``pieces`` of about ``block`` items, so that no array grows with a hot
+    basket. Null baskets and items are left out.
+
+    One short pass counts rows per basket first. Where all baskets are small,
+    nothing is joined: one shuffle gathers the arrays."""
+    bi = baskets.select(F.col(basket).alias("bk"), F.col(item).alias("it")).where("bk is not null and it is not null")
+    big = bi.groupBy("bk").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > block)
+    big = materialize(big.select("bk", F.ceil(F.col("n") / block).cast("int").alias("pieces")))
+    if big.isEmpty():
+        cut = bi.withColumns({"pieces": F.lit(1), "h": F.lit(0)})
+    else:
+        cut = bi.join(big, "bk", "left").withColumn("pieces", F.coalesce("pieces", F.lit(1)))
+        cut = cut.withColumn("h", F.pmod(F.xxhash64("it"), F.col("pieces")).cast("int"))
+    return cut.groupBy("bk", "h", "pieces").agg(F.sort_array(F.collect_set("it")).alias("items"))
+
+
+def _count_pairs(arrays: DataFrame, min_support: int) -> DataFrame:
+    # inside an array: each item with those behind it
+    inside = arrays.where(F.size("items") > 1).select("items", F.posexplode("items").alias("i", "a")).select(
+        "a", F.explode(F.slice("items", F.col("i") + 2, F.size("items"))).alias("b"))
+    # across the pieces of a large basket: each two pieces are one row
+    cut = arrays.where("pieces > 1")
+    low = cut.select("bk", "h", F.explode(F.sequence(F.col("h"), F.col("pieces") - 1)).alias("o"), F.col("items").alias("x")).where("o > h")
+    high = cut.select("bk", F.col("h").alias("o"), F.explode(F.sequence(F.lit(0), F.col("h"))).alias("h"), F.col("items").alias("y")).where("h < o")
+    across = low.join(high, ["bk", "h", "o"]).select(F.explode("x").alias("a"), "y").select("a", F.explode("y").alias("b"))
+    pairs = inside.unionAll(across.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
+    out = pairs.groupBy(F.col("a").alias("item_a"), F.col("b").alias("item_b")).agg(F.count(F.lit(1)).alias("support"))
+    return out.where(F.col("support") >= min_support) if min_support > 1 else out
 
 
-def basket_pairs(baskets: DataFrame, basket: str, item: str, min_support: int = 1,
-                 block: int = 64, deduped: bool = False,
-                 item_support: DataFrame | None = None) -> DataFrame:
+def basket_pairs(baskets: DataFrame, basket: str, item: str, min_support: int = 1, block: int = 64) -> DataFrame:
     """Unordered item pairs (a < b) bought in the same basket, with the
     number of baskets containing both (support >= ``min_support``).
 
-    Plan: distinct (basket, item) → drop items below ``min_support`` (a pair
-    cannot be more frequent than its items) → self-join on the basket. A
-    basket with more than ``block`` items is split into chunks of about
-    ``block`` items and joined block by block, so one huge basket is spread
-    over many tasks of bounded size instead of one task; pair counts are
-    partially aggregated before the shuffle. ``deduped`` / ``item_support``
-    let a caller that already has them skip the distinct and the count.
-    """
-    bi = baskets.select(F.col(basket).alias("bk"), F.col(item).alias("it"))
-    if not deduped:
-        bi = bi.distinct()
-    if min_support > 1:
-        sup = item_support if item_support is not None else bi.groupBy("it").agg(F.count(F.lit(1)).alias("s"))
-        bi = bi.join(sup.where(F.col("s") >= min_support).select("it"), "it", "left_semi")
-    # only baskets above the block size get a chunk number; their rows are
-    # spread over SALTS keys for that look-up, so no basket lands whole in a task
-    big = (bi.groupBy("bk").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > block)
-           .select("bk", F.ceil(F.col("n") / block).cast("int").alias("nch"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")))
-    bi = bi.withColumn("salt", F.pmod(F.xxhash64("it"), F.lit(SALTS)).cast("int")).join(big, ["bk", "salt"], "left")
-    bi = bi.select("bk", "it", F.coalesce("nch", F.lit(1)).alias("nch"),
-                   F.coalesce(F.pmod(F.xxhash64("it"), F.col("nch")).cast("int"), F.lit(0)).alias("ch"))
-    # left copy of an item joins blocks (ch, o >= ch); right copy joins (o <= ch, ch)
-    left = bi.select("bk", F.col("it").alias("a"), F.col("ch").alias("lo"),
-                     F.explode(F.sequence(F.col("ch"), F.col("nch") - 1)).alias("hi"))
-    right = bi.select("bk", F.col("it").alias("b"), F.col("ch").alias("hi"),
-                      F.explode(F.sequence(F.lit(0), F.col("ch"))).alias("lo"))
-    pairs = left.join(right, ["bk", "lo", "hi"])
-    pairs = pairs.where((F.col("lo") < F.col("hi")) | (F.col("a") < F.col("b")))
-    pairs = pairs.select(F.least("a", "b").alias("item_a"), F.greatest("a", "b").alias("item_b"))
-    out = pairs.groupBy("item_a", "item_b").agg(F.count(F.lit(1)).alias("support"))
-    return out.where(F.col("support") >= min_support) if min_support > 1 else out
+    Pairs come from the baskets' arrays, not from a self-join of their rows, and
+    are counted partially before the shuffle; pieces of a large basket meet two
+    by two."""
+    return _count_pairs(basket_arrays(baskets, basket, item, block), min_support)
 
 
 def co_purchase(baskets: DataFrame, basket: str, item: str, min_support: int = 2,
@@ -88,13 +88,12 @@ def co_purchase(baskets: DataFrame, basket: str, item: str, min_support: int = 2
 
     confidence(a→b) = support(a,b) / support(a);
     lift = support(a,b) · N / (support(a) · support(b)), N = baskets.
+    The arrays are stored once for the pairs, the items' support and N.
     """
-    # used four times (support, sizes, both sides of the pairs): joined once and
-    # kept; blocks of a lost executor are worked out again from the tables
-    bi = baskets.select(F.col(basket).alias("bk"), F.col(item).alias("it")).distinct().persist(StorageLevel.MEMORY_AND_DISK)
-    item_sup = bi.groupBy("it").agg(F.count(F.lit(1)).alias("s"))
-    n = bi.agg(F.count_distinct("bk")).scalar()
-    pairs = basket_pairs(bi, "bk", "it", min_support, block, deduped=True, item_support=item_sup)
+    arrays = materialize(basket_arrays(baskets, basket, item, block))
+    item_sup = arrays.select(F.explode("items").alias("it")).groupBy("it").agg(F.count(F.lit(1)).alias("s"))
+    n = arrays.agg(F.count_if(F.col("pieces") == 1) + F.count_distinct(F.when(F.col("pieces") > 1, F.col("bk")))).scalar()
+    pairs = _count_pairs(arrays, min_support)
     sa = item_sup.select(F.col("it").alias("item_a"), F.col("s").alias("support_a"))
     sb = item_sup.select(F.col("it").alias("item_b"), F.col("s").alias("support_b"))
     p = pairs.join(sa, "item_a").join(sb, "item_b")

@@ -158,21 +158,20 @@ def build_vocab(df: DataFrame, col: str, n: int = 5000) -> DataFrame:
 def encode(df: DataFrame, key: str, col: str, vocab: DataFrame) -> DataFrame:
     """Token ids in text order, out-of-vocabulary → 0.
 
-    The vocabulary has at most ``n`` rows (a proven bound), so it is
-    broadcast as a dictionary and every document is encoded in place, in
-    Arrow batches — tokens are never exploded or shuffled.
-    """
-    import pandas as pd
-    lookup = {r["token"]: int(r["idx"]) for r in vocab.select("token", "idx").collect()}  # ≤ n rows
-    bc = df.sparkSession.sparkContext.broadcast(lookup)
-
-    def enc(batches):
-        table = bc.value
-        for pdf in batches:
-            yield pd.DataFrame({key: pdf[key], "ids": [[table.get(t, 0) for t in toks] for toks in pdf["_tk"]]})
-
-    toks = df.select(key, TX.tokenize(col).alias("_tk"))
-    return toks.mapInPandas(enc, f"{key} {df.schema[key].dataType.simpleString()}, ids array<bigint>")
+    The vocabulary has at most ``n`` rows (a proven bound). It becomes one scalar
+    value: an array of small maps, a token lying in the map that its hash names,
+    so that a look-up is one array access and a map of about one entry (a plain
+    map is searched from end to end). Documents are encoded in place, in the JVM;
+    tokens are never exploded or shuffled."""
+    n = 1 << max(4, (vocab.count() - 1).bit_length())
+    own = lambda t: F.pmod(F.xxhash64(t), F.lit(n)).cast("int")
+    maps = vocab.groupBy(own(F.col("token")).alias("_b")).agg(F.map_from_entries(F.collect_list(F.struct("token", F.col("idx").cast("long")))).alias("m"))
+    every = vocab.sparkSession.range(n).select(F.col("id").cast("int").alias("_b"))
+    empty = F.create_map().cast("map<string,bigint>")
+    table = every.join(maps, "_b", "left").agg(F.sort_array(F.collect_list(F.struct("_b", F.map_entries("m").alias("m")))).alias("t"))
+    table = table.select(F.transform("t", lambda x: F.map_from_entries(F.coalesce(x["m"], F.map_entries(empty)))).alias("t"))
+    toks = df.select(key, TX.tokenize(col).alias("_tk")).withColumn("_m", table.scalar())
+    return toks.select(key, F.transform("_tk", lambda t: F.coalesce(F.get(F.col("_m"), own(t))[t], F.lit(0).cast("long"))).alias("ids"))
 
 
 # ---- model replies ---------------------------------------------------------------

@@ -41,18 +41,23 @@ def cosine(a, b) -> Column:
 # ---- V1: text embedding -------------------------------------------------------
 
 def embed_text(df: DataFrame, col: str, dims: int = 1 << 12, out: str = "embedding") -> DataFrame:
-    """V1: hashed TF-IDF, L2-normalised, as array<double> (Spark ML stages)."""
+    """V1: hashed TF-IDF, L2-normalised (Spark ML stages), as a sparse vector:
+    struct(size, indices, values) with the non-zero places only."""
     from pyspark.ml import Pipeline
     from pyspark.ml.feature import HashingTF, IDF, Normalizer
-    from pyspark.ml.functions import vector_to_array
     from tessera.functions.text import tokenize
 
     toks = df.withColumn("_tokens", tokenize(col))
     model = Pipeline(stages=[HashingTF(inputCol="_tokens", outputCol="_tf", numFeatures=dims),
                              IDF(inputCol="_tf", outputCol="_tfidf"),
                              Normalizer(inputCol="_tfidf", outputCol="_vec", p=2.0)]).fit(toks)
-    res = model.transform(toks)
-    return res.withColumn(out, vector_to_array("_vec")).drop("_tokens", "_tf", "_tfidf", "_vec")
+    v = F.unwrap_udt("_vec")
+    return model.transform(toks).withColumn(out, F.struct(v["size"].alias("size"), v["indices"].alias("indices"), v["values"].alias("values"))) \
+        .drop("_tokens", "_tf", "_tfidf", "_vec")
+
+
+def sparse_norm(a: str) -> Column:
+    return F.sqrt(F.aggregate(F.col(a)["values"], F.lit(0.0), lambda s, x: s + x * x))
 
 
 # ---- blocked exact scoring -------------------------------------------------------

@@ -100,6 +100,17 @@ def q_p8(spark, sf):
     return p.groupBy(C.ltv_tier(F.coalesce(F.col("ltv"), F.lit(0.0))).alias("tier")).agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("p8_balance_tier_counts", sql="""
+    SELECT CASE WHEN c_acctbal > 2000 THEN 'HIGH' WHEN c_acctbal > 500 THEN 'MEDIUM' ELSE 'LOW' END AS tier,
+           COUNT(*) AS n, CAST(SUM(CAST(c_acctbal AS DECIMAL(18,2))) AS DOUBLE) AS balance FROM customer GROUP BY 1""")
+def q_p8_balance(spark, sf):
+    """The tier rule on account balances, which reach all three tiers."""
+    from pyspark.sql import functions as F
+    c = Tables(spark, sf).customer.select("c_acctbal")
+    return c.groupBy(C.ltv_tier(F.col("c_acctbal")).alias("tier")).agg(
+        F.count(F.lit(1)).alias("n"), F.sum(F.col("c_acctbal").cast("decimal(18,2)")).cast("double").alias("balance"))
+
+
 @query("w8_key_interactions", sql=with_views("""
     SELECT customer_id, rn AS pos, strftime(date, '%Y-%m-%d') AS date, type, substring(summary, 1, 100) AS summary
     FROM retrieved WHERE rn <= 5""", "interactions", "retrieved", extra=_X))

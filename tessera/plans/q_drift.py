@@ -129,6 +129,15 @@ def q_r4(spark, sf):
     return D.drift_report(D.psi(b, c, FEATURES), D.ks_two_sample(b, c, "value"), _global_metrics(spark, sf))
 
 
+@query("j10_paired_features", sql=with_views(f"""
+    SELECT feature, true AS in_baseline, true AS in_current, psi FROM ({psi_sql("drift_base", "drift_cur")})
+    UNION ALL SELECT 'weekday', true, false, NULL UNION ALL SELECT 'minute', false, true, NULL""", *BASE_VIEWS))
+def q_j10(spark, sf):
+    """Feature sets that differ: weekday only before, minute only now."""
+    b, c = V.drift_pair(Tables(spark, sf))
+    return D.paired_psi(b.withColumn("weekday", F.weekday("ts")), c.withColumn("minute", F.minute("ts")), exclude=["event_id"])
+
+
 # ---- per-day signals ------------------------------------------------------------------
 
 def _day_metrics(spark, sf):

@@ -82,7 +82,7 @@ def _churn_model(spark, sf):
     f = q_m1(spark, sf)
     split = MD.stratified_split(f, "customer_id", "churned")
     filled = EV.impute_scale(split, ["avg_review_rating", "avg_session_duration_s"])  # median impute (D11)
-    filled = filled.fillna(0, subset=CHURN_COLS)
+    filled = FE.fill_default(filled, CHURN_COLS, 0)
     train, test = filled.where(F.col("split") == "train"), filled.where(F.col("split") == "test")
     model = MD.fit_churn(train, CHURN_COLS)
     return model, MD.churn_scores(model, test)
@@ -104,14 +104,27 @@ def q_k5(spark, sf):
 
 # ---- M9 / M12 (W5, J3, A7): segmentation ----------------------------------------------
 
+@memo
+def _segment_model(spark, sf):
+    rfm = FE.fill_default(q_m2(spark, sf), RFM_COLS, 0)
+    return (rfm, *MD.fit_segments(rfm, RFM_COLS, k=5, restarts=10))
+
+
 @memo
 def _segments(spark, sf):
-    rfm = q_m2(spark, sf).fillna(0, subset=RFM_COLS)
-    model, scaler, data = MD.fit_segments(rfm, RFM_COLS, k=5, restarts=10)
+    rfm, model, scaler, data = _segment_model(spark, sf)
     names = MD.name_segments(model, scaler, RFM_COLS)
     return MD.attach_segment(rfm, model, data, names, "customer_id"), names
 
 
+def _scaled_segments(spark, sf):
+    """customer_id, cluster and the scaled features that k-means saw."""
+    from pyspark.ml.functions import vector_to_array
+    _, model, _, data = _segment_model(spark, sf)
+    got = model.transform(data).withColumn("scaled", vector_to_array(model.getFeaturesCol()))
+    return got.select("customer_id", F.col(model.getPredictionCol()).cast("string").alias("cluster"), "scaled")
+
+
 @query("m9_kmeans_segments")
 def q_m9(spark, sf):
     labelled, _ = _segments(spark, sf)
@@ -269,6 +282,64 @@ def q_m16(spark, sf):
     return EV.quality_report(_metric_table(spark, sf))
 
 
+@query("m16_model_status", sql=f"""
+    SELECT o.model, CASE WHEN bool_and(r.passed) THEN 'PASS' ELSE 'FAIL' END AS status, COUNT(*) AS n_gates,
+           list_sort(coalesce(list(r.gate) FILTER (WHERE NOT r.passed), [])) AS failed_gates, any_value(r.recommendation) AS recommendation
+    FROM (VALUES {", ".join(f"('{m}', '{g}')" for m, gs in EV.MODEL_GATES.items() for g in gs)}) o(model, gate)
+    JOIN ({_m16_sql()}) r ON r.gate = o.gate GROUP BY o.model""")
+def q_m16_status(spark, sf):
+    """PASS / FAIL of each model from the gate table of ``m16_quality_report``."""
+    return EV.model_status(EV.quality_report(_metric_table(spark, sf)))
+
+
+@query("m16_trained_models")
+def q_m16_trained(spark, sf):
+    """Gates of the trained models themselves: boosted trees (M6), k-means
+    segments by the silhouette of their scaled features (M9, M10), forecasts (A9)."""
+    m6 = q_m6(spark, sf)
+    scaled = _scaled_segments(spark, sf)
+    metrics = (m6.select(F.lit("churn_f1").alias("metric"), F.col("f1").alias("value"))
+               .unionByName(m6.select(F.lit("churn_auc_roc").alias("metric"), F.col("auc").alias("value")))
+               .unionByName(EV.silhouette(scaled, "customer_id", "scaled", "cluster").select(
+                   F.lit("segmentation_silhouette").alias("metric"), F.col("silhouette").alias("value")))
+               .unionByName(q_a9(spark, sf).select(F.lit("demand_mape").alias("metric"), F.col("avg_mape_pct").alias("value"))))
+    return EV.model_status(EV.quality_report(metrics))
+
+
+# ---- P5: defaults in the training frame; F3: batch inference --------------------------------------
+
+@query("p5_filled_features", sql=f"""
+    SELECT customer_id, churned, {", ".join(f"CAST(COALESCE({c}, 0) AS DOUBLE) AS {c}" for c in CHURN_COLS)} FROM ({M1_SQL})""")
+def q_p5(spark, sf):
+    f = FE.fill_default(q_m1(spark, sf), CHURN_COLS, 0)
+    return f.select("customer_id", "churned", *[F.col(c).cast("double").alias(c) for c in CHURN_COLS])
+
+
+@query("f3_batch_scores", sql=f"""
+    SELECT doc_id, n_words, CASE WHEN p + n > 0 THEN round((p - n) / (p + n), 6) ELSE 0.0 END AS score
+    FROM (SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, len(list_filter(w, lambda x: x IN {tuple(L.DRIVER_POSITIVE)})) AS p,
+                 len(list_filter(w, lambda x: x IN {tuple(L.DRIVER_NEGATIVE)})) AS n
+          FROM (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\\p{{L}}\\p{{N}}_]+') AS w FROM documents))""")
+def q_f3(spark, sf):
+    """A batch model (weights in the task's closure) over Arrow batches of all
+    documents: share of positive less negative words, every occurrence counted."""
+    import regex
+    word = regex.compile(r"[\p{L}\p{N}_]+")
+    weight = {**{w: 1 for w in L.DRIVER_POSITIVE}, **{w: -1 for w in L.DRIVER_NEGATIVE}}
+
+    def model(pdf):
+        import pandas as pd
+        out = []
+        for doc, text in zip(pdf["doc_id"], pdf["text"]):
+            words = word.findall(text)
+            hit = [weight[w] for w in words if w in weight]
+            out.append((doc, len(words), round(sum(hit) / len(hit), 6) if hit else 0.0))
+        return pd.DataFrame(out, columns=["doc_id", "n_words", "score"])
+
+    d = Tables(spark, sf).documents.select("doc_id", F.lower(F.coalesce("text", F.lit(""))).alias("text"))
+    return MD.score_batches(d, model, "doc_id long, n_words long, score double")
+
+
 # ---- M17 / M18 / T10: multi-label text model ------------------------------------------------------
 
 def _tagged(spark, sf):

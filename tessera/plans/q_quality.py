@@ -134,6 +134,18 @@ def q_approx(spark, sf):
     return Q.distinct_count(Tables(spark, sf).events, "user_id", approx=True)
 
 
+@query("a6_merged_sketches", sql="""
+    SELECT COUNT(DISTINCT CAST(ts AS DATE)) AS days, COUNT(DISTINCT event_id) AS exact, true AS within_2_percent FROM events""")
+def q_sketches(spark, sf):
+    """Distinct events from stored daily sketches, against the exact count."""
+    ev, path = Tables(spark, sf).events, _scratch(spark, "sketches")
+    Q.daily_sketches(ev, F.to_date("ts"), "event_id").write.parquet(path)
+    daily = spark.read.parquet(path)
+    got = Q.merged_distinct(daily).select("distinct_estimate").scalar()
+    exact = ev.agg(F.count_distinct("event_id")).scalar()
+    return daily.agg(F.count(F.lit(1)).alias("days")).select("days", exact.alias("exact"), (F.abs(got - exact) <= 0.02 * exact).alias("within_2_percent"))
+
+
 @query("a8_value_counts", sql=with_views(
     "SELECT sales_channel, COUNT(*) AS n FROM transactions GROUP BY 1", "transactions"))
 def q_value_counts(spark, sf):

@@ -373,8 +373,8 @@ def q_v12(spark, sf):
 def q_v1(spark, sf):
     d = Tables(spark, sf).documents.select("doc_id", "text")
     e = VX.embed_text(d, "text", 1 << 12)
-    return e.select("doc_id", F.size(F.filter("embedding", lambda x: x != 0)).alias("nonzero"),
-                    F.round(VX.norm("embedding"), 6).alias("norm"))
+    return e.select("doc_id", F.size(F.filter("embedding.values", lambda x: x != 0)).alias("nonzero"),
+                    F.round(VX.sparse_norm("embedding"), 6).alias("norm"))
 
 
 @query("j8_score_all_items", sql="""

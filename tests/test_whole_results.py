@@ -57,7 +57,7 @@ def test_order_helpers_with_one_extreme_value(spark):
     at = np.array(b + c)
     want = np.abs(np.searchsorted(np.sort(b), at, "right") / len(b) - np.searchsorted(np.sort(c), at, "right") / len(c)).max()
     assert abs(D.ks_two_sample(bd, cd, "x").first()["ks"] - want) < 1e-8
-    assert EV.exact_median(bd, "x", small=5) == float(np.median(b))
+    assert EV.exact_median(bd, "x") == float(np.median(b))
     ids = {r["x"]: r["x_idx"] for r in S.dense_ids(bd, "x").collect()}
     assert ids == {v: i for i, v in enumerate(sorted(set(b)))}
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")   # small data would share one range
