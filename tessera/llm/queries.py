@@ -42,7 +42,8 @@ def op3_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without the bytes of repeated 400-byte strings."""
     got = repeats.remove_repeats(table(spark, sf_dir, "documents"))
-    return got.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), "kept_sha256")
+    return got.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), "kept_sha256",
+                      (F.col("n_removed") > 0).alias("has_repeats"))
 
 
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
