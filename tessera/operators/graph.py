@@ -88,11 +88,13 @@ def co_purchase(baskets: DataFrame, basket: str, item: str, min_support: int = 2
 
     confidence(a→b) = support(a,b) / support(a);
     lift = support(a,b) · N / (support(a) · support(b)), N = baskets.
-    The arrays are stored once for the pairs, the items' support and N.
+    The pairs, the items' support and N all read the whole arrays, so that one
+    shuffle serves them (Spark reuses an exchange of the same columns).
     """
-    arrays = materialize(basket_arrays(baskets, basket, item, block))
+    arrays = basket_arrays(baskets, basket, item, block)
     item_sup = arrays.select(F.explode("items").alias("it")).groupBy("it").agg(F.count(F.lit(1)).alias("s"))
-    n = arrays.agg(F.count_if(F.col("pieces") == 1) + F.count_distinct(F.when(F.col("pieces") > 1, F.col("bk")))).scalar()
+    n = arrays.where(F.size("items") > 0).agg(
+        F.count_if(F.col("pieces") == 1) + F.count_distinct(F.when(F.col("pieces") > 1, F.col("bk")))).scalar()
     pairs = _count_pairs(arrays, min_support)
     sa = item_sup.select(F.col("it").alias("item_a"), F.col("s").alias("support_a"))
     sb = item_sup.select(F.col("it").alias("item_b"), F.col("s").alias("support_b"))
