@@ -1,13 +1,18 @@
 """Balanced label propagation of documents onto shards (DataFrame joins only).
 
-Linked documents (equal texts) start on hashed shards. In each round every
-group counts its documents per shard, picks the shard with most of them that
-still has room, and its documents on shards with fewer move there, in the order
-of a hash, as far as the shard's quota reaches. Moves go by (group, shard,
-cell): a cell is a hashed slice of a group that is larger than a fraction of a
-shard, so that a huge group is neither one row nor one task. Rounds end when
-nothing moves. Then shards are made even: surplus documents, unlinked ones
-first, go to shards with room, so that counts are at most one apart.
+Linked documents (equal texts) start on hashed shards, the votes of their
+group. In each round every group that still moves asks for one shard: the one
+that holds most of its documents among those with room for all that are left
+of the group. A group too large for every shard asks for the roomiest one, cell
+by cell; a cell is a hashed slice of a group larger than a fraction of a shard,
+so that a huge group is neither one row nor one task. A shard takes what it
+is asked for, larger groups first, as far as its quota reaches; what it refuses
+asks again in the next round, against the room then left. A shard that refuses
+something keeps at most two thirds of its room, so rounds are few; they end
+when no group is left or no cell fits. Quotas count taken documents only, so a
+table made of copies does not start full. Then shards are made even: surplus
+documents, none of them taken by a quota, go to shards with room, so that
+counts are at most one apart.
 
 Running numbers (quotas, surplus, slots) use sums over hash buckets and
 positions within a bucket; the number of buckets follows the number of rows.
@@ -51,39 +56,58 @@ def _lookup(values: dict[int, int], key: str) -> Column:
     return F.element_at(F.create_map(*pairs), F.col(key))
 
 
-def propagate(linked: DataFrame, shards: int, room: int, rounds: int = 16) -> DataFrame:
-    """``linked``: g1, g2 (group), h (row hash), cell, shard. Returns it with
-    the shards after propagation; no shard gets more than ``room`` of them."""
-    cur = staged(linked, "shards")
-    for _ in range(rounds):
-        counts = cur.groupBy("g1", "g2", "shard").agg(F.count("*").alias("n"))
-        load = {r["shard"]: r["n"] for r in counts.groupBy("shard").agg(F.sum("n").alias("n")).collect()}
-        free = {s: room - load.get(s, 0) for s in range(shards)}
-        best = F.max(F.struct(F.col("n"), F.xxhash64("g1", "shard").alias("t"), F.col("shard").alias("dst")))
-        target = (counts.where(_lookup(free, "shard") > 0).groupBy("g1", "g2").agg(best.alias("m"))
-                  .select("g1", "g2", F.col("m.dst").alias("dst"), F.col("m.n").alias("top")))
-        here = counts.select("g1", "g2", "shard", F.col("n").alias("here"))
-        units = (cur.groupBy("g1", "g2", "shard", "cell").agg(F.count("*").alias("n"))
-                 .join(here, ["g1", "g2", "shard"]).join(target, ["g1", "g2"])
-                 .where((F.col("shard") != F.col("dst")) & ((F.col("here") < F.col("top"))
-                        | ((F.col("here") == F.col("top")) & (_lookup(free, "shard") > 0)))))
-        units = staged(units.select("g1", "g2", "shard", "cell", "dst", "n", F.xxhash64("g1", "g2").alias("gh")), "moves")
+def _ask(free: dict[int, int], shards: int) -> Column:
+    """The shard a group asks for: (fits, ..., dst) from its rows and votes."""
+    room = F.array(*[F.lit(int(free[s])).cast("long") for s in range(shards)])
+
+    def option(s: Column) -> Column:
+        fits, votes = F.get(room, s) >= F.col("rows"), F.get("votes", s)
+        return F.struct(fits.alias("fits"), F.when(fits, votes).otherwise(F.get(room, s)).alias("first"),
+                        votes.alias("second"), F.xxhash64("g1", s).alias("tie"), s.alias("dst"))
+
+    return F.array_max(F.transform(F.sequence(F.lit(0), F.lit(shards - 1)), option))
+
+
+def propagate(linked: DataFrame, shards: int, room: int) -> DataFrame:
+    """``linked``: g1, g2 (group), cell, shard (start) of each document.
+    Returns the shard (``home``) of each cell that a quota has taken; no shard
+    gets more than ``room`` documents."""
+    start = linked.groupBy("g1", "g2", "cell", "shard").agg(F.count("*").alias("n"))
+    start = staged(start, "votes")
+    by_shard = F.map_from_entries(F.collect_list(F.struct("shard", "n")))       # an entry per shard
+    votes = (start.groupBy("g1", "g2", "shard").agg(F.sum("n").alias("n")).groupBy("g1", "g2").agg(by_shard.alias("m"))
+             .select("g1", "g2", F.transform(F.sequence(F.lit(0), F.lit(shards - 1)),
+                                             lambda s: F.coalesce(F.try_element_at("m", s), F.lit(0))).alias("votes")))
+    cells = start.groupBy("g1", "g2", "cell").agg(F.sum("n").alias("n"))
+    left = staged(cells.join(votes, ["g1", "g2"]), "cells")
+    homes, free = None, dict.fromkeys(range(shards), room)
+    for _ in range(64 * shards):
+        groups = left.groupBy("g1", "g2").agg(F.sum("n").alias("rows"), F.first("votes").alias("votes"))
+        asks = groups.select("g1", "g2", "rows", _ask(free, shards).alias("a")).select("g1", "g2", "rows", "a.fits", "a.dst")
+        parts = left.join(asks.where("not fits"), ["g1", "g2"]).select("g1", "g2", "cell", "dst", "rows", "n")
+        units = (asks.where("fits").select("g1", "g2", F.lit(None).cast("long").alias("cell"), "dst", "rows", F.col("rows").alias("n"))
+                 .unionAll(parts.where(F.col("n") <= _lookup(free, "dst"))))
+        units = staged(units.withColumn("gh", F.xxhash64("g1", "g2")), "asks")
         n_units = units.count()
         if not n_units:
-            break
-        taken = (running(units, ["dst"], _bucket("gh", n_units), ["gh", "shard", "cell"], F.col("n"), "before")
-                 .where(F.col("before") + F.col("n") <= _lookup(free, "dst")))
-        moved = taken.select("g1", "g2", "shard", "cell", "dst")
-        nxt = staged(cur.join(moved, ["g1", "g2", "shard", "cell"], "left")
-                     .select("g1", "g2", "h", "id", "size", "crc", "cell", F.coalesce("dst", "shard").alias("shard")), "shards")
-        if moved.isEmpty():
-            break
-        cur = nxt
-    return cur
-
-
-def shard_documents(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", text_col: str = "text",
-                    rounds: int = 16) -> DataFrame:
+            return homes if homes is not None else left.limit(0).select("g1", "g2", "cell", F.lit(0).alias("home"))
+        buckets = max(1, -(-n_units // BUCKET_ROWS))
+        large_first = F.lit(64) - F.floor(F.log2("rows"))
+        taken = staged(running(units, ["dst"], large_first * buckets + _bucket("gh", n_units), ["gh", "g2", "cell"], F.col("n"), "before")
+                       .where(F.col("before") + F.col("n") <= _lookup(free, "dst")), "taken")
+        whole = taken.where("cell is null").select("g1", "g2", F.col("dst").alias("d1"))
+        sliced = taken.where("cell is not null").select("g1", "g2", "cell", F.col("dst").alias("d2"))
+        after = staged(left.join(whole, ["g1", "g2"], "left").join(sliced, ["g1", "g2", "cell"], "left")
+                       .withColumn("home", F.coalesce("d1", "d2")).drop("d1", "d2"), "cells")
+        for r in taken.groupBy("dst").agg(F.sum("n").alias("n")).collect():
+            free[r["dst"]] -= r["n"]
+        done = after.where("home is not null").select("g1", "g2", "cell", "home")
+        homes = done if homes is None else homes.unionAll(done)
+        left = after.where("home is null").drop("home")
+    raise RuntimeError("propagation did not settle")
+
+
+def shard_documents(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: id, size (UTF-8 bytes plus 1), crc, group (g1,
     g2), group_rows, shard, slot. Counts per shard are at most one apart."""
     text = F.col(text_col).cast("string")
@@ -101,10 +125,11 @@ def shard_documents(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", t
     rows = base.join(groups, ["g1", "g2"], "left").withColumn("shard", start)
     cells = F.greatest(F.lit(1), F.ceil(F.col("rows") / cell_rows))
     linked = rows.where("rows is not null").withColumn("cell", F.pmod(F.xxhash64(F.lit("cell"), "h"), cells).cast("long"))
-    linked = propagate(linked.select("g1", "g2", "h", "id", "size", "crc", "cell", "shard"), shards, total // shards, rounds)
-    cols = ["id", "size", "crc", "g1", "g2", "h", "shard"]
-    placed = staged(rows.where("rows is null").select(*cols, F.lit(False).alias("linked"))
-                    .unionAll(linked.select(*cols, F.lit(True).alias("linked"))), "placed")
+    homes = propagate(linked.select("g1", "g2", "cell", "shard"), shards, total // shards)
+    linked = (linked.join(homes, ["g1", "g2", "cell"], "left")
+              .withColumn("linked", F.col("home").isNotNull()).withColumn("shard", F.coalesce("home", "shard")))
+    cols = ["id", "size", "crc", "g1", "g2", "h", "shard", "linked"]
+    placed = staged(rows.where("rows is null").withColumn("linked", F.lit(False)).select(*cols).unionAll(linked.select(*cols)), "placed")
     load = {r["shard"]: r["n"] for r in placed.groupBy("shard").agg(F.count("*").alias("n")).collect()}
     load = {s: load.get(s, 0) for s in range(shards)}
     order = sorted(load, key=lambda s: (-load[s], s))
