@@ -13,12 +13,22 @@ spellings share one pseudonym, each in its spelling.
 Defined cases: null stays null, a text without a valid value is returned
 unchanged; overlapping candidates are taken from the left, the first kind in
 the order of ``PATTERN`` winning. Letters are permuted within their case.
+
+Dates are taken as 1980-02-28 (also in front of a time, T10:00), 1980/02/28,
+28.2.1980, 28/2/1980, 28-2-1980, and with English month names: 28 February
+1980, 28th Feb 1980, February 28, 1980. Not taken: years of two digits, dates
+without a year, 1980.02.28 (a version number as often as a date), month names
+of other languages. IPv6 addresses are taken in the global range (2000::/3),
+link-local (fe80::/16) and private (fc00::/7) ones within their first group; the result
+is in the usual short spelling. Numbers with 00 for + need a separator, as
+plain digits may be any number.
 """
 
 from __future__ import annotations
 
 import datetime as dt
 import hashlib
+import ipaddress
 import re
 from collections.abc import Callable, Iterator
 
@@ -29,19 +39,27 @@ from pyspark.sql import types as T
 
 DEMO_KEY = b"tessera-demo-key"
 ROUNDS = 10
+MONTHS = ("January", "February", "March", "April", "May", "June", "July", "August", "September", "October", "November", "December")
+_MONTH = "(?i:" + "|".join(f"{m[:3]}(?:{m[3:]})?" if len(m) > 3 else m for m in MONTHS) + "|Sept)"
 
 #: Shapes, first match wins. Validity is checked afterwards.
 PATTERN = re.compile(r"""
   (?P<email>(?<![\w.+-])[A-Za-z0-9](?:[\w.+-]{0,62}[A-Za-z0-9])?@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}(?![\w-]))
  |(?P<iban>(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?:\ ?[A-Z0-9]{4}){2,7}(?:\ ?[A-Z0-9]{1,3})?(?![A-Za-z0-9]))
  |(?P<ip>(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?![\w]|\.\d))
- |(?P<ymd>(?<![\w-])\d{4}-\d{2}-\d{2}(?![\w]|-\d))
+ |(?P<ip6>(?=[23Ff])(?<![\w:.])(?:[23][0-9A-Fa-f]{3}|[Ff](?:[Ee]80|[CcDd][0-9A-Fa-f]{2}))(?::[0-9A-Fa-f]{0,4}){2,8}(?![\w:]|\.\d))
+ |(?P<ymd>(?<![\w-])\d{4}-\d{2}-\d{2}(?:(?=T\d{2}:?\d{2})|(?![\w]|-\d)))
+ |(?P<ysd>(?<![\w/.-])\d{4}/\d{1,2}/\d{1,2}(?![\w/]|[.-]\d))
+ |(?P<dhy>(?<![\w./-])\d{1,2}-\d{1,2}-\d{4}(?![\w]|[./-]\d))
+ |(?P<dayname>(?<![\w./-])\d{1,2}(?i:st|nd|rd|th)?[ ]MONTH\.?,?[ ]\d{4}(?!\w))
+ |(?P<nameday>(?<!\w)(?=[JFMASONDjfmasond][A-Za-z]{2,8}\.?[ ]\d)MONTH\.?[ ]\d{1,2}(?i:st|nd|rd|th)?,?[ ]\d{4}(?!\w))
  |(?P<dmy>(?<![\w./])\d{1,2}(?P<sep>[./])\d{1,2}(?P=sep)\d{4}(?![\w]|[./]\d))
  |(?P<ssn>(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w]|-\d))
  |(?P<phone>(?<![\w.-])(?:\+1[ .-]?)?(?:\(\d{3}\)[ ]?|\d{3}[ .-])\d{3}[ .-]\d{4}(?![\w]|-\d))
  |(?P<intl>(?<![\w.-])\+\d{1,3}(?:[ .-]?\d{2,5}){2,5}(?![\w]|-\d))
+ |(?P<out>(?<![\w.-])(?<!\d[ ])00[1-9]\d{0,2}(?:[ .-]?\d{2,5}){2,5}(?![\w]|-\d))
  |(?P<card>(?<![\w-])\d(?:[ -]?\d){12,18}(?![\w]|-\d))
-""", re.VERBOSE | re.ASCII)
+""".replace("MONTH", _MONTH), re.VERBOSE | re.ASCII)
 MAYBE = re.compile("[0-9@]")
 FIRST_DAY, LAST_DAY = dt.date(1900, 1, 1).toordinal(), dt.date(2099, 12, 31).toordinal()
 
@@ -161,6 +179,19 @@ def _ip(v: str, step: Step) -> str | None:
     return f"{x // 2**24 + 1}.{x // 2**16 % 256}.{x // 256 % 256}.{x % 256}"
 
 
+def _ip6(v: str, step: Step) -> str | None:
+    try:
+        old = int(ipaddress.IPv6Address(v))
+    except ValueError:
+        return None
+    if not re.search("[0-9]", v):
+        return None
+    bits = 125 if old >> 125 == 1 else 112              # the range, or the first group, stays
+    x = old >> bits << bits | step(f"ip6|{old >> bits}", old & ((1 << bits) - 1), 1 << bits)
+    new = str(ipaddress.IPv6Address(x))
+    return new.upper() if re.search("[A-F]", v) else new
+
+
 def _day(y: int, m: int, d: int, step: Step) -> dt.date | None:
     try:
         day = dt.date(y, m, d).toordinal()
@@ -176,9 +207,38 @@ def _ymd(v: str, step: Step) -> str | None:
     return new and new.isoformat()
 
 
+def _ysd(v: str, step: Step) -> str | None:
+    y, m, d = v.split("/")
+    new = _day(int(y), int(m), int(d), step)
+    return new and "/".join([str(new.year), *(f"{x:02d}" if len(old) == 2 else str(x) for x, old in ((new.month, m), (new.day, d)))])
+
+
+def _named(v: str, step: Step) -> str | None:
+    """Month names keep their length (short or full) and case, days their
+    ordinal endings."""
+    words = re.findall(r"[A-Za-z]+|\d+|[^A-Za-z\d]+", v)
+    at = next(i for i, w in enumerate(words) if w[:3].title() in {m[:3] for m in MONTHS})
+    nums = [i for i, w in enumerate(words) if w.isdigit()]
+    name, day = words[at], words[nums[0]]
+    new = _day(int(words[nums[1]]), [m[:3] for m in MONTHS].index(name[:3].title()) + 1, int(day), step)
+    if new is None:
+        return None
+    full = MONTHS[new.month - 1]
+    full = full if name.title() in MONTHS else full[:3]
+    words[at] = full.upper() if name.isupper() else full.lower() if name.islower() else full
+    words[nums[0]] = f"{new.day:02d}" if len(day) == 2 else str(new.day)
+    end = words[nums[0] + 1]
+    if end.lower() in ("st", "nd", "rd", "th"):
+        right = "th" if new.day // 10 == 1 else {1: "st", 2: "nd", 3: "rd"}.get(new.day % 10, "th")
+        words[nums[0]] = str(new.day)
+        words[nums[0] + 1] = right.upper() if end.isupper() else right
+    words[nums[1]] = str(new.year)
+    return "".join(words)
+
+
 def _dmy(v: str, step: Step) -> str | None:
     """Day first; month first where only that is a date."""
-    a, sep, b, _, y = re.split(r"([./])", v)
+    a, sep, b, _, y = re.split(r"([./-])", v)
     if new := _day(int(y), int(b), int(a), step):
         a, b = (f"{x:02d}" if len(old) == 2 else str(x) for x, old in ((new.day, a), (new.month, b)))
     elif new := _day(int(y), int(a), int(b), step):
@@ -213,8 +273,14 @@ def _intl(v: str, step: Step) -> str | None:
     return _refill(v, d[:2] + str(step(f"intl|{d[:2]}", int(d[2:]), 10 ** n)).zfill(n))
 
 
-KINDS = {"email": _email, "iban": _iban, "ip": _ip, "ymd": _ymd, "dmy": _dmy, "ssn": _ssn, "phone": _phone,
-         "intl": _intl, "card": _card}
+def _out(v: str, step: Step) -> str | None:
+    """00 in place of +: the same pseudonym as the number with +."""
+    new = _intl(v[2:], step) if re.search("[ .-]", v) else None
+    return new and "00" + new
+
+
+KINDS = {"email": _email, "iban": _iban, "ip": _ip, "ip6": _ip6, "ymd": _ymd, "ysd": _ysd, "dhy": _dmy, "dayname": _named,
+         "nameday": _named, "dmy": _dmy, "ssn": _ssn, "phone": _phone, "intl": _intl, "out": _out, "card": _card}
 
 
 def pseudonymise(text: str, step: Step) -> tuple[str, list[tuple[str, int, int, str]]]:
@@ -227,6 +293,8 @@ def pseudonymise(text: str, step: Step) -> tuple[str, list[tuple[str, int, int,
         kind, v = m.lastgroup if m.lastgroup != "sep" else "dmy", m.group()
         # a number behind a card or account may have been taken for its last group
         cuts = [m.end() - m.start(), *(c.start() for c in list(re.finditer("[ -]", v))[::-1])] if kind in ("card", "iban") else [len(v)]
+        if kind == "ip6" and v.endswith(":"):  # a colon of the sentence
+            cuts.append(len(v) - 1)
         if kind == "card":                     # the usual lengths first
             cuts.sort(key=lambda c: sum(x.isdigit() for x in v[:c]) not in (15, 16))
         new = None

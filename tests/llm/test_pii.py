@@ -1,4 +1,5 @@
 import datetime as dt
+import ipaddress
 
 import pytest
 
@@ -36,6 +37,48 @@ def test_formats_stay_valid_and_values_stay_linked():
     assert back == text
 
 
+def test_dates_in_all_shapes_share_a_pseudonym():
+    shapes = ["1980-02-28", "1980-02-28T10:00:00Z", "1980/02/28", "28-02-1980", "28.02.1980", "28/02/1980", "28 February 1980",
+              "28th FEB 1980", "February 28, 1980", "feb. 28 1980", "28 Feb, 1980"]
+    days = set()
+    for v in shapes:
+        out, found = pii.pseudonymise(f"on {v}, they said", NET.permute)
+        assert len(found) == 1 and "1980" not in out and out.startswith("on ") and out.endswith(", they said")
+        kind, _, _, new = found[0]
+        if kind in ("dayname", "nameday"):
+            name = next(w for w in new.replace(".", " ").replace(",", " ").split() if w.isalpha())
+            m = [x[:3].lower() for x in pii.MONTHS].index(name[:3].lower()) + 1
+            d, y = (int("".join(c for c in w if c.isdigit())) for w in new.replace(",", "").split() if any(c.isdigit() for c in w))
+        else:
+            p = [int(x) for x in new.replace("/", "-").replace(".", "-").split("-")]
+            y, m, d = p if p[0] > 31 else p[::-1]
+        days.add(dt.date(y, m, d))
+    assert len(days) == 1
+    plain = " | ".join(s for s in shapes if "th" not in s)
+    back, n = pii.pseudonymise(pii.pseudonymise(plain, NET.permute)[0], NET.undo)
+    assert back == plain and len(n) == len(shapes) - 1
+    ends = [pii.pseudonymise(f"{d}th March 2001", NET.permute)[0].split()[0] for d in range(4, 21)]
+    assert all(e.endswith("th") if int(e[:-2]) in (*range(4, 21), *range(24, 31)) else e[-2:] in ("st", "nd", "rd") for e in ends)
+
+
+def test_addresses_and_numbers_with_00():
+    text = "from 2001:db8::8a2e:370:7334, fe80::1ff:fe23:4567:890a and fd12:3456:789a:1::1: call 0049 30 1234567 or +49 30 1234567"
+    out, found = pii.pseudonymise(text, NET.permute)
+    assert [f[0] for f in found] == ["ip6", "ip6", "ip6", "out", "intl"]
+    new = [f[3] for f in found]
+    assert all(ipaddress.IPv6Address(v) for v in new[:3]) and new[0][0] in "23" and new[1][:4] == "fe80" and new[2][:4] == "fd12"
+    assert new[3][2:] == new[4][1:] and new[3] != "0049 30 1234567"
+    assert pii.pseudonymise(out, NET.undo)[0] == text
+    other = "2001:0DB8:0:0:0:8A2E:0370:7334"
+    assert pii.pseudonymise(other, NET.permute)[0] == new[0].upper()
+
+
+def test_shapes_that_are_none_stay():
+    text = ("10:00:00 aa:bb:cc:dd:ee:ff std::vector fade::face ::1 2021/13/04 /2021/03/04/ 30-02-1980 31 June 1980 "
+            "May 1980 In March 12 people 0049301234567 1980.02.28 12-34-5678-9012 3-2-1 2001:db8:::1")
+    assert pii.pseudonymise(text, NET.permute) == (text, [])
+
+
 def test_invalid_values_stay():
     text = "4111111111111112 1980-02-30 999.1.1.1 000-12-3456 (123) 555-0000 v4.0. 12345 a@b DE00 3704 0044 0532 0130 00"
     assert pii.pseudonymise(text, NET.permute) == (text, [])
