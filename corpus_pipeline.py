@@ -25,6 +25,17 @@ def _like(df: DataFrame, docs: DataFrame) -> DataFrame:
     return df.select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
+def _fresh(docs: DataFrame, *names: str) -> list[str]:
+    """The names, made longer where ``docs`` has such columns itself."""
+    have = {c.lower() for c in docs.columns}
+    out = []
+    for name in names:
+        while name in have:
+            name += "_"
+        out.append(name)
+    return out
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose score stays below the threshold (no other changes)."""
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
@@ -40,19 +51,21 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a benchmark phrase. The hits are few, so only their
     keys are joined back."""
-    hits = decontaminate.find_matches(docs.withColumn("__text_in", F.col("text")), table(spark, sf_dir, "benchmark"),
-                                      keep=("doc_id", "text"), text_col="__text_in", near=None)
+    text_in, k1, k2 = _fresh(docs, "__text_in", "__k1", "__k2")
+    hits = decontaminate.find_matches(docs.withColumn(text_in, F.col("text")), table(spark, sf_dir, "benchmark"),
+                                      keep=("doc_id", "text"), text_col=text_in, near=None)
     bad = staged(hits.where("size(hits) > 0").select(*row_key("doc_id", "text")).distinct(), "contaminated")
-    keyed = docs.withColumns(dict(zip(("__k1", "__k2"), row_key("doc_id", "text"))))
-    return _like(keyed.join(bad.withColumnsRenamed({"k1": "__k1", "k2": "__k2"}), ["__k1", "__k2"], "left_anti"), docs)
+    keyed = docs.withColumns(dict(zip((k1, k2), row_key("doc_id", "text"))))
+    return _like(keyed.join(bad.withColumnsRenamed({"k1": k1, "k2": k2}), [k1, k2], "left_anti"), docs)
 
 
 def hide_personal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pseudonyms in place of personal values; n_chars is made anew for
     changed texts."""
-    got = pii.pseudonymise_table(docs, found_col="__pii")
+    found, = _fresh(docs, "__pii")
+    got = pii.pseudonymise_table(docs, found_col=found)
     if "n_chars" in docs.columns:
-        got = got.withColumn("n_chars", F.when(F.size("__pii") > 0, F.length("text").cast(docs.schema["n_chars"].dataType))
+        got = got.withColumn("n_chars", F.when(F.size(found) > 0, F.length("text").cast(docs.schema["n_chars"].dataType))
                              .otherwise(F.col("n_chars")))
     return _like(got, docs)
 
