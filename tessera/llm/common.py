@@ -47,10 +47,6 @@ def in_ranges(df: DataFrame, cols: list[str], name: str) -> DataFrame:
     return staged(df.repartitionByRange(*cols).withColumn("_b", F.spark_partition_id()), name)
 
 
-def text_or_empty(text: str = "text") -> Column:
-    return F.coalesce(F.col(text).cast("string"), F.lit(""))
-
-
 def row_key(*cols: str) -> list[Column]:
     """Two 64-bit hashes of the given columns (``k1``, ``k2``): equal rows get
     equal keys, and 128 bits keep different rows apart at any realistic size."""
@@ -58,11 +54,6 @@ def row_key(*cols: str) -> list[Column]:
             F.xxhash64(F.lit("second"), *[F.col(c) for c in reversed(cols)]).alias("k2")]
 
 
-def scatter(df: DataFrame, rows_each: int = 2000) -> DataFrame:
-    """Small driving tables (benchmark items, templates) dealt out by round robin."""
-    return df.repartition(max(1, -(-df.count() // rows_each)))
-
-
 def held_out(id_col: str, modulus: int, remainder: int) -> Column:
     """crc32 of the id as text, modulo: the fixed split of labelled rows.
     A null id counts as the text ''."""

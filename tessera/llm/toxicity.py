@@ -278,8 +278,27 @@ def evidence_weight(pos: np.ndarray, neg: np.ndarray, q: float) -> np.ndarray:
     return 1 + z * z
 
 
+def within_bytes(rows: DataFrame, bound: dict[int, int]) -> DataFrame:
+    """``rows`` (__id, __y, __text) of as many ids of each label as ``bound``
+    bytes hold, in the order of the id's hash. The ids are those of the sample."""
+    h = F.xxhash64(F.col("__id").cast("string"))
+    sizes = (rows.groupBy("__y", h.alias("h")).agg(F.sum(F.coalesce(F.octet_length("__text"), F.lit(0)).cast("long")).alias("n"))
+             .toArrow().to_pylist())
+    keep = F.lit(True)
+    for y, most in bound.items():
+        left, out = most, []
+        for r in sorted((r for r in sizes if r["__y"] == y), key=lambda r: r["h"]):
+            if r["n"] > min(left, most // 16):
+                out.append(r["h"])
+            else:
+                left -= r["n"]
+        if out:
+            keep = keep & ~((F.col("__y") == y) & h.isin(out))
+    return rows.where(keep)
+
+
 def fit(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: str = "doc_id", label_col: str = "toxic",
-        toxic_rows: int = 3000, clean_rows: int = 6000, min_z: float = 0.0, min_rows: int = 1) -> Model:
+        toxic_rows: int = 3000, clean_rows: int = 6000, min_z: float = 0.0, min_rows: int = 1, sample_bytes: int = 48 << 20) -> Model:
     """Model from a bounded sample of ``labels`` (rows with crc32(id) mod 4 = 2
     never take part). Sampling touches ids only; the sample's texts are staged
     once, terms are counted by Spark. ``min_z`` and ``min_rows`` leave no term out unless they are set."""
@@ -291,6 +310,8 @@ def fit(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: str
     rows = staged(docs.select(F.col(id_col).alias("__id"), F.col(text_col).cast("string").alias("__text"))
                   .join(F.broadcast(picked[0].unionAll(picked[1])), "__id"), "labelled")
 
+    rows = within_bytes(rows, {1: sample_bytes // 3, 0: sample_bytes - sample_bytes // 3})
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             y = b.column(0).to_numpy()

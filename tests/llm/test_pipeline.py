@@ -1,6 +1,7 @@
 """Stages against brute-force decisions, and the queries that have SQL."""
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 import corpus_pipeline
@@ -55,6 +56,15 @@ def test_stages_on_odd_rows(spark, odd, nothing):
             cur = nxt
 
 
+def test_columns_named_like_the_stages_own_survive(spark, docs):
+    own = ("__text_in", "__k1", "__K2", "__pii")
+    df = docs.limit(60).withColumns({c: F.concat(F.lit(c), F.col("doc_id")) for c in own})
+    for stage in (corpus_pipeline.drop_contaminated, corpus_pipeline.hide_personal):
+        got = stage(spark, df, SF)
+        assert got.columns == df.columns
+        assert all(r[c] == f"{c}{r.doc_id}" for r in got.collect() for c in own)
+
+
 @pytest.mark.parametrize("name", sorted(SQL))
 def test_sql(spark, name):
     con = duckdb.connect()

@@ -75,3 +75,16 @@ def test_stage_drops_toxic_rows_of_a_small_table(spark):
     lab = {r.doc_id: r.toxic for r in labels.collect()}
     gone = [lab[r.doc_id] for r in docs.select("doc_id").collect() if r.doc_id not in kept and r.doc_id in lab]
     assert sum(gone) >= 6 and sum(gone) >= 0.6 * len(gone)
+
+
+def test_sample_is_bounded_in_bytes(spark):
+    rows = spark.createDataFrame([(i, i % 2, "x" * (100 if i % 5 else 2000)) for i in range(200)] + [(None, 1, None)],
+                                 "__id long, __y int, __text string")
+    got = toxicity.within_bytes(rows, {1: 3200, 0: 10_000}).collect()
+    size = {y: sum(len(r["__text"] or "") for r in got if r["__y"] == y) for y in (0, 1)}
+    assert size[1] == 3200 and size[0] == 8000 and {len(r["__text"]) for r in got if r["__text"]} == {100}
+    assert toxicity.within_bytes(rows, {1: 1 << 30, 0: 1 << 30}).count() == 201
+    docs = spark.createDataFrame([(i, f"good words {i} " * 20) for i in range(60)] + [(99, "awful " * 5)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 0) for i in range(60)] + [(99, 1)], "doc_id long, toxic int")
+    assert len(toxicity.fit(docs, labels, sample_bytes=0).ids) == 0
+    assert 0 < len(toxicity.fit(docs, labels, sample_bytes=9000).ids) < len(toxicity.fit(docs, labels).ids)
