@@ -66,7 +66,8 @@ def test_a_large_refused_group_does_not_hold_up_smaller_ones(spark):
     parts = defaultdict(set)
     for r in got:
         parts[r.id // 1000].add(r.shard)
-    assert sum(len(p) == 1 for p in parts.values()) >= 10
+    # 79 places a shard: 70 + 6, 70 + 6 and 50 + 4 x 6 fit, two groups of 6 do not
+    assert sum(len(p) == 1 for p in parts.values()) >= 9
 
 
 def test_no_python_on_executors(spark):
