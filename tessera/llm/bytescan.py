@@ -126,6 +126,13 @@ def rows_of(positions: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return np.searchsorted(offsets, positions, "right") - 1
 
 
+def word_hashes(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hash and row of every lower-cased word."""
+    low = LOWER[data]
+    s, e = runs(ALNUM[low], off)
+    return span_hashes(low, s, e), rows_of(s, off)
+
+
 def ranges(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """starts[i] .. starts[i] + counts[i] - 1, all in one array."""
     total = int(counts.sum())

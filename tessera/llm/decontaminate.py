@@ -11,9 +11,9 @@ offset-adjusted postings of the others from rare to frequent. What is left are
 the exact phrase matches. Proximity matches take the window's three rarest
 terms and ask for all of them within ``near`` words, in any order.
 
-The benchmark is a stated query set. It is searched in blocks of
-``block_words`` words, so that what is broadcast (vocabulary and windows of a
-block) has a bound whatever the size of the benchmark.
+The benchmark is a stated query set. Up to ``block_words`` words its vocabulary
+and windows are broadcast. A larger one never passes the driver: its windows are
+a table that meets the postings in joins (``phrase_join``).
 
 Defined cases: null or wordless texts and items have no words and never match;
 an item of fewer than ten words is one window; repeated items and rows count
@@ -31,21 +31,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.llm import bytescan as B
+from tessera.llm import phrase_join
 from tessera.llm.common import row_key, staged
 
 WINDOW = 10
 
 
-def _words(column) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hash and row of every word, and the row offsets, of a batch piece."""
-    data, off = column
-    low = B.LOWER[data]
-    s, e = B.runs(B.ALNUM[low], off)
-    return B.span_hashes(low, s, e), B.rows_of(s, off), off
-
-
 class TestSet:
-    """Vocabulary and windows of one block of benchmark items."""
+    """Vocabulary and windows of a benchmark of bounded size."""
 
     __test__ = False
 
@@ -53,7 +46,7 @@ class TestSet:
         self.ids = sorted({i for i, _ in items})
         place = {i: k for k, i in enumerate(self.ids)}
         data, off = B.flat(pa.array([t for _, t in items], pa.string()))
-        h, row, _ = _words((data, off))
+        h, row = B.word_hashes(data, off)
         self.vocab, term = np.unique(h, return_inverse=True)
         bounds = np.searchsorted(row, np.arange(len(items) + 1))
         wins: dict[tuple, set] = {}
@@ -123,7 +116,7 @@ def build_index(docs: DataFrame, vocab: np.ndarray, text_col: str, keep: tuple[s
         for b in batches:
             data, off = B.flat(b.column(len(cols)))
             for i, j in B.pieces(off):
-                h, row, _ = _words((data[off[i]:off[j]], off[i:j + 1] - off[i]))
+                h, row = B.word_hashes(data[off[i]:off[j]], off[i:j + 1] - off[i])
                 n = B.per_row(row, j - i)
                 first = np.cumsum(n) - n
                 t = np.minimum(np.searchsorted(v, h), max(len(v) - 1, 0))
@@ -208,55 +201,31 @@ def search_index(index: DataFrame, tests: TestSet, keep: tuple[str, ...], near:
     return index.select(*keep, "k1", "k2", "n_words", "terms", "places").mapInArrow(run, schema)
 
 
-def _blocks(benchmark: DataFrame, id_col: str, text_col: str, block_words: int, rows_each: int = 20_000):
-    """Benchmark items, block by block (each block of bounded size)."""
+def _small(benchmark: DataFrame, id_col: str, text_col: str, most_words: int, most_rows: int) -> list[tuple[str, str]] | None:
+    """The benchmark's items, or None if there are more than the bounds allow."""
     items = benchmark.select(F.coalesce(F.col(id_col).cast("string"), F.lit("null")).alias("i"),
                              F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("t"))
-    block, chars = [], 0
-    for r in items.toLocalIterator(prefetchPartitions=False):   # one partition of the query set at a time
-        block.append((r["i"], r["t"]))
-        chars += len(r["t"])
-        if chars >= 6 * block_words or len(block) >= rows_each:
-            yield block
-            block, chars = [], 0
-    yield block
+    size = items.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("i") + F.octet_length("t")), F.lit(0)).alias("b")).first()
+    if size["n"] > most_rows or size["b"] > 6 * most_words:
+        return None
+    return [(r["i"], r["t"]) for r in items.collect()]
 
 
 def find_matches(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",),
                  id_col: str = "item_id", item_text: str = "text", window: int = WINDOW, near: int | None = 20,
-                 block_words: int = 1_000_000) -> DataFrame:
+                 block_words: int = 1_000_000, block_rows: int = 20_000) -> DataFrame:
     """For every document: ``keep``, ``n_words``, ``hits`` (runs of hit words),
-    ``items`` and ``near_items`` (item ids with exact and proximity matches)."""
-    out = None
-    for block in _blocks(benchmark, id_col, item_text, block_words):
-        if out is not None and not block:
-            break
-        tests = TestSet(block, window)
-        index = staged(build_index(docs, tests.vocab, text_col, keep), "postings")
-        tests.rank(term_counts(index, len(tests.vocab)))
-        got = search_index(index, tests, keep, near)
-        out = got if out is None else _merge(staged(out, "matches"), staged(got, "matches"), keep)
-    return out.select(*keep, "n_words", "hits", "items", "near_items")
-
-
-def _merge(a: DataFrame, b: DataFrame, keep: tuple[str, ...]) -> DataFrame:
-    """Two blocks' matches of the same documents; few rows have any, so only
-    those are joined to the rest (equal rows have equal matches)."""
-    found = b.where("size(hits) > 0 or size(near_items) > 0").groupBy("k1", "k2").agg(
-        F.first("hits").alias("h2"), F.first("items").alias("i2"), F.first("near_items").alias("n2"))
-    none = F.expr("cast(array() as array<struct<s:bigint,e:bigint>>)")
-    j = a.join(found, ["k1", "k2"], "left")
-    runs = F.array_sort(F.concat("hits", F.coalesce("h2", none)))
-    empty = F.array().cast("array<string>")
-    union = F.aggregate(runs, none, lambda acc, x: F.when(
-        (F.size(acc) > 0) & (F.try_element_at(acc, F.lit(-1))["e"] >= x["s"]),
-        F.concat(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))),
-                 F.array(F.struct(F.try_element_at(acc, F.lit(-1))["s"].alias("s"),
-                                  F.greatest(F.try_element_at(acc, F.lit(-1))["e"], x["e"]).alias("e")))))
-        .otherwise(F.concat(acc, F.array(x))))
-    return j.select(*keep, "k1", "k2", "n_words", union.alias("hits"),
-                    F.array_distinct(F.concat("items", F.coalesce("i2", empty))).alias("items"),
-                    F.array_distinct(F.concat("near_items", F.coalesce("n2", empty))).alias("near_items"))
+    ``items`` and ``near_items`` (item ids with exact and proximity matches).
+    A benchmark of more than ``block_words`` words (six bytes each) or
+    ``block_rows`` items is searched by joins (``phrase_join``), with the same
+    results."""
+    items = _small(benchmark, id_col, item_text, block_words, block_rows)
+    if items is None:
+        return phrase_join.find_matches(docs, benchmark, text_col, keep, id_col, item_text, window, near)
+    tests = TestSet(items, window)
+    index = staged(build_index(docs, tests.vocab, text_col, keep), "postings")
+    tests.rank(term_counts(index, len(tests.vocab)))
+    return search_index(index, tests, keep, near).select(*keep, "n_words", "hits", "items", "near_items")
 
 
 def report(matches: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:

@@ -5,6 +5,8 @@ import pytest
 
 from tessera.llm import decontaminate
 
+from tests.llm.conftest import SF
+
 W = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
 
@@ -101,10 +103,11 @@ def test_proximity_ends_with_the_document(spark):
     assert got == brute_near(docs, items) == [("1", []), ("2", []), ("3", []), ("4", []), ("5", ["2"])]
 
 
-def test_proximity_against_brute_force(spark):
+@pytest.mark.parametrize("block_words", [1_000_000, 20])
+def test_proximity_against_brute_force(spark, block_words):
     docs, items = data()
     got = decontaminate.find_matches(spark.createDataFrame(docs, "doc_id long, text string").coalesce(1),
-                                     spark.createDataFrame(items, "item_id long, text string"))
+                                     spark.createDataFrame(items, "item_id long, text string"), block_words=block_words)
     assert sorted((str(r.doc_id), sorted(r.near_items)) for r in got.collect()) == brute_near(docs, items)
 
 
@@ -114,3 +117,17 @@ def test_odd_rows(spark, odd, nothing):
     assert got[5] == 3 and got[0] == 0
     assert decontaminate.find_matches(nothing, bench).count() == 0
     assert decontaminate.find_matches(odd, bench.where("false")).count() == odd.count()
+
+
+def test_odd_rows_by_joins(spark, odd, nothing):
+    bench = spark.createDataFrame([(1, "a b c"), (None, None), (2, "a b c"), (2, "word " * 12)], "item_id long, text string")
+    few, many = (decontaminate.report(decontaminate.find_matches(odd, bench, block_rows=n)).collect() for n in (9, 1))
+    key = lambda r: tuple(str(x) for x in r)
+    assert sorted(few, key=key) == sorted(many, key=key) and {r.n_hit for r in many if r.doc_id == 8} == {400}
+    assert decontaminate.find_matches(nothing, bench, block_rows=1).count() == 0
+
+
+def test_joins_equal_broadcast_on_tables(spark):
+    docs, bench = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "benchmark"))
+    few, many = (sorted(decontaminate.report(decontaminate.find_matches(docs, bench, block_rows=n)).collect()) for n in (20_000, 1))
+    assert few == many and any(r.contaminated for r in many)
