@@ -96,3 +96,15 @@ def test_silhouette_uses_all_rows_in_blocks(spark):
 def test_no_nested_loop_or_cartesian_join(spark, name):
     plan = E.queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+
+
+def test_silhouette_copies_no_rows_per_block_pair(spark):
+    """The same figure for any number of blocks, null labels and repeated keys
+    included, with no rows shuffled to pairs of blocks."""
+    rng = np.random.default_rng(3)
+    rows = [(int(i % 70), v.tolist(), None if i % 9 == 0 else "ab"[i % 2]) for i, v in enumerate(rng.normal(0, 1, (90, 4)))]
+    df = spark.createDataFrame(rows, "k long, v array<double>, l string")
+    got = [EV.silhouette(df, "k", "v", "l", block_rows=b) for b in (7, 1000)]
+    assert got[0].first()[0] == pytest.approx(got[1].first()[0], abs=1e-6)
+    plan = got[0]._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapGroupsInPandas" not in plan and plan.count("CartesianProduct") > 0
