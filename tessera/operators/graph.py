@@ -39,36 +39,55 @@ def build_order_graph(customers: DataFrame, orders: DataFrame, lines: DataFrame)
     return nodes, edges
 
 
-def basket_arrays(baskets: DataFrame, basket: str, item: str, block: int = 64) -> DataFrame:
-    """bk, h, pieces, items: the distinct items of each basket as a sorted
-    array. A basket of more than ``block`` rows is cut by item hash into
-    ``pieces`` of about ``block`` items, so that no array grows with a hot
-    basket. Null baskets and items are left out.
-
-    One short pass counts rows per basket first. Where all baskets are small,
-    nothing is joined: one shuffle gathers the arrays."""
+ROWS_EACH, PAIRS_EACH = 250_000, 1_000_000     # rows and pairs of one task
+
+
+def _tasks(df: DataFrame, n: int, each: int) -> int:
+    """Tasks of about ``each`` rows, or less where that leaves cores idle."""
+    return max(1, -(-n // each), min(df.sparkSession.sparkContext.defaultParallelism, n // 10_000))
+
+
+def basket_arrays(baskets: DataFrame, basket: str, item: str, block: int = 64) -> tuple[DataFrame, int]:
+    """(t, bk, h, pieces, items; number of pairs at most): the distinct items of
+    each basket as a sorted array. A basket of more than ``block`` rows is cut by
+    item hash into ``pieces`` of about ``block`` items, so that no array grows
+    with a hot basket. Null baskets and items are left out.
+
+    The pairs of basket and item are stored once and counted, then the rows per
+    basket. Where all baskets are small, nothing is joined: one shuffle gathers
+    the arrays, in as many tasks (``t``) as the rows ask for."""
     bi = baskets.select(F.col(basket).alias("bk"), F.col(item).alias("it")).where("bk is not null and it is not null")
-    big = bi.groupBy("bk").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > block)
-    big = materialize(big.select("bk", F.ceil(F.col("n") / block).cast("int").alias("pieces")))
-    if big.isEmpty():
+    bi = materialize(bi)
+    tasks = _tasks(bi, bi.count(), ROWS_EACH)
+    per = bi.repartition(tasks, "bk").groupBy("bk").agg(F.count(F.lit(1)).alias("n"))
+    most, pairs = per.agg(F.max("n"), F.sum(F.col("n").cast("decimal(20,0)") * (F.col("n") - 1) / 2)).first()
+    if (most or 0) <= block:
         cut = bi.withColumns({"pieces": F.lit(1), "h": F.lit(0)})
     else:
+        big = materialize(per.where(F.col("n") > block).select("bk", F.ceil(F.col("n") / block).cast("int").alias("pieces")))
         cut = bi.join(big, "bk", "left").withColumn("pieces", F.coalesce("pieces", F.lit(1)))
         cut = cut.withColumn("h", F.pmod(F.xxhash64("it"), F.col("pieces")).cast("int"))
-    return cut.groupBy("bk", "h", "pieces").agg(F.sort_array(F.collect_set("it")).alias("items"))
+    cut = cut.withColumn("t", F.pmod(F.xxhash64("bk", "h"), F.lit(tasks)).cast("int")).repartitionById(tasks, "t")
+    return cut.groupBy("t", "bk", "h", "pieces").agg(F.sort_array(F.collect_set("it")).alias("items")), int(pairs or 0)
 
 
-def _count_pairs(arrays: DataFrame, min_support: int) -> DataFrame:
+def _count_pairs(arrays: DataFrame, most: int, min_support: int) -> DataFrame:
+    """Pairs are counted inside each task of the arrays first (no shuffle), then
+    over all, in as many tasks as ``most`` pairs ask for."""
     # inside an array: each item with those behind it
-    inside = arrays.where(F.size("items") > 1).select("items", F.posexplode("items").alias("i", "a")).select(
-        "a", F.explode(F.slice("items", F.col("i") + 2, F.size("items"))).alias("b"))
+    inside = arrays.where(F.size("items") > 1).select("t", "items", F.posexplode("items").alias("i", "a")).select(
+        "t", "a", F.explode(F.slice("items", F.col("i") + 2, F.size("items"))).alias("b"))
     # across the pieces of a large basket: each two pieces are one row
     cut = arrays.where("pieces > 1")
     low = cut.select("bk", "h", F.explode(F.sequence(F.col("h"), F.col("pieces") - 1)).alias("o"), F.col("items").alias("x")).where("o > h")
     high = cut.select("bk", F.col("h").alias("o"), F.explode(F.sequence(F.lit(0), F.col("h"))).alias("h"), F.col("items").alias("y")).where("h < o")
-    across = low.join(high, ["bk", "h", "o"]).select(F.explode("x").alias("a"), "y").select("a", F.explode("y").alias("b"))
-    pairs = inside.unionAll(across.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
-    out = pairs.groupBy(F.col("a").alias("item_a"), F.col("b").alias("item_b")).agg(F.count(F.lit(1)).alias("support"))
+    tasks = _tasks(arrays, most, PAIRS_EACH)
+    met = low.join(high, ["bk", "h", "o"]).select(F.pmod(F.xxhash64("bk", "h", "o"), F.lit(tasks)).cast("int").alias("t"), "x", "y")
+    across = met.repartitionById(tasks, "t").select("t", F.explode("x").alias("a"), "y").select("t", "a", F.explode("y").alias("b"))
+    across = across.select("t", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    here = [p.groupBy("t", "a", "b").agg(F.count(F.lit(1)).alias("n")).select("a", "b", "n") for p in (inside, across)]
+    out = here[0].unionAll(here[1]).repartition(tasks, "a", "b").groupBy(F.col("a").alias("item_a"), F.col("b").alias("item_b")).agg(
+        F.sum("n").alias("support"))
     return out.where(F.col("support") >= min_support) if min_support > 1 else out
 
 
@@ -79,7 +98,7 @@ def basket_pairs(baskets: DataFrame, basket: str, item: str, min_support: int =
     Pairs come from the baskets' arrays, not from a self-join of their rows, and
     are counted partially before the shuffle; pieces of a large basket meet two
     by two."""
-    return _count_pairs(basket_arrays(baskets, basket, item, block), min_support)
+    return _count_pairs(*basket_arrays(baskets, basket, item, block), min_support)
 
 
 def co_purchase(baskets: DataFrame, basket: str, item: str, min_support: int = 2,
@@ -91,11 +110,11 @@ def co_purchase(baskets: DataFrame, basket: str, item: str, min_support: int = 2
     The pairs, the items' support and N all read the whole arrays, so that one
     shuffle serves them (Spark reuses an exchange of the same columns).
     """
-    arrays = basket_arrays(baskets, basket, item, block)
+    arrays, most = basket_arrays(baskets, basket, item, block)
     item_sup = arrays.select(F.explode("items").alias("it")).groupBy("it").agg(F.count(F.lit(1)).alias("s"))
     n = arrays.where(F.size("items") > 0).agg(
         F.count_if(F.col("pieces") == 1) + F.count_distinct(F.when(F.col("pieces") > 1, F.col("bk")))).scalar()
-    pairs = _count_pairs(arrays, min_support)
+    pairs = _count_pairs(arrays, most, min_support)
     sa = item_sup.select(F.col("it").alias("item_a"), F.col("s").alias("support_a"))
     sb = item_sup.select(F.col("it").alias("item_b"), F.col("s").alias("support_b"))
     p = pairs.join(sa, "item_a").join(sb, "item_b")

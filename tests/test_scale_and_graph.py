@@ -89,3 +89,18 @@ def test_edge_search_fallback(spark):
     assert {(r["product"], r["related_to"]) for r in hit} == {("red bolt", "blue gear"), ("blue gear", "red bolt")}
     none = G.edge_search(nodes, edges, "zebra").collect()
     assert len(none) == 4                                       # first 5 edges → all 4 product edges
+
+
+def test_pairs_are_counted_in_tasks_of_bounded_size(spark, monkeypatch):
+    """More rows and pairs make more tasks than the shuffle partitions of the session."""
+    monkeypatch.setattr(G, "ROWS_EACH", 20)
+    monkeypatch.setattr(G, "PAIRS_EACH", 30)
+    rows = [(b, (b * 7 + i * i) % 23) for b in range(60) for i in range(4)] + [(None, 1), (1, None)] + [(99, i) for i in range(30)]
+    df = spark.createDataFrame(rows, "b long, it long")
+    out = G.basket_pairs(df, "b", "it", 1, block=8)
+    baskets = {}
+    for b, it in rows[:240] + rows[242:]:
+        baskets.setdefault(b, set()).add(it)
+    want = Counter(p for items in baskets.values() for p in itertools.combinations(sorted(items), 2))
+    assert {(r["item_a"], r["item_b"]): r["support"] for r in out.collect()} == dict(want)
+    assert out.rdd.getNumPartitions() > 4
