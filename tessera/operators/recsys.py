@@ -45,9 +45,14 @@ def fit_factors(ratings: DataFrame, rank: int = 64, max_iter: int = 10, reg: flo
                 alpha: float = 1.0, seed: int = 42, user: str = "user_id", item: str = "item_id",
                 rating: str = "weight"):
     """V5: implicit-feedback matrix factorisation (ALS) — the re-aimed
-    two-tower model: dot product of learnt user and item vectors."""
+    two-tower model: dot product of learnt user and item vectors.
+
+    In every round a user's vector travels to each block of items that the user
+    has met, so few items are dealt into few blocks (10, Spark's default, from
+    1,000 items on). The start and the sums are those of any number of blocks."""
     from pyspark.ml.recommendation import ALS
-    als = ALS(rank=rank, maxIter=max_iter, regParam=reg, alpha=alpha, implicitPrefs=True,
+    blocks = min(10, max(4, -(-ratings.select(item).distinct().count() // 100)))
+    als = ALS(rank=rank, numItemBlocks=blocks, maxIter=max_iter, regParam=reg, alpha=alpha, implicitPrefs=True,
               userCol=user, itemCol=item, ratingCol=rating, seed=seed,
               coldStartStrategy="drop", checkpointInterval=5)
     return als.fit(ratings)

@@ -304,9 +304,12 @@ def _als(spark, sf):
     return R.factor_frames(R.fit_factors(w, rank=64))
 
 
+@memo
 def _split_weights(spark, sf):
+    """The split is stored once: the fit, the seen pairs, the held-out rows and
+    both rankings read it instead of ordering the events again each time."""
     ui = V.user_items(Tables(spark, sf))
-    split = R.temporal_split(ui, "ts", "event_id")
+    split = materialize(R.temporal_split(ui, "ts", "event_id").select("event_id", "user_id", "item_id", "interaction_type", "split"))
     train = split.where(F.col("split") == "train")
     test = split.where(F.col("split") == "test")
     return train, test, R.implicit_weights(train)

@@ -108,3 +108,10 @@ def test_silhouette_copies_no_rows_per_block_pair(spark):
     assert got[0].first()[0] == pytest.approx(got[1].first()[0], abs=1e-6)
     plan = got[0]._jdf.queryExecution().executedPlan().toString()
     assert "FlatMapGroupsInPandas" not in plan and plan.count("CartesianProduct") > 0
+
+
+def test_events_are_split_once(spark):
+    """The factor model, its held-out rows and both rankings read one stored split."""
+    from tessera.plans import q_recsys
+    a, b = (q_recsys._split_weights(spark, SF) for _ in range(2))
+    assert a is b and "Window" not in a[1]._jdf.queryExecution().executedPlan().toString()
