@@ -4,9 +4,10 @@ Paragraphs (lines with a letter or digit of any script) and the ends of lines
 with what follows (a notice may be wrapped over lines) become sparse counts of
 the words and word pairs that the notices in ``NOTICES`` use; a multinomial logistic regression names the
 licence family, ``unknown`` (a licence statement of no known family) or
-``none``. It is trained on the notices and short names, alone and inside prose, and on a
-bounded sample of the corpus's own paragraphs as ``none`` (``sample_docs``
-documents in the order of a hash of the id). A held-out part of the sample
+``none``. It is trained on the notices and short names, alone and inside prose, and on
+all of the corpus's own lines that share no word pair with a notice as ``none``
+(counted by the words the model knows; three quarters of the lines by a hash, a
+third of those only around notices). The other quarter, held out whole,
 calibrates the least probability that a family needs: what falls below it is
 ``unknown``. A family is confirmed if its paragraph holds enough of the word
 pairs of one of the family's notices, else it counts as unknown as well.
@@ -17,8 +18,8 @@ the notices are fixed in size.
 
 Defined cases: null and empty texts have no paragraphs; repeated paragraphs
 count each time; equal rows get equal results; ties between families go to the
-first in ``FAMILIES``; with no documents to sample, prose comes from nowhere and
-only the notices train the model.
+first in ``FAMILIES``; with no documents only the notices train the
+model.
 """
 
 from __future__ import annotations
@@ -124,10 +125,21 @@ def _words(col):
     return F.filter(F.split(F.lower(col), "[^a-z0-9]+"), lambda w: w != "")
 
 
-def _features(df: DataFrame, line: str = "line") -> DataFrame:
+#: Weight of all prose lines together in training.
+PROSE = 6_000
+
+
+def _terms(df: DataFrame, line: str = "line") -> DataFrame:
     df = df if "words" in df.columns else df.withColumn("words", _words(F.col(line)))
     df = NGram(n=2, inputCol="words", outputCol="pairs").transform(df)
-    df = df.withColumn("terms", F.concat("words", "pairs"))
+    return df.withColumn("terms", F.concat("words", "pairs"))
+
+
+def _features(df: DataFrame, line: str = "line") -> DataFrame:
+    return _counted(_terms(df, line))
+
+
+def _counted(df: DataFrame) -> DataFrame:
     return CountVectorizerModel.from_vocabulary(_vocabulary(), "terms", "features", binary=True).transform(df)
 
 
@@ -190,6 +202,7 @@ def paragraphs(docs: DataFrame, text_col: str, bound: tuple[float, dict[str, flo
         return F.aggregate(F.slice("__s", i + 1, j - i + 1), F.lit(bound[0]), lambda t, x: t + x) >= -1e-6
 
     empty = F.array().cast("array<string>")
+    no_windows = F.expr("cast(array() as array<struct<place:int,last:int,wrapped:boolean,words:array<string>>>)")
 
     def crossing(w, i):
         near = F.slice(F.col("__h"), i + 2, REACH)
@@ -204,7 +217,7 @@ def paragraphs(docs: DataFrame, text_col: str, bound: tuple[float, dict[str, flo
             (F.size(F.flatten(F.slice(after, 1, c - 1))) < REACH).alias("more")))
         short = F.transform(F.filter(windows, lambda x: x["more"]), lambda x: F.struct(*(x[c].alias(c) for c in ("place", "last", "wrapped", "words"))))
         there = (F.size(w) > 0) & (F.size(first) > 0) & may(i, i + REACH)
-        return F.when(there, F.filter(short, lambda x: may(x["place"], x["last"]))).otherwise(F.slice(short, 1, 0))
+        return F.when(there, F.filter(short, lambda x: may(x["place"], x["last"]))).otherwise(no_windows)
 
     single = F.transform("__w", lambda w, i: F.struct(i.alias("place"), i.alias("last"), F.lit(False).alias("wrapped"), w.alias("words")))
     units = lines.select("k1", "k2", F.explode_outer(
@@ -212,34 +225,55 @@ def paragraphs(docs: DataFrame, text_col: str, bound: tuple[float, dict[str, flo
     return units.where(F.size("words") > 0)
 
 
-def train(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", sample_docs: int = 400,
-          lines_each: int = 20) -> tuple[LogisticRegressionModel, float]:
-    """The fitted model and the least probability of a family."""
-    spark = docs.sparkSession
-    ids = docs.select(F.xxhash64(F.col(id_col).cast("string")).alias("h"), F.col(id_col).alias("id")).orderBy("h", "id").limit(sample_docs)
-    picked = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("t")).join(F.broadcast(ids.select("id").distinct()), "id")
-    lines = (picked.select(F.explode(F.slice(F.split("t", "\n"), 1, lines_each)).alias("line"))
-             .where(F.col("line").rlike("[A-Za-z0-9]")).withColumn("fold", F.pmod(F.xxhash64("line"), F.lit(4))))
-    # the sample's own licence statements are no prose: leave out what shares a pair with a notice
+def _prose(docs: DataFrame, text_col: str) -> DataFrame:
+    """fold, terms, n: every line with a letter or digit that shares no word pair
+    with a notice (what does is no prose), counted by the vocabulary's words that
+    it holds, all that the model sees of it."""
     known = F.array(*[F.lit(p) for p in sorted({p for n in STATEMENTS.values() for x in n for p in _pairs(x)})])
-    lines = _features(lines).where(~F.arrays_overlap("pairs", known)).select("line", "fold")
-    lines = staged(lines, "prose")
+    alone = F.array(*[F.lit(w) for w in _vocabulary() if " " not in w])
+    lines = docs.select(F.explode(F.split(F.col(text_col).cast("string"), "\n")).alias("line")).where(F.col("line").rlike("[A-Za-z0-9]"))
+    lines = lines.select("line", _words("line").alias("words")).withColumn("terms", F.array_sort(F.array_intersect("words", alone)))
+    pairs = F.zip_with(F.slice("words", 1, F.size("words") - 1), F.slice("words", 2, F.size("words")), lambda a, b: F.concat_ws(" ", a, b))
+    notice = F.when(F.size("terms") > 1, F.arrays_overlap(pairs, known)).otherwise(F.lit(False))
+    return lines.where(~notice).withColumn("fold", F.pmod(F.xxhash64("line"), F.lit(4)).cast("int"))
+
+
+def train(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> tuple[LogisticRegressionModel, float]:
+    """The fitted model and the least probability of a family, from every line of
+    every document.
+
+    Lines that look alike to the model are one row with their number as its
+    weight; prose weighs ``PROSE`` in all, whatever the size of the corpus."""
+    spark = docs.sparkSession
+    prose = _prose(docs, text_col)
+    counted = staged(prose.where("fold <> 1").groupBy("fold", "terms").agg(F.count(F.lit(1)).alias("n")), "prose")
     notices = spark.createDataFrame([(f, n) for f, ns in STATEMENTS.items() for n in ns], "family string, notice string")
     # every notice inside twelve prose lines
-    some = [r[0] for r in lines.where("fold = 1").orderBy(F.xxhash64("line")).limit(12).select(F.substring("line", 1, 200)).collect()]
+    some = [r[0] for r in prose.where("fold = 1").select(F.substring("line", 1, 200).alias("line")).distinct()
+            .orderBy(F.xxhash64("line"), "line").limit(12).collect()]
     inside = notices.withColumn("near", F.explode(F.array(*[F.lit(x) for x in some or [""]]))).select(
         "family", F.concat_ws(" ", "near", "notice", "near").alias("line"))
     label = F.create_map(*[F.lit(x) for k, f in enumerate(FAMILIES) for x in (f, float(k))])
-    rows = (notices.select("family", F.col("notice").alias("line")).unionAll(inside)
-            .unionAll(lines.where("fold > 1").select(F.lit(NONE).alias("family"), "line"))
-            .unionAll(spark.createDataFrame([(NONE, "")], "family string, line string"))
-            .withColumn("label", F.element_at(label, F.col("family"))))
-    data = staged(_features(rows).select("label", "features"), "training").coalesce(2)
-    model = LogisticRegression(family="multinomial", regParam=1e-3, maxIter=60).fit(data)
-    held = model.transform(_features(lines.where("fold = 0"))).select(
-        F.array_max(F.slice(vector_to_array("probability"), 1, len(NOTICES) - 1)).alias("p"))
-    high = held.agg(F.percentile_approx("p", 0.999, 10_000).alias("p")).first()["p"]
-    return model, min(0.9, max(0.5, high or 0.0))
+    told = _terms(notices.select("family", F.col("notice").alias("line")).unionAll(inside)
+                  .unionAll(spark.createDataFrame([(NONE, "")], "family string, line string")))
+    learned = counted.where("fold > 1")
+    total = learned.agg(F.sum("n").alias("n")).first()["n"] or 1
+    rows = told.select("family", "terms", F.lit(1.0).alias("weight")).unionAll(
+        learned.select(F.lit(NONE), "terms", F.col("n") * (min(total, PROSE) / total)))
+    data = rows.withColumn("label", F.element_at(label, F.col("family")))
+    data = staged(_counted(data).select("label", "features", "weight").hint("rebalance"), "training")
+    model = LogisticRegression(family="multinomial", regParam=1e-3, maxIter=60, weightCol="weight").fit(data)
+    p = F.array_max(F.slice(vector_to_array("probability"), 1, len(NOTICES) - 1))
+    held = model.transform(_counted(counted.where("fold = 0"))).groupBy(F.ceil(p * 10_000).cast("int").alias("p")).agg(F.sum("n").alias("n"))
+    high, left = 0.0, 0
+    steps = sorted((r["p"], r["n"]) for r in held.collect())     # 10,001 rows at most
+    every = sum(n for _, n in steps)
+    for at, n in steps:
+        left += n
+        if left >= 0.999 * every:
+            high = at / 10_000
+            break
+    return model, min(0.9, max(0.5, high))
 
 
 def _counts(x):

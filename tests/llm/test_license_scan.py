@@ -84,3 +84,11 @@ def test_no_python_on_executors(spark):
 def test_odd_rows(odd, nothing):
     assert license_scan.scan(odd).count() == odd.count()
     assert license_scan.scan(nothing).count() == 0
+
+
+def test_every_line_trains(spark):
+    """More documents and more lines each than any sample: all but statements count."""
+    texts = ["\n".join([f"the river {i} of line {j}" for j in range(30)] + ["Released under the MIT License.", "..."]) for i in range(450)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = license_scan._prose(df, "text").groupBy("terms").count().collect()
+    assert sum(r["count"] for r in got) == 450 * 30 and all({"of", "the"} <= set(r["terms"]) for r in got)
