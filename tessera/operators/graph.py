@@ -53,11 +53,9 @@ def basket_arrays(baskets: DataFrame, basket: str, item: str, block: int = 64) -
     item hash into ``pieces`` of about ``block`` items, so that no array grows
     with a hot basket. Null baskets and items are left out.
 
-    The pairs of basket and item are stored once and counted, then the rows per
-    basket. Where all baskets are small, nothing is joined: one shuffle gathers
+    Two passes count the rows, then the rows per basket. Where all baskets are small, nothing is joined: one shuffle gathers
     the arrays, in as many tasks (``t``) as the rows ask for."""
     bi = baskets.select(F.col(basket).alias("bk"), F.col(item).alias("it")).where("bk is not null and it is not null")
-    bi = materialize(bi)
     tasks = _tasks(bi, bi.count(), ROWS_EACH)
     per = bi.repartition(tasks, "bk").groupBy("bk").agg(F.count(F.lit(1)).alias("n"))
     most, pairs = per.agg(F.max("n"), F.sum(F.col("n").cast("decimal(20,0)") * (F.col("n") - 1) / 2)).first()
