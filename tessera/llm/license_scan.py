@@ -180,62 +180,87 @@ def margins(model: LogisticRegressionModel) -> tuple[float, dict[str, float]] |
     return float(bias.max()), {w: float(x.max()) for w, x in sorted(weight.items()) if x.max() > 0}
 
 
+def _gain(words, gains: dict[str, float]):
+    """Sum of the gains of the distinct words."""
+    gain = F.create_map(*[F.lit(x) for kv in gains.items() for x in kv])
+    known = F.array_distinct(F.filter(words, lambda x: x.isin(*gains)))
+    return F.aggregate(known, F.lit(0.0), lambda t, x: t + F.element_at(gain, x))
+
+
 def paragraphs(docs: DataFrame, text_col: str, bound: tuple[float, dict[str, float]] | None = None) -> DataFrame:
     """Keys, place, last place and words of every line, and of every line's end
     (``wrapped``): its last ``REACH`` words with the next line, the next two and
     so on, up to ``REACH`` words or a line without one. With ``bound`` (from
-    ``margins``), those that the model must call ``none`` are left out: a line by
-    its own words, a line's end by the words of all its lines."""
+    ``margins``), those that the model must call ``none`` are left out by their own
+    words; windows are only made where the words of all their lines could be more."""
     lines = docs.withColumn("__w", F.transform(F.split(F.col(text_col), "\n"), _words)).withColumn(
         "__h", F.transform("__w", lambda w: F.slice(w, 1, REACH)))
     if bound is not None:
-        start, gains = bound
-        known = F.array(*[F.lit(w) for w in gains]).cast("array<string>")
-        gain = F.create_map(*[F.lit(x) for kv in gains.items() for x in kv])
-        lines = lines.withColumn("__s", F.transform("__w", lambda w: F.aggregate(
-            F.array_intersect(w, known), F.lit(0.0), lambda t, x: t + F.element_at(gain, x))))
+        lines = lines.withColumn("__s", F.transform("__w", lambda w: _gain(w, bound[1])))
+
+    def may(gain):
+        """Whether words of that gain could be more than prose."""
+        return F.lit(True) if bound is None else gain() + bound[0] >= -1e-6
 
-    def may(i, j):
-        """Whether lines i to j together could be more than prose."""
-        if bound is None:
-            return F.lit(True)
-        return F.aggregate(F.slice("__s", i + 1, j - i + 1), F.lit(bound[0]), lambda t, x: t + x) >= -1e-6
+    def taken(i):
+        """(n, c, s): the words, number and gain of the lines that the windows of
+        line i take in, up to a line without words or ``REACH`` words."""
+        near = F.arrays_zip(F.slice("__h", i + 2, REACH).alias("h"), F.slice("__s" if bound else "__h", i + 2, REACH).alias("s"))
 
-    empty = F.array().cast("array<string>")
-    no_windows = F.expr("cast(array() as array<struct<place:int,last:int,wrapped:boolean,words:array<string>>>)")
+        def step(t, x):
+            n = F.size(x["h"])
+            on = F.struct((t["n"] + n).alias("n"), (t["c"] + 1).alias("c"), (t["s"] + (x["s"] if bound else F.lit(0.0))).alias("s"))
+            return F.when((t["n"] < REACH) & (n > 0), on).otherwise(F.struct(F.lit(REACH).alias("n"), t["c"].alias("c"), t["s"].alias("s")))
+
+        return F.aggregate(near, F.struct(F.lit(0).alias("n"), F.lit(0).alias("c"), F.lit(0.0).alias("s")), step)
 
     def crossing(w, i):
-        near = F.slice(F.col("__h"), i + 2, REACH)
-        blank = F.array_position(F.transform(near, lambda x: F.size(x) == 0), True)
-        block = F.when(blank > 0, F.slice(near, 1, F.greatest(blank.cast("int") - 1, F.lit(0)))).otherwise(near)
-        first = F.coalesce(F.get(F.col("__h"), i + 1), empty)
-        after = F.when(F.size(first) >= REACH, F.array(first)).when(F.size(first) == 0, F.array(empty)).otherwise(block)
         tail = F.slice(w, F.greatest(F.size(w) - (REACH - 1), F.lit(1)), REACH)
-        windows = F.transform(F.sequence(F.lit(1), F.greatest(F.size(after), F.lit(1))), lambda c: F.struct(
+        there = F.filter(F.array(taken(i)), lambda m: (F.size(w) > 0) & (m["c"] > 0) & may(lambda: F.get(F.col("__s"), i) + m["s"]))
+        after = F.transform(there, lambda m: F.slice("__h", i + 2, m["c"]))
+        windows = F.flatten(F.transform(after, lambda a: F.transform(F.sequence(F.lit(1), F.size(a)), lambda c: F.struct(
             i.alias("place"), (i + c).alias("last"), F.lit(True).alias("wrapped"),
-            F.concat(tail, F.slice(F.flatten(F.slice(after, 1, c)), 1, REACH)).alias("words"),
-            (F.size(F.flatten(F.slice(after, 1, c - 1))) < REACH).alias("more")))
-        short = F.transform(F.filter(windows, lambda x: x["more"]), lambda x: F.struct(*(x[c].alias(c) for c in ("place", "last", "wrapped", "words"))))
-        there = (F.size(w) > 0) & (F.size(first) > 0) & may(i, i + REACH)
-        return F.when(there, F.filter(short, lambda x: may(x["place"], x["last"]))).otherwise(no_windows)
+            F.concat(tail, F.slice(F.flatten(F.slice(a, 1, c)), 1, REACH)).alias("words")))))
+        return F.filter(windows, lambda x: may(lambda: _gain(x["words"], bound[1])))
 
     single = F.transform("__w", lambda w, i: F.struct(i.alias("place"), i.alias("last"), F.lit(False).alias("wrapped"), w.alias("words")))
     units = lines.select("k1", "k2", F.explode_outer(
-        F.concat(F.filter(single, lambda x: may(x["place"], x["place"])), F.flatten(F.transform("__w", crossing)))).alias("u")).select("k1", "k2", "u.*")
+        F.concat(F.filter(single, lambda x: may(lambda: F.get(F.col("__s"), x["place"]))), F.flatten(F.transform("__w", crossing)))).alias("u")).select("k1", "k2", "u.*")
     return units.where(F.size("words") > 0)
 
 
-def _prose(docs: DataFrame, text_col: str) -> DataFrame:
-    """fold, terms, n: every line with a letter or digit that shares no word pair
-    with a notice (what does is no prose), counted by the vocabulary's words that
-    it holds, all that the model sees of it."""
-    known = F.array(*[F.lit(p) for p in sorted({p for n in STATEMENTS.values() for x in n for p in _pairs(x)})])
-    alone = F.array(*[F.lit(w) for w in _vocabulary() if " " not in w])
-    lines = docs.select(F.explode(F.split(F.col(text_col).cast("string"), "\n")).alias("line")).where(F.col("line").rlike("[A-Za-z0-9]"))
-    lines = lines.select("line", _words("line").alias("words")).withColumn("terms", F.array_sort(F.array_intersect("words", alone)))
-    pairs = F.zip_with(F.slice("words", 1, F.size("words") - 1), F.slice("words", 2, F.size("words")), lambda a, b: F.concat_ws(" ", a, b))
-    notice = F.when(F.size("terms") > 1, F.arrays_overlap(pairs, known)).otherwise(F.lit(False))
-    return lines.where(~notice).withColumn("fold", F.pmod(F.xxhash64("line"), F.lit(4)).cast("int"))
+def _prose(docs: DataFrame, text_col: str, wanted=lambda fold, line: F.lit(True)) -> DataFrame:
+    """line, fold, words, terms: every ``wanted`` line with a letter or digit that
+    shares no word pair with a notice (what does is no prose), with the vocabulary's
+    words that it holds, all that the model sees of it. Lines are cut into words
+    before they become rows, so that this is done once a line."""
+    known = sorted({p for n in STATEMENTS.values() for x in n for p in _pairs(x)})
+    first, second = (sorted({p.split(" ")[k] for p in known}) for k in (0, 1))
+    fold = lambda x: F.pmod(F.xxhash64(x), F.lit(4)).cast("int")
+    texts = F.filter(F.split(F.col(text_col).cast("string"), "\n"), lambda x: x.rlike("[A-Za-z0-9]") & wanted(fold(x), x))
+    lines = docs.select(F.explode(F.transform(texts, lambda x: F.struct(x.alias("line"), fold(x).alias("fold"), _words(x).alias("words")))).alias("u")).select("u.*")
+    before = F.slice("words", 1, F.greatest(F.size("words") - 1, F.lit(0)))
+    pairs = F.zip_with(before, F.slice("words", 2, F.size("words")), lambda a, b: F.when(
+        a.isin(*first) & b.isin(*second), F.concat_ws(" ", a, b)).otherwise(F.lit("")))
+    alone = [w for w in _vocabulary() if " " not in w]
+    return lines.where(~F.exists(pairs, lambda p: p.isin(*known))).withColumn(
+        "terms", F.array_sort(F.array_distinct(F.filter("words", lambda w: w.isin(*alone)))))
+
+
+#: Share of the hashes that is looked through first for the lines around notices.
+FEW = 1024
+
+
+def _near(docs: DataFrame, text_col: str, n: int = 12) -> list[str]:
+    """The starts of ``n`` lines of fold 1 that are least by their hash: among the
+    least hashes first, and among all if those are too few."""
+    def some(least):
+        rows = _prose(docs, text_col, lambda fold, x: (fold == 1) & least(F.xxhash64(F.substring(x, 1, 200))))
+        return [r[0] for r in rows.select(F.substring("line", 1, 200).alias("line")).distinct()
+                .orderBy(F.xxhash64("line"), "line").limit(n).collect()]
+
+    got = some(lambda h: h < -2**63 + 2**64 // FEW)
+    return got if len(got) == n else some(lambda h: F.lit(True))
 
 
 def train(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> tuple[LogisticRegressionModel, float]:
@@ -245,12 +270,11 @@ def train(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> tu
     Lines that look alike to the model are one row with their number as its
     weight; prose weighs ``PROSE`` in all, whatever the size of the corpus."""
     spark = docs.sparkSession
-    prose = _prose(docs, text_col)
-    counted = staged(prose.where("fold <> 1").groupBy("fold", "terms").agg(F.count(F.lit(1)).alias("n")), "prose")
+    prose = _prose(docs, text_col, lambda fold, x: fold != 1)
+    counted = staged(prose.groupBy("fold", "terms").agg(F.count(F.lit(1)).alias("n")), "prose")
     notices = spark.createDataFrame([(f, n) for f, ns in STATEMENTS.items() for n in ns], "family string, notice string")
     # every notice inside twelve prose lines
-    some = [r[0] for r in prose.where("fold = 1").select(F.substring("line", 1, 200).alias("line")).distinct()
-            .orderBy(F.xxhash64("line"), "line").limit(12).collect()]
+    some = _near(docs, text_col)
     inside = notices.withColumn("near", F.explode(F.array(*[F.lit(x) for x in some or [""]]))).select(
         "family", F.concat_ws(" ", "near", "notice", "near").alias("line"))
     label = F.create_map(*[F.lit(x) for k, f in enumerate(FAMILIES) for x in (f, float(k))])

@@ -92,3 +92,23 @@ def test_every_line_trains(spark):
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = license_scan._prose(df, "text").groupBy("terms").count().collect()
     assert sum(r["count"] for r in got) == 450 * 30 and all({"of", "the"} <= set(r["terms"]) for r in got)
+
+
+def test_windows_stand_for_their_own_words(spark):
+    """A statement's words lend nothing to windows of the lines around it."""
+    start, gains = -5.0, {"license": 4.0, "mit": 4.0, "river": 0.5}
+    text = "\n".join(["the river runs"] * 6 + ["MIT license"] + ["the river runs"] * 6 + ["license " * 40, "mit " * 40])
+    df = spark.createDataFrame([(1, 1, text)], "k1 long, k2 long, text string")
+    got = license_scan.paragraphs(df, "text", (start, gains)).collect()
+    assert got and all(start + sum(gains.get(w, 0) for w in set(r.words)) >= 0 for r in got)
+    every = license_scan.paragraphs(df, "text").collect()
+    assert sorted(map(str, got)) == sorted(str(r) for r in every if start + sum(gains.get(w, 0) for w in set(r.words)) >= 0)
+
+
+def test_lines_near_notices_are_the_least_by_hash(spark, monkeypatch):
+    """The few least hashes give the same lines as a look at all of them."""
+    df = spark.createDataFrame([(i, "\n".join(f"the river {i} of line {j} is long" for j in range(40))) for i in range(60)], "doc_id long, text string")
+    monkeypatch.setattr(license_scan, "FEW", 4)
+    few = license_scan._near(df, "text")
+    monkeypatch.setattr(license_scan, "FEW", 1 << 40)
+    assert few == license_scan._near(df, "text") and len(few) == 12
