@@ -37,6 +37,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tessera.llm.bytescan import flat, pieces
+
 DEMO_KEY = b"tessera-demo-key"
 ROUNDS = 10
 MONTHS = ("January", "February", "March", "April", "May", "June", "July", "August", "September", "October", "November", "December")
@@ -61,6 +63,7 @@ PATTERN = re.compile(r"""
  |(?P<card>(?<![\w-])\d(?:[ -]?\d){12,18}(?![\w]|-\d))
 """.replace("MONTH", _MONTH), re.VERBOSE | re.ASCII)
 MAYBE = re.compile("[0-9@]")
+PIECE = 1 << 20     # bytes of text that a worker holds as Python objects at once
 FIRST_DAY, LAST_DAY = dt.date(1900, 1, 1).toordinal(), dt.date(2099, 12, 31).toordinal()
 
 
@@ -324,7 +327,7 @@ def pseudonymise_table(docs: DataFrame, text_col: str = "text", key: bytes = DEM
     net = Feistel(key)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (whole.slice(i, j - i) for whole in batches for i, j in pieces(flat(whole.column(at))[1], PIECE)):
             texts, found = [], []
             for t in b.column(at).to_pylist():
                 t, f = (t, []) if t is None else pseudonymise(t, net.permute)

@@ -94,3 +94,12 @@ def test_table(odd, nothing):
     assert got.columns == [*odd.columns, "pii"] and got.count() == odd.count()
     assert sorted(str(r.text) for r in got.collect()) == sorted(str(r.text) for r in odd.collect())
     assert pii.pseudonymise_table(nothing).count() == 0
+
+
+def test_texts_are_taken_in_small_pieces(spark, monkeypatch):
+    """A batch of any size is worked on piece by piece, with the same rows."""
+    rows = [(i, None if i % 7 == 0 else f"é{i} mail a{i}@example.org on 1980-02-28 " * (i % 5)) for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    whole = pii.pseudonymise_table(df).collect()
+    monkeypatch.setattr(pii, "PIECE", 50)
+    assert pii.pseudonymise_table(df).collect() == whole and len(whole) == 60
