@@ -42,8 +42,9 @@ from tessera.llm.listrank import chains
 
 ORDER = 4              # words of an edge
 FLUSH = 1 << 20        # edges that a task holds at a time
-BUCKET = 1 << 20       # edges that a bucket holds (more, if they are equal in all tasks)
-SLOTS = 1 << 14        # counters of first words, and of first two words
+BUCKET = 1 << 18       # edges that a bucket holds (more, if they are equal in all tasks)
+EACH = 4               # buckets of a task, which has one of them in memory at a time
+SLOTS = 1 << 16        # counters of first words, and of first two words
 STRETCH = 64           # edges in one row of a path
 LEAST = 30
 COVERED = 80           # per cent
@@ -241,7 +242,7 @@ def _flows(trees: DataFrame, hot1: np.ndarray, hot2: np.ndarray, n_buckets: int,
         if held:
             yield from phrases(held)
 
-    return trees.repartition(n_buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(run, schema)
+    return trees.repartition(-(-n_buckets // EACH), "bucket").sortWithinPartitions("bucket").mapInArrow(run, schema)
 
 
 def _words(docs: DataFrame, seed: int) -> DataFrame:
@@ -293,7 +294,7 @@ def graph(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", least
     slots = staged(_slots(docs, seed), "slots")
     n_buckets = max(1, -(-int(slots.where("level = 1").agg(F.sum("n")).first()[0] or 0) // bucket))
     hot = np.zeros((3, SLOTS), bool)
-    for r in slots.where(F.col("n") > bucket).select("level", "slot").collect():      # at most 2 * SLOTS rows
+    for r in slots.where(F.col("n") > bucket).select("level", "slot").collect():      # at most 2 * n_buckets rows
         hot[r.level, r.slot] = True
     trees = _send(docs, hot[1], hot[2], n_buckets, seed)
     flows = staged(_flows(trees, hot[1], hot[2], n_buckets, least), "flows")

@@ -89,3 +89,27 @@ def test_paths_are_the_long_repeats(spark):
     name = {r.key: r.word for r in words.collect()}
     paths = sorted((" ".join(name[w] for w in r.words), list(r.flow)) for r in C.compact(phrases).collect())
     assert paths == [("zero one two three four five six seven eight", [3, 6, 6, 6, 6, 3])]
+
+
+def test_a_task_holds_one_small_bucket():
+    """Four full buckets of one task: memory is that of one, and below 100 MB."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    class Trees:
+        def __getattr__(self, name):
+            return lambda *a, **k: a[0] if name == "mapInArrow" else self
+
+    g = np.random.default_rng(1).integers(1, 2**63, (C.BUCKET, C.ORDER)).astype(np.uint64)
+    blob = C.pack(*C._merge(g, np.ones(len(g), np.int64))[:2])
+    hot = np.zeros(C.SLOTS, bool)
+    batches = [pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([blob], pa.binary())], ["bucket", "tree"]) for k in range(4)]
+    del g
+    tracemalloc.start()
+    try:
+        rows = sum(b.num_rows for b in C._flows(Trees(), hot, hot, 4, 1)(iter(batches)))
+        assert tracemalloc.get_traced_memory()[1] < 100 << 20
+    finally:
+        tracemalloc.stop()
+    assert rows == 4 * 3 * C.BUCKET
