@@ -110,6 +110,55 @@ def test_silhouette_copies_no_rows_per_block_pair(spark):
     assert "FlatMapGroupsInPandas" not in plan and plan.count("CartesianProduct") > 0
 
 
+def _clusters(spark, repeat=1):
+    """Seven clusters of uneven size and width, and their distances one by one."""
+    rng = np.random.default_rng(5)
+    n, wide = (90, 70, 60, 50, 40, 20, 1), (1, .4, 2, 1, .2, 1, 1)
+    x = np.concatenate([rng.normal(0, 6, 3) + rng.normal(0, w, (m, 3)) for m, w in zip(n, wide)])
+    y = np.repeat(np.arange(len(n)), n)
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1))
+    mean = np.stack([d[:, y == c].sum(1) for c in range(len(n))], 1) / np.array(n)
+    rows = [(i // repeat, v.tolist(), f"c{c}") for i, (v, c) in enumerate(zip(x, y))]
+    return spark.createDataFrame(rows, "k long, v array<double>, l string"), y, np.array(n), mean
+
+
+def test_silhouette_leaves_out_only_what_cannot_be_nearest(spark):
+    """A row's own and its nearest other cluster are always asked for, most
+    others are not, and two blocks meet once: far fewer distances than pairs,
+    and the figure of all of them."""
+    df, y, n, mean = _clusters(spark)
+    packed, rows, _ = EV._blocks(df, "k", "v", "l", 20)
+    at = np.arange(len(y))
+    other = mean.copy()
+    other[at, y] = np.inf
+    seen = 0
+    for r in packed.collect():
+        for k in map(int, r["k"]):
+            assert {y[k], other[k].argmin()} <= set(r["need"])
+            seen += 1
+    assert seen == rows == len(y)
+    pairs = EV._pairs(packed, 3).select("b", "b2", "rows", "rows2").collect()
+    assert len({frozenset((r["b"], r["b2"])) for r in pairs}) == len(pairs)
+    assert sum(r["rows"] * r["rows2"] for r in pairs) < .4 * rows ** 2
+    a = np.where(n[y] > 1, mean[at, y] * n[y] / np.maximum(n[y] - 1, 1), 0)
+    b = other.min(1)
+    want = np.where(n[y] > 1, (b - a) / np.maximum(a, b), 0).mean()
+    assert EV.silhouette(df, "k", "v", "l", block_rows=20).first()[0] == pytest.approx(want, abs=1e-6)
+
+
+def test_silhouette_of_repeated_keys_asks_for_all_clusters(spark):
+    """Rows of one key and label count as one, so none of them leaves a cluster out."""
+    df, y, n, mean = _clusters(spark, repeat=2)
+    ids = sorted({(i // 2, c) for i, c in enumerate(y)})
+    s = []
+    for k, c in ids:
+        of = [i for i in (2 * k, 2 * k + 1) if i < len(y) and y[i] == c]
+        sums, counts = (mean[of] * n).sum(0), len(of) * n
+        b = min(sums[o] / counts[o] for o in range(len(n)) if o != c)
+        s.append(0.0 if counts[c] <= 1 else (b - sums[c] / (counts[c] - 1)) / max(b, sums[c] / (counts[c] - 1)))
+    assert EV.silhouette(df, "k", "v", "l", block_rows=20).first()[0] == pytest.approx(np.mean(s), abs=1e-6)
+
+
 def test_events_are_split_once(spark):
     """The factor model, its held-out rows and both rankings read one stored split."""
     from tessera.plans import q_recsys
